@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import op2_bpe, op4_quality, op8_url_filters
+from . import op1_sharding, op2_bpe, op4_quality, op7_warc, op8_url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": op1_sharding.query,
         "op2_bpe": op2_bpe.query,
         "op4_quality": op4_quality.query,
+        "op7_warc": op7_warc.query,
         "op8_url_filters": op8_url_filters.query,
     }
 
