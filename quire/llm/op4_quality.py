@@ -22,13 +22,13 @@ LEVEL = 3
 CHUNK = 4096
 #: (up to so many bytes, lowest ratio, highest ratio).  Short texts compress less, so both limits rise with length.
 BANDS = [
-    (400, 0.85, 2.60),
-    (800, 1.10, 2.80),
-    (1600, 1.20, 3.20),
-    (3200, 1.30, 3.80),
-    (6400, 1.40, 4.40),
-    (12800, 1.45, 5.00),
-    (1 << 62, 1.50, 6.00),
+    (400, 1.05, 2.20),
+    (800, 1.15, 2.30),
+    (1600, 1.30, 2.45),
+    (3200, 1.45, 2.60),
+    (6400, 1.50, 2.80),
+    (12800, 1.55, 3.00),
+    (1 << 62, 1.60, 3.20),
 ]
 #: A text fails when more than this share of its chunks leave their bands.
 BAD_CHUNK_SHARE = 0.5
