@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_sharding, op2_bpe, op3_pii, op4_quality, op6_decontam, op7_warc, op8_url_filters
+from . import op1_sharding, op2_bpe, op3_pii, op4_quality, op5_secrets, op6_decontam, op7_warc, op8_url_filters
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": op2_bpe.query,
         "op3_pii": op3_pii.query,
         "op4_quality": op4_quality.query,
+        "op5_secrets": op5_secrets.query,
         "op6_decontam": op6_decontam.query,
         "op7_warc": op7_warc.query,
         "op8_url_filters": op8_url_filters.query,
