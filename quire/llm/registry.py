@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_sharding, op10_jaccard, op2_bpe, op3_pii, op4_quality, op5_secrets, op6_decontam, op7_warc, op8_url_filters
+from . import op1_sharding, op10_jaccard, op2_bpe, op3_pii, op4_quality, op5_secrets, op6_decontam, op7_warc, op8_url_filters, op9_repeats
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_decontam": op6_decontam.query,
         "op7_warc": op7_warc.query,
         "op8_url_filters": op8_url_filters.query,
+        "op9_repeats": op9_repeats.query,
         "op10_jaccard": op10_jaccard.query,
     }
 
