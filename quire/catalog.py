@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from quire.plans import queries as plans
+
 FLAGSHIP = "q13_op_categories"
 
 
 def queries() -> dict:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans.SQL)

@@ -120,7 +120,7 @@ def page_content(text: str, leading: int = 0) -> bytes:
     lines = [b"BT", b"/F1 12 Tf"] + ([b"%d TL" % leading] if leading else []) + [b"72 720 Td"]
     for line in text.split("\n"):
         lines += [b"(" + escape(line.encode("latin-1", "replace")) + b") Tj", b"T*"]
-    return b"\n".join([*lines, b"ET"])
+    return b"\n".join([*lines, b"ET", b""])
 
 
 def page_objects(text: str, lang: str, source: str, leading: int = 0) -> list[tuple[int, Value]]:
