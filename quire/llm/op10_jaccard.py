@@ -1,9 +1,11 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersections.
 
 Two sets link when 100 * |intersection| >= 75 * |union|.  Under any fixed order
-of all shingles, linked sets share a shingle among their first
-``n - ceil(0.75 n) + 1``; frequent shingles are put last in that order, so that
-common lines and passages seldom name a tile.  A tile is such a shingle within a
+of all shingles, linked sets share at least ``k`` shingles among their first
+``n - ceil(0.75 n) + k``, here with ``k = n / 16``; frequent shingles are put last
+in that order, so that common lines and passages seldom name a tile.  A set that
+has fewer than ``k`` such shingles in common with all others together, as when it
+only quotes a passage, links nothing and is dropped before any array travels.  A tile is such a shingle within a
 size band; linked sets have sizes in the ratio of 4/3 at most, so they meet in
 the tile of their common or adjoining band.
 
@@ -48,6 +50,10 @@ FREQUENT = 2000
 #: Just over 4/3: sizes in a ratio of up to 4/3 are at most one band apart, whatever the rounding.
 BAND = 1.34
 BROADCAST_IDS = 4_000_000
+#: Uses of sets in a round of verification up to which their list (32 bytes each) is broadcast.
+BROADCAST_USES = 500_000
+#: Prefixes are longer by one sixteenth of the set, and must share that much.
+SHARED = 16
 SALT_ROWS = 2_000
 MAX_ROUNDS = 24
 
@@ -56,8 +62,13 @@ def linked(a: int, b: int, both: int) -> bool:
     return 100 * both >= PERCENT * (a + b - both)
 
 
+def least_shared(n: int) -> int:
+    """Shingles that linked sets of at least ``n`` elements share among their prefixes."""
+    return max(1, n // SHARED)
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+    return n - -(-PERCENT * n // 100) + least_shared(n)
 
 
 def band(n: np.ndarray) -> np.ndarray:
@@ -173,7 +184,10 @@ def _prefixes(order, buckets: int):
 
 
 def _tiles(rows: pa.Table) -> pa.Table:
-    """Members ``tile, name, n`` of the tiles of a bucket that hold two sets or more; like tiles count once."""
+    """Members ``tile, name, n`` of the tiles of a bucket that hold two sets or more; like tiles count once.
+
+    Rows without a tile tell for each set how many (``k``) of its shingles lie in such tiles.
+    """
     def gather(column: str, kind) -> np.ndarray:
         return np.frombuffer(b"".join(x.as_py() for x in rows.column(column)), kind)
 
@@ -191,11 +205,12 @@ def _tiles(rows: pa.Table) -> pa.Table:
         t, names, n = t[often], names[often], n[often]
         b = band(n).astype(np.uint64)
         t2, n2, m2 = np.r_[t, t], np.r_[n, n], np.r_[names, names]
+        source = np.r_[np.arange(len(t)), np.arange(len(t))]
         tile = mix((t2 * np.uint64(1 << 16) + bucket) * np.uint64(256) + np.r_[b, b + np.uint64(1)])
         by = np.lexsort((m2, tile))
-        tile, n2, m2 = tile[by], n2[by], m2[by]
+        tile, n2, m2, source = tile[by], n2[by], m2[by], source[by]
         fresh = np.r_[True, (tile[1:] != tile[:-1]) | (m2[1:] != m2[:-1])] if len(tile) else np.zeros(0, bool)
-        tile, n2, m2 = tile[fresh], n2[fresh], m2[fresh]
+        tile, n2, m2, source = tile[fresh], n2[fresh], m2[fresh], source[fresh]
         starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else np.zeros(0, int)
         counts = np.diff(np.r_[starts, len(tile)])
         # A tile's content is named by the sum of its members' mixed names; of equal contents one stays.
@@ -204,14 +219,32 @@ def _tiles(rows: pa.Table) -> pa.Table:
         keep = np.zeros(len(starts), bool)
         keep[first] = True
         mask = np.repeat(keep & (counts > 1), counts)
+        shared = np.unique(source[np.repeat(counts > 1, counts)])
+        own, first, k = np.unique(names[shared], return_index=True, return_counts=True)
     return pa.table(
-        {"tile": pa.array(np.repeat(content, counts)[mask].view(np.int64)), "name": pa.array(m2[mask]), "n": pa.array(n2[mask].astype(np.int64))}
+        {
+            "tile": pa.concat_arrays([pa.array(np.repeat(content, counts)[mask].view(np.int64)), pa.nulls(len(own), pa.int64())]),
+            "name": pa.array(np.r_[m2[mask], own]),
+            "n": pa.array(np.r_[n2[mask], n[shared][first]].astype(np.int64)),
+            "k": pa.array(np.r_[np.zeros(mask.sum(), np.int64), k]),
+        }
     )
 
 
 # ---------------------------------------------------------------- verification
 
 
+def _pack(s: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes: two shingles of a pair of sets of a thousand fall together once in 10**8 pairs."""
+    return np.ascontiguousarray((s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _sets(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = wanted.value if wanted else None
@@ -224,7 +257,7 @@ def _sets(wanted):
             for s in shingle_sets(batch.column(1).to_pylist()):
                 if len(s):
                     names.append(signature(s))
-                    blobs.append(s.tobytes())
+                    blobs.append(_pack(s))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["name", "elements"])
 
     return run
@@ -237,7 +270,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, ok = [], [], []
         cols = [batch.column(i) for i in (0, 2, 3, 4)]
         for lead, rank, name, blob in zip(*(c.to_pylist() if i < 3 else c for i, c in enumerate(cols))):
-            s = np.frombuffer(blob.as_py(), np.uint64)
+            s = _unpack(blob.as_py())
             if rank == 0:
                 if lead != leader:
                     leader, mine, bits = lead, s, bitmap(s)
@@ -256,10 +289,14 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     parts = slices(pairs.sparkSession)
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     salted = stage(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "jaccard-pairs")
-    others = salted.join(sets.withColumnRenamed("name", "b"), "b").select("a", "salt", F.lit(1).alias("rank"), "b", "elements")
-    leads = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("name", "a"), "a")
-    leads = leads.select("a", "salt", F.lit(0).alias("rank"), F.col("a").alias("b"), "elements")
-    rows = leads.union(others).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "rank")
+    others = salted.select(F.col("b").alias("name"), "a", "salt", F.lit(1).alias("rank"))
+    uses = others.union(salted.select(F.col("a").alias("name"), "a", "salt", F.lit(0).alias("rank")).distinct())
+    uses = stage(uses, "jaccard-uses")
+    if uses.limit(BROADCAST_USES + 1).count() <= BROADCAST_USES:
+        uses = F.broadcast(uses)
+    # Arrays move once: from where they were stored to the group that needs them.
+    rows = sets.join(uses, "name").select("a", "salt", "rank", F.col("name").alias("b"), "elements")
+    rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "rank")
     return rows.mapInArrow(_verify, "a long, b long, linked boolean")
 
 
@@ -281,7 +318,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(Order(frequent["name"].to_numpy(np.int64).view(np.uint64)))
     buckets = 4 * slices(spark)
     packed = docs.select("text").mapInArrow(_prefixes(order, buckets), "bucket int, tokens binary, names binary, sizes binary")
-    tiles = stage(packed.groupBy("bucket").applyInArrow(_tiles, "tile long, name long, n long"), "jaccard-tiles")
+    found = stage(packed.groupBy("bucket").applyInArrow(_tiles, "tile long, name long, n long, k long"), "jaccard-found")
+    # A partner has at least 0.75 n elements, so this many shingles at least are shared with it.
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / SHARED))
+    enough = found.where("tile is null").groupBy("name").agg(F.sum("k").alias("k"), F.max("n").alias("n")).where(F.col("k") >= least).select("name")
+    left = found.where("tile is not null").drop("k").join(enough, "name", "left_semi")
+    several = left.groupBy("tile").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("tile")
+    # A tile found in several buckets has the same content, so repeated rows add nothing.
+    tiles = stage(left.join(several, "tile", "left_semi").distinct(), "jaccard-tiles")
 
     members = tiles.select("name").distinct()
     wanted = members.join(classes, "name").select("rep")
