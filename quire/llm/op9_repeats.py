@@ -23,8 +23,8 @@ Not every suffix of the corpus can be sorted, so only those that may repeat are:
    by the 50-byte strings themselves instead, so that no task gets them all.
 4. *Removal.*  Ranges are merged per document and cut out of its bytes.
 
-Side tables of up to ``BROADCAST_BYTES`` are broadcast to the scan of the
-documents; larger ones are joined by shuffle.
+Questions join the documents by shuffle; the ranges at the end are broadcast to
+their scan up to ``BROADCAST_BYTES``, beyond that they too are joined by shuffle.
 
 Defined results: null texts are empty; texts below 50 bytes keep everything;
 repeats within one doc_id, repeated rows of it included, are not removed; texts
@@ -173,7 +173,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _unpack(t, kind: int, hot=None):
     """Arrays (fp, cls, doc, ver, first, last) of all packed rows of a kind in a table."""
     rows = [r for r in t.to_pylist() if r["kind"] == kind and (hot is None or r["hot"] == hot)]
-    join = lambda n, f, k: np.concatenate([f(r[n]) for r in rows]) if rows else np.zeros(0, k)
+    join = lambda n, f, k: np.concatenate([f(r.get(n)) for r in rows]) if rows else np.zeros(0, k)
     return (
         join("fp", lambda b: _unfive(b or b""), np.uint64), join("cls", lambda b: _unfive(b or b""), np.uint64),
         join("doc", lambda b: _unplanes(b, np.int64), np.int64), join("ver", lambda b: np.frombuffer(b, np.uint8), np.uint8),
@@ -181,9 +181,25 @@ def _unpack(t, kind: int, hot=None):
     )
 
 
-def _of_doc(doc: np.ndarray, buckets: int) -> np.ndarray:
+FLAT = "kind byte, hot boolean, fp long, doc long, ver short, first long, last long"
+_FLAT = pa.schema([("kind", pa.int8()), ("hot", pa.bool_()), ("fp", pa.int64()), ("doc", pa.int64()), ("ver", pa.int16()), ("first", pa.int64()), ("last", pa.int64())])
+
+
+def _flat(kind: int, hot: bool, fp, doc, ver, first, last) -> pa.Table:
+    n = len(doc)
+    return pa.table(
+        [
+            pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, hot)), pa.array(np.zeros(n, np.int64) if fp is None else fp.view(np.int64)),
+            pa.array(doc), pa.array(ver.astype(np.int16)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)),
+        ],
+        schema=_FLAT,
+    )
+
+
+def _some_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    """One bucket for rows that only pass through, so that a batch sends one of them."""
     with np.errstate(over="ignore"):
-        return (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        return np.full(len(doc), int(mix(doc[:1].view(np.uint64))[0] % np.uint64(buckets)) if len(doc) else 0, np.int64)
 
 
 def _merged(doc, ver, first, last):
@@ -234,7 +250,7 @@ def _find_anchors(buckets: int, many_in_batch: int, block: int):
             rows = []
             if later.any():
                 d, v, a, z = _merged(doc[later], ver[later], first[later], last[later])
-                rows += _deal(_of_doc(d, buckets), COVER, False, None, None, d, v, a, z)
+                rows += _deal(_some_bucket(d, buckets), COVER, False, None, None, d, v, a, z)
             # Anchors with very many classes in this batch are asked for at once; a mark tells the others of them.
             lead_fp = fp[by][edge]
             h, n = np.unique(lead_fp, return_counts=True)
@@ -242,7 +258,7 @@ def _find_anchors(buckets: int, many_in_batch: int, block: int):
             often = np.isin(fp, many) & ~later if len(many) else np.zeros(len(doc), bool)
             stay = ~later & ~often
             if often.any():
-                rows += _deal(_of_doc(doc[often], buckets), ASK, True, fp[often], None, doc[often], ver[often], first[often], last[often])
+                rows += _deal(_some_bucket(doc[often], buckets), ASK, True, fp[often], None, doc[often], ver[often], first[often], last[often])
                 marks = np.zeros(len(many), np.int64)
                 rows += _deal((many % np.uint64(buckets)).astype(np.int64), ANCHOR, False, many >> np.uint64(24), np.full(len(many), _MARK), marks, marks, marks, marks)
             f = fp[stay]
@@ -252,11 +268,20 @@ def _find_anchors(buckets: int, many_in_batch: int, block: int):
     return run
 
 
-def _resolve(buckets: int, many: int):
+def _passed(t: pa.Table) -> list[pa.Table]:
+    """Rows of other kinds than anchors, unpacked."""
+    out = []
+    for kind, hot in ((COVER, False), (ASK, True)):
+        fp, _, doc, ver, first, last = _unpack(t, kind)
+        out.append(_flat(kind, hot, fp if kind == ASK else None, doc, ver, first, last))
+    return out
+
+
+def _resolve(many: int):
     """Per bucket: repeats by class, and the contexts whose bytes are needed."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = [tuple(r.values()) for r in t.to_pylist() if r["kind"] != ANCHOR]
+        out = _passed(t)
         fp, cls, doc, ver, first, last = _unpack(t, ANCHOR)
         if len(fp):
             by = np.lexsort((doc, cls, fp))
@@ -267,9 +292,7 @@ def _resolve(buckets: int, many: int):
             number = np.cumsum(new_cls) - 1
             least = doc[np.flatnonzero(new_cls)][number]
             later = (doc > least) & ~mark
-            if later.any():
-                d, v, a, z = _merged(doc[later], ver[later], first[later], last[later])
-                rows += _deal(_of_doc(d, buckets), COVER, False, None, None, d, v, a, z)
+            out.append(_flat(COVER, False, None, *_merged(doc[later], ver[later], first[later], last[later])))
             group = np.cumsum(new_fp) - 1
             at = np.flatnonzero(new_fp)
             lows, tops = np.minimum.reduceat(least, at), np.maximum.reduceat(least, at)
@@ -280,9 +303,9 @@ def _resolve(buckets: int, many: int):
             whole = (fp << np.uint64(24)) ^ np.uint64(t.column("bucket")[0].as_py())
             for is_hot in (False, True):
                 i = ask & (hot == is_hot)
-                if i.any():
-                    rows += _deal(_of_doc(doc[i], buckets), ASK, is_hot, mix(whole[i]), None, doc[i], ver[i], first[i], last[i])
-        return pa.Table.from_batches([_batch(rows)])
+                with np.errstate(over="ignore"):
+                    out.append(_flat(ASK, is_hot, mix(whole[i]), doc[i], ver[i], first[i], last[i]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -294,15 +317,14 @@ def _per_doc(kind: int):
     """One row a doc_id: its ranges or its questions, as an array of fixed records."""
 
     def run(t: pa.Table) -> pa.Table:
+        kinds = (np.int64, np.uint8, np.int64, np.int64)
+        doc, ver, first, last = (t.column(n).to_numpy().astype(k) for n, k in zip(("doc", "ver", "first", "last"), kinds))
         if kind == COVER:
-            _, _, doc, ver, first, last = _unpack(t, COVER)
             doc, ver, first, last = _merged(doc, ver, first, last)
             rec = np.rec.fromarrays([ver, first.astype(np.uint32), last.astype(np.uint32)], dtype=_RANGE)
         else:
-            cold, hot = _unpack(t, ASK, False), _unpack(t, ASK, True)
-            fp, _, doc, ver, first, last = (np.concatenate(x) for x in zip(cold, hot))
-            flag = np.r_[np.zeros(len(cold[2]), np.uint8), np.ones(len(hot[2]), np.uint8)]
-            rec = np.rec.fromarrays([ver, first.astype(np.uint32), (last - first).astype(np.uint8), flag, fp], dtype=_QUESTION)
+            hot, fp = t.column("hot").to_numpy().astype(np.uint8), t.column("fp").to_numpy().view(np.uint64)
+            rec = np.rec.fromarrays([ver, first.astype(np.uint32), (last - first).astype(np.uint8), hot, fp], dtype=_QUESTION)
             by = np.argsort(doc, kind="stable")
             doc, rec = doc[by], rec[by]
         at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
@@ -335,7 +357,9 @@ def _beside(docs: DataFrame, side: DataFrame, work, schema: str, most: int) -> D
 
 # ---------------------------------------------------------------- step 3
 
-CONTEXTS = "bucket int, kind byte, bytes binary, sizes binary, doc binary, ver binary, first binary, last binary"
+CONTEXTS = "bucket int, kind byte, keys binary, bytes binary, sizes binary, doc binary, ver binary, first binary, last binary"
+#: Contexts whose suffixes are sorted together; those of one anchor always are.
+TOGETHER = 4_000
 
 
 def _fetch(buckets: int):
@@ -381,8 +405,8 @@ def _fetch(buckets: int):
                 keep[later] = False
                 if len(later):
                     d, v, a, z = _merged(doc[later], ver[later], first[later], first[later])
-                    for b, _, _, _, _, *rest in _deal(_of_doc(d, buckets), COVER, False, None, None, d, v, a, z):
-                        rows.append((b, COVER, None, None, *rest))
+                    for b, _, _, _, _, *rest in _deal(_some_bucket(d, buckets), COVER, False, None, None, d, v, a, z):
+                        rows.append((b, COVER, None, None, None, *rest))
             b = (key % np.uint64(buckets)).astype(np.int64)
             chosen = np.flatnonzero(keep)
             chosen = chosen[np.argsort(b[chosen], kind="stable")]
@@ -391,10 +415,10 @@ def _fetch(buckets: int):
                 i = chosen[lo:hi]
                 own = [texts[x] for x in i]
                 rows.append((
-                    int(b[i[0]]), ANCHOR, b"".join(own), bytes(map(len, own)), _planes(doc[i], np.int64), ver[i].tobytes(), _planes(first[i], np.uint32), None,
+                    int(b[i[0]]), ANCHOR, (key[i] >> np.uint64(32)).astype(np.uint32).tobytes(), b"".join(own), bytes(map(len, own)), _planes(doc[i], np.int64), ver[i].tobytes(), _planes(first[i], np.uint32), None,
                 ))
-            kinds = (pa.int32(), pa.int8(), *[pa.binary()] * 6)
-            names = ["bucket", "kind", "bytes", "sizes", "doc", "ver", "first", "last"]
+            kinds = (pa.int32(), pa.int8(), *[pa.binary()] * 7)
+            names = ["bucket", "kind", "keys", "bytes", "sizes", "doc", "ver", "first", "last"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return run
@@ -451,46 +475,56 @@ def maximal_repeats(common: np.ndarray, left: np.ndarray, least: int = LENGTH) -
                 stack.append([here, begin, side])
 
 
-def _scan_suffixes(buckets: int):
-    """Per bucket: the suffix array of its contexts, and the ranges that its maximal repeats cover."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rows, strings, docs, vers, firsts = [], [], [], [], []
-        for r in t.to_pylist():
-            if r["kind"] == COVER:
-                rows.append((r["bucket"], COVER, False, None, None, r["doc"], r["ver"], r["first"], r["last"]))
-                continue
-            at = 0
-            for n in r["sizes"]:
-                strings.append(r["bytes"][at : at + n])
-                at += n
-            docs.append(_unplanes(r["doc"], np.int64))
-            vers.append(np.frombuffer(r["ver"], np.uint8))
-            firsts.append(_unplanes(r["first"], np.uint32).astype(np.int64))
-        if strings:
-            doc, ver, first = np.concatenate(docs), np.concatenate(vers), np.concatenate(firsts)
-            number, offset, common, left = suffix_array(strings)
-            # Stretches without a common prefix of LENGTH, or within one document, hold nothing to remove.
-            d = doc[number]
-            edge = np.flatnonzero(np.r_[True, common[1:] < LENGTH]) if len(d) else np.zeros(0, int)
-            several = np.minimum.reduceat(d, edge) < np.maximum.reduceat(d, edge) if len(d) else np.zeros(0, bool)
-            ends = np.r_[edge[1:], len(d)]
-            found: list[list[np.ndarray]] = [[], [], [], []]
-            for a, z in zip(edge[several].tolist(), ends[several].tolist()):
-                for length, b, e in maximal_repeats(common[a:z], left[a:z]):
-                    own = d[a + b : a + e]
-                    later = a + b + np.flatnonzero(own > own.min())
-                    if len(later):
-                        k = number[later]
-                        p = first[k] + offset[later]
-                        for x, y in zip(found, (doc[k], ver[k], p, p + length - LENGTH)):
-                            x.append(y)
-            if found[0]:
-                d, v, a, z = _merged(*(np.concatenate(x) for x in found))
-                rows += _deal(_of_doc(d, buckets), COVER, False, None, None, d, v, a, z)
-        return pa.Table.from_batches([_batch(rows)])
-
-    return run
+def _covered(strings: list[bytes], doc: np.ndarray, ver: np.ndarray, first: np.ndarray) -> list[tuple]:
+    """Ranges (doc, ver, first, last) of strings in maximal repeats whose smallest doc_id is another."""
+    number, offset, common, left = suffix_array(strings)
+    d = doc[number]
+    # Stretches without a common prefix of LENGTH, or within one document, hold nothing to remove.
+    edge = np.flatnonzero(np.r_[True, common[1:] < LENGTH])
+    several = np.minimum.reduceat(d, edge) < np.maximum.reduceat(d, edge)
+    ends = np.r_[edge[1:], len(d)]
+    out = []
+    for a, z in zip(edge[several].tolist(), ends[several].tolist()):
+        for length, b, e in maximal_repeats(common[a:z], left[a:z]):
+            own = d[a + b : a + e]
+            later = a + b + np.flatnonzero(own > own.min())
+            if len(later):
+                k = number[later]
+                p = first[k] + offset[later]
+                out.append((doc[k], ver[k], p, p + length - LENGTH))
+    return out
+
+
+def _scan_suffixes(t: pa.Table) -> pa.Table:
+    """Per bucket: suffix arrays of its contexts, and the ranges that their maximal repeats cover."""
+    out, keys, strings, docs, vers, firsts = _passed(t)[:1], [], [], [], [], []
+    for r in t.to_pylist():
+        if r["kind"] == COVER:
+            continue
+        at = 0
+        for n in r["sizes"]:
+            strings.append(r["bytes"][at : at + n])
+            at += n
+        keys.append(np.frombuffer(r["keys"], np.uint32))
+        docs.append(_unplanes(r["doc"], np.int64))
+        vers.append(np.frombuffer(r["ver"], np.uint8))
+        firsts.append(_unplanes(r["first"], np.uint32).astype(np.int64))
+    if strings:
+        key, doc, ver, first = (np.concatenate(x) for x in (keys, docs, vers, firsts))
+        by = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+        # Anchors are taken together up to TOGETHER contexts.
+        cuts = [0]
+        for a, z in zip(new.tolist(), [*new[1:].tolist(), len(by)]):
+            if z - cuts[-1] > TOGETHER and a > cuts[-1]:
+                cuts.append(a)
+        found = []
+        for a, z in zip(cuts, [*cuts[1:], len(by)]):
+            i = by[a:z]
+            found += _covered([strings[x] for x in i.tolist()], doc[i], ver[i], first[i])
+        if found:
+            out.append(_flat(COVER, False, None, *_merged(*(np.concatenate(x) for x in zip(*found)))))
+    return pa.concat_tables(out)
 
 
 # ---------------------------------------------------------------- step 4
@@ -522,24 +556,28 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_ranges(
-    docs: DataFrame, many_in_batch: int = MANY_IN_BATCH, many: int = MANY, broadcast_bytes: int = BROADCAST_BYTES, block: int = BLOCK
-) -> DataFrame:
+def repeated_ranges(docs: DataFrame, many_in_batch: int = MANY_IN_BATCH, many: int = MANY, block: int = BLOCK) -> DataFrame:
     """``doc_id, data``: merged ranges of repeated strings (records ``_RANGE``) of each document that has any."""
-    buckets = 4 * slices(docs.sparkSession)
+    parts = slices(docs.sparkSession)
+    buckets = 2 * parts
+
+    def by_doc(rows: DataFrame, kind: int) -> DataFrame:
+        own = rows.where(F.col("kind") == kind).drop("kind").withColumn("_b", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
+        return own.groupBy("_b").applyInArrow(_per_doc(kind), "doc_id long, data binary")
+
     packed = docs.mapInArrow(_find_anchors(buckets, many_in_batch, block), PACKED)
-    found = stage(packed.groupBy("bucket").applyInArrow(_resolve(buckets, many), PACKED), "repeats-classes")
-    asked = stage(found.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(_per_doc(ASK), "doc_id long, data binary"), "repeats-asked")
-    contexts = _beside(docs, asked, _fetch(buckets), CONTEXTS, broadcast_bytes)
-    more = stage(contexts.groupBy("bucket").applyInArrow(_scan_suffixes(buckets), PACKED), "repeats-suffixes")
-    covers = found.where(F.col("kind") == COVER).unionByName(more)
-    return stage(covers.groupBy("bucket").applyInArrow(_per_doc(COVER), "doc_id long, data binary"), "repeats-ranges")
+    found = stage(packed.groupBy("bucket").applyInArrow(_resolve(many), FLAT), "repeats-classes")
+    asked = stage(by_doc(found, ASK), "repeats-asked")
+    # Questions are many wherever texts repeat, so they are always joined by shuffle.
+    contexts = _beside(docs, asked, _fetch(buckets), CONTEXTS, 0)
+    more = stage(contexts.groupBy("bucket").applyInArrow(_scan_suffixes, FLAT), "repeats-suffixes")
+    return stage(by_doc(found.unionByName(more), COVER), "repeats-ranges")
 
 
 def remove_repeats(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, **limits: int) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = repeated_ranges(docs, broadcast_bytes=broadcast_bytes, **limits)
+    ranges = repeated_ranges(docs, **limits)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return _beside(docs, ranges, _remove, schema, broadcast_bytes)
 
