@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +34,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, label)
     df.write.mode("overwrite").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs.
+
+    Spark deletes them when the driver collects the plans that made them, which a
+    driver with little to do may put off until disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in frames:

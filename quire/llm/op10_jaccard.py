@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stage, table
+from .common import discard, slices, stage, table
 from .components import connected
 from .shingles import mix, shingle_sets, signature
 
@@ -286,17 +286,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, linked`` for each pair; a leader's pairs are spread over salts and streamed, never gathered."""
-    parts = slices(pairs.sparkSession)
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salted = stage(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "jaccard-pairs")
+    salted = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     others = salted.select(F.col("b").alias("name"), "a", "salt", F.lit(1).alias("rank"))
     uses = others.union(salted.select(F.col("a").alias("name"), "a", "salt", F.lit(0).alias("rank")).distinct())
-    uses = stage(uses, "jaccard-uses")
-    if uses.limit(BROADCAST_USES + 1).count() <= BROADCAST_USES:
+    if pairs.limit(BROADCAST_USES // 2 + 1).count() <= BROADCAST_USES // 2:  # each pair makes two uses at most
         uses = F.broadcast(uses)
     # Arrays move once: from where they were stored to the group that needs them.
     rows = sets.join(uses, "name").select("a", "salt", "rank", F.col("name").alias("b"), "elements")
-    rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "rank")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "rank")
     return rows.mapInArrow(_verify, "a long, b long, linked boolean")
 
 
@@ -326,6 +324,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     several = left.groupBy("tile").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("tile")
     # A tile found in several buckets has the same content, so repeated rows add nothing.
     tiles = stage(left.join(several, "tile", "left_semi").distinct(), "jaccard-tiles")
+    discard(found)
 
     members = tiles.select("name").distinct()
     wanted = members.join(classes, "name").select("rep")
@@ -341,6 +340,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lead = tiles.groupBy("tile").agg(F.min("name").alias("a"))
     shared = tiles.join(lead, "tile").where("name <> a").groupBy("name", "a").agg(F.count("*").alias("k"))
     pairs = shared.groupBy("name").agg(F.max(F.struct("k", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("name").alias("b"))
+    pairs = stage(pairs, "jaccard-next")
     done = links = None
     root = None
     for r in range(MAX_ROUNDS):
@@ -353,8 +353,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         placed = tiles.join(root.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
         open_tiles = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("tile", "m")
         left = stage(placed.join(open_tiles, "tile"), "jaccard-open")
+        discard(pairs)
         # A growing part of an open tile's sets, all of them in the end, against the other components in it.
-        some = 8 * 4**r
+        some = 32 * 8**r
         chosen = left.where(F.pmod(F.xxhash64("name", F.lit(r)), F.col("m")) < some)
         x = chosen.select("tile", F.col("name").alias("p"), F.col("root").alias("pr"), F.col("n").alias("pn"), (F.col("m") <= some).alias("all"))
         y = left.select("tile", F.col("name").alias("q"), F.col("root").alias("qr"), F.col("n").alias("qn"))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stage, table
+from .common import discard, slices, stage, table
 from .shingles import mix
 
 LENGTH = 50
@@ -571,7 +571,10 @@ def repeated_ranges(docs: DataFrame, many_in_batch: int = MANY_IN_BATCH, many: i
     # Questions are many wherever texts repeat, so they are always joined by shuffle.
     contexts = _beside(docs, asked, _fetch(buckets), CONTEXTS, 0)
     more = stage(contexts.groupBy("bucket").applyInArrow(_scan_suffixes, FLAT), "repeats-suffixes")
-    return stage(by_doc(found.unionByName(more), COVER), "repeats-ranges")
+    discard(asked)
+    ranges = stage(by_doc(found.unionByName(more), COVER), "repeats-ranges")
+    discard(found, more)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, **limits: int) -> DataFrame:
