@@ -234,6 +234,9 @@ def _tiles(rows: pa.Table) -> pa.Table:
 # ---------------------------------------------------------------- verification
 
 
+SETS = "name long, n long, bits binary, elements binary"
+
+
 def _pack(s: np.ndarray) -> bytes:
     """The upper 48 bits of sorted hashes: two shingles of a pair of sets of a thousand fall together once in 10**8 pairs."""
     return np.ascontiguousarray((s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -253,19 +256,41 @@ def _sets(wanted):
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
                 batch = batch.filter(pa.array(ids[at] == own if len(ids) else np.zeros(len(own), bool)))
-            names, blobs = [], []
+            names, bits, blobs = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist()):
                 if len(s):
                     names.append(signature(s))
+                    bits.append(bitmap(s).tobytes())
                     blobs.append(_pack(s))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["name", "elements"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), pa.array([len(b) // 6 for b in blobs], pa.int64()), pa.array(bits, pa.binary()), pa.array(blobs, pa.binary())], names=["name", "n", "bits", "elements"]
+            )
 
     return run
 
 
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether the bitmaps of a pair leave room for a link."""
+    for batch in batches:
+        near = []
+        for x, y, nx, ny in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            most = min(nx, ny)
+            if linked(nx, ny, most):
+                most = min(most, overlap_bound(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8), nx, ny))
+            near.append(linked(nx, ny, most))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+
+def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, near`` for each pair, from bitmaps alone: a twentieth of the bytes of the arrays."""
+    one = sets.select(F.col("name").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx"))
+    two = sets.select(F.col("name").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_bound, "a long, b long, near boolean")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (leader, salt, rank): a leader's own set, then those to hold against it."""
-    leader = mine = bits = None
+    leader = mine = None
     for batch in batches:
         a, b, ok = [], [], []
         cols = [batch.column(i) for i in (0, 2, 3, 4)]
@@ -273,14 +298,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = _unpack(blob.as_py())
             if rank == 0:
                 if lead != leader:
-                    leader, mine, bits = lead, s, bitmap(s)
+                    leader, mine = lead, s
                 continue
-            fine = linked(len(mine), len(s), min(len(mine), len(s)))
-            fine = fine and linked(len(mine), len(s), min(len(mine), len(s), overlap_bound(bits, bitmap(s), len(mine), len(s))))
-            fine = fine and linked(len(mine), len(s), len(np.intersect1d(mine, s, assume_unique=True)))
             a.append(lead)
             b.append(name)
-            ok.append(bool(fine))
+            ok.append(linked(len(mine), len(s), len(np.intersect1d(mine, s, assume_unique=True))))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
 
@@ -331,9 +353,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     wanted = stage(wanted.withColumnRenamed("rep", "doc_id"), "jaccard-wanted")
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = np.sort(wanted.toPandas()["doc_id"].to_numpy(np.int64))
-        sets = docs.mapInArrow(_sets(spark.sparkContext.broadcast(ids)), "name long, elements binary")
+        sets = docs.mapInArrow(_sets(spark.sparkContext.broadcast(ids)), SETS)
     else:
-        sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(None), "name long, elements binary")
+        sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(None), SETS)
     sets = stage(sets, "jaccard-sets")
 
     # Round 0: each set against the leader that it shares most tiles with.
@@ -344,9 +366,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     done = links = None
     root = None
     for r in range(MAX_ROUNDS):
-        checked = stage(verify(pairs, sets), "jaccard-checked")
+        hopes = stage(bounded(pairs, sets), "jaccard-bounded")
+        checked = stage(verify(hopes.where("near").select("a", "b"), sets), "jaccard-checked")
         new = checked.where("linked").select("a", "b")
-        apart = checked.where("not linked").select("a", "b")
+        apart = checked.where("not linked").select("a", "b").union(hopes.where("not near").select("a", "b"))
         links = new if links is None else links.union(new)
         done = apart if done is None else done.union(apart)
         root = connected(links)
@@ -355,7 +378,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         left = stage(placed.join(open_tiles, "tile"), "jaccard-open")
         discard(pairs)
         # A growing part of an open tile's sets, all of them in the end, against the other components in it.
-        some = 32 * 8**r
+        some = 8 * 8**r
         chosen = left.where(F.pmod(F.xxhash64("name", F.lit(r)), F.col("m")) < some)
         x = chosen.select("tile", F.col("name").alias("p"), F.col("root").alias("pr"), F.col("n").alias("pn"), (F.col("m") <= some).alias("all"))
         y = left.select("tile", F.col("name").alias("q"), F.col("root").alias("qr"), F.col("n").alias("qn"))
