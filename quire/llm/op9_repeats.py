@@ -51,6 +51,8 @@ WINDOW = LENGTH - GRAM + 1
 WIDEST = LENGTH + WINDOW - 1
 #: Texts are hashed together up to so many bytes; a longer text is cut into pieces that overlap by LENGTH - 1.
 BLOCK = 1 << 20
+#: Texts whose anchors are sorted together in a task.
+PORTION = 6 << 20
 #: An anchor with more classes in a batch, or in all, is dealt by strings instead.
 MANY_IN_BATCH, MANY = 64, 5_000
 BROADCAST_BYTES = 64 << 20
@@ -231,11 +233,24 @@ def _raws(batch: pa.RecordBatch) -> list[bytes]:
 # ---------------------------------------------------------------- step 1 and 2
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(ids, texts) of about ``PORTION`` bytes, so that a task's arrays stay small."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        raws, begin, size = [], 0, 0
+        for i, t in enumerate(batch.column(1)):
+            raws.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+            size += len(raws[-1])
+            if size >= PORTION:
+                yield ids[begin : i + 1], raws
+                raws, begin, size = [], i + 1, 0
+        if raws:
+            yield ids[begin:], raws
+
+
 def _find_anchors(buckets: int, many_in_batch: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = _raws(batch)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for ids, raws in _portions(batches):
             text, first, span, fp, cls = anchors(raws, block)
             if not len(text):
                 continue
