@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, slices, stage, table
 from .components import connected
-from .shingles import mix, shingle_sets, signature
+from .shingles import mix, portions, shingle_sets, signature
 
 PERCENT = 75
 #: A shingle in more than one of so many documents goes to the end of the order.
@@ -100,7 +100,7 @@ def overlap_bound(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: a document's id, set size and set name.  Kind 1: a shingle frequent in this batch and its count."""
-    for batch in batches:
+    for batch in portions(batches, 1):
         ids = batch.column(0).to_pylist()
         n, names, own, seen = [], [], [], set()
         for s in shingle_sets(batch.column(1).to_pylist()):
@@ -151,7 +151,7 @@ class Order:
 def _prefixes(order, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = order.value
-        for batch in batches:
+        for batch in portions(batches, 0):
             seen, tokens, names, sizes = set(), [], [], []
             for s in shingle_sets(batch.column(0).to_pylist()):
                 if not len(s) or (name := signature(s)) in seen:
@@ -251,7 +251,7 @@ def _unpack(b: bytes) -> np.ndarray:
 def _sets(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = wanted.value if wanted else None
-        for batch in batches:
+        for batch in portions(batches, 1):
             if ids is not None:
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))

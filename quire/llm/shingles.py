@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORDS = 5
 #: Texts are hashed together up to so many bytes; a longer text is a block of its own.
@@ -97,6 +99,17 @@ def shingle_sets(texts: list[str | None], k: int = WORDS) -> Iterator[np.ndarray
         np.seterr(**old)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows of about ``most`` bytes of text, so that a task's arrays stay small."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            if a < z:
+                yield batch.slice(a, z - a)
+
+
 def signature(s: np.ndarray) -> int:
     """64-bit name of a set, as a signed integer."""
     import xxhash
