@@ -103,6 +103,21 @@ def test_compression_bands(spark):
     assert Q.judge_quality(docs(spark, [])).count() == 0
 
 
+def test_bands_reject_junk_that_passes_the_base_rule(spark):
+    rng = random.Random(8)
+    parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+    vocab = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(4000)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    junk = lambda n: " ".join(w + rng.choice(["###", "$$$", "%%%", "&&&", "***"]) for w in prose(n).split())
+    good = [prose(n) for n in (150, 300, 600, 1200, 2500)]
+    tail = prose(900)[: Q.CHUNK] + " a"  # the last chunk of two bytes leaves its band
+    part = prose(1300) + " " + junk(600)
+    bad = [junk(n) for n in (150, 300, 600, 1200, 2500)] + [part]
+    got = {r.doc_id: r for r in Q.judge_quality(docs(spark, [*good, tail, *bad])).collect()}
+    assert not any(r.base_failed for r in got.values()) and got[5].bad_chunks == 1
+    assert [i for i in got if got[i].kept] == list(range(6))
+
+
 # ---------------------------------------------------------------- decontamination
 
 
