@@ -9,8 +9,8 @@ item is aligned with the document's words (Smith-Waterman, match 2, mismatch and
 gap -1), so edited, shortened or paraphrased copies score by what they share.
 
 Test items are the smaller side but may be many: they are taken in blocks of at
-most ``BLOCK_BYTES``, each block one pass over the documents, so what a task
-holds is bounded.  Documents never move: there is no shuffle of texts.
+most ``BLOCK_BYTES`` and fewer than ``MOST_WORDS`` different words, each block one
+pass over the documents, so what a task holds is bounded.  Documents never move: there is no shuffle of texts.
 
 Defined results: null and empty texts hit nothing; items with fewer than three
 words or null text match nothing; equal items each give a pair; repeated
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 BLOCK_BYTES = 32 << 20
+#: Three word ids fit one 63-bit key below this; a block with more different words is split.
+MOST_WORDS = 1 << 21
 RARE = 1e-8
 FEW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -101,7 +103,7 @@ class Seeds:
         )
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
-        # Three ids below 2**21 fit one key exactly; a larger vocabulary would need a larger block than BLOCK_BYTES.
+        # Three ids below MOST_WORDS fit one key exactly.
         return (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
 
     def hits(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
@@ -160,6 +162,21 @@ def _count_words(vocab):
     return run
 
 
+def _split(listed: list) -> Iterator[tuple[list, dict[bytes, int]]]:
+    """Items with their vocabulary, halved until each vocabulary is below ``MOST_WORDS``."""
+    vocab = {w: i for i, w in enumerate(sorted({w for _, x in listed for w in x}), 1)}
+    if len(vocab) < MOST_WORDS:
+        if vocab:
+            yield listed, vocab
+        return
+    if len(listed) == 1:
+        raise ValueError(f"item {listed[0][0]} alone holds too many different words")
+    del vocab
+    half = len(listed) // 2
+    yield from _split(listed[:half])
+    yield from _split(listed[half:])
+
+
 def seed_blocks(docs: DataFrame, items: DataFrame) -> list:
     """Broadcast ``Seeds`` of the test items, in blocks of a bounded size."""
     spark = docs.sparkSession
@@ -170,18 +187,14 @@ def seed_blocks(docs: DataFrame, items: DataFrame) -> list:
     for b in range(blocks):
         own = clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         listed = [(r.item_id, words(r.text)) for r in own]
-        vocab = {w: i for i, w in enumerate(sorted({w for _, x in listed for w in x}), 1)}
-        if not vocab:
-            continue
-        if len(vocab) >= 1 << 21:
-            raise ValueError("a block holds too many different words; lower BLOCK_BYTES")
-        shared = spark.sparkContext.broadcast(vocab)
-        counted = docs.select("text").mapInArrow(_count_words(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros(len(vocab) + 1)
-        for r in counted:  # one row a word of the block
-            counts[r.word] = r.n
-        share = np.maximum(counts, 1) / max(counts[0], 1)
-        out.append(spark.sparkContext.broadcast(Seeds(listed, vocab, share)))
+        for part, vocab in _split(listed):
+            shared = spark.sparkContext.broadcast(vocab)
+            counted = docs.select("text").mapInArrow(_count_words(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+            counts = np.zeros(len(vocab) + 1)
+            for r in counted:  # one row a word of the block
+                counts[r.word] = r.n
+            share = np.maximum(counts, 1) / max(counts[0], 1)
+            out.append(spark.sparkContext.broadcast(Seeds(part, vocab, share)))
     return out
 
 

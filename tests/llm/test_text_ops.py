@@ -155,6 +155,14 @@ def test_blocks_of_items_give_the_same_pairs(spark, passages, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in D.contaminated(frame, bench).collect()} == whole and len(whole) == 12
 
 
+def test_a_block_of_too_many_words_is_split(spark, passages):
+    rng, words, items = passages
+    many = [" ".join(f"{k}{i:x}" for i in range(1_100_000)) for k in "yz"]  # more than 2**21 different words together
+    bench = spark.createDataFrame([(0, " ".join(items[0])), (1, many[0]), (2, many[1]), (3, " ".join(items[1]))], "item_id int, text string")
+    frame = docs(spark, [" ".join(words(20) + x + words(20)) for x in items[:3]])
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(frame, bench).collect()} == {(0, 0), (1, 3)}
+
+
 def test_alignment_equals_the_textbook():
     rng = random.Random(3)
     for _ in range(60):
