@@ -163,7 +163,7 @@ def _deal(bucket, kind, hot, fp, cls, doc, ver, first, last) -> list[tuple]:
         i = by[lo:hi]
         rows.append((
             int(b[lo]), kind, hot, None if fp is None else _five(fp[i]), None if cls is None else _five(cls[i]),
-            _planes(doc[i], np.int64), ver[i].astype(np.uint8).tobytes(), _planes(first[i], np.uint32), _planes(last[i], np.uint32),
+            _planes(doc[i], np.int64), _planes(ver[i], np.uint32), _planes(first[i], np.uint32), _planes(last[i], np.uint32),
         ))
     return rows
 
@@ -178,13 +178,13 @@ def _unpack(t, kind: int, hot=None):
     join = lambda n, f, k: np.concatenate([f(r.get(n)) for r in rows]) if rows else np.zeros(0, k)
     return (
         join("fp", lambda b: _unfive(b or b""), np.uint64), join("cls", lambda b: _unfive(b or b""), np.uint64),
-        join("doc", lambda b: _unplanes(b, np.int64), np.int64), join("ver", lambda b: np.frombuffer(b, np.uint8), np.uint8),
+        join("doc", lambda b: _unplanes(b, np.int64), np.int64), join("ver", lambda b: _unplanes(b, np.uint32), np.uint32),
         join("first", lambda b: _unplanes(b, np.uint32), np.uint32).astype(np.int64), join("last", lambda b: _unplanes(b, np.uint32), np.uint32).astype(np.int64),
     )
 
 
-FLAT = "kind byte, hot boolean, fp long, doc long, ver short, first long, last long"
-_FLAT = pa.schema([("kind", pa.int8()), ("hot", pa.bool_()), ("fp", pa.int64()), ("doc", pa.int64()), ("ver", pa.int16()), ("first", pa.int64()), ("last", pa.int64())])
+FLAT = "kind byte, hot boolean, fp long, doc long, ver long, first long, last long"
+_FLAT = pa.schema([("kind", pa.int8()), ("hot", pa.bool_()), ("fp", pa.int64()), ("doc", pa.int64()), ("ver", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
 
 def _flat(kind: int, hot: bool, fp, doc, ver, first, last) -> pa.Table:
@@ -192,7 +192,7 @@ def _flat(kind: int, hot: bool, fp, doc, ver, first, last) -> pa.Table:
     return pa.table(
         [
             pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, hot)), pa.array(np.zeros(n, np.int64) if fp is None else fp.view(np.int64)),
-            pa.array(doc), pa.array(ver.astype(np.int16)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)),
+            pa.array(doc), pa.array(ver.astype(np.int64)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)),
         ],
         schema=_FLAT,
     )
@@ -223,7 +223,7 @@ def _version(raw: bytes) -> int:
     """Tells different texts of one doc_id apart."""
     import xxhash
 
-    return xxhash.xxh32_intdigest(raw) & 255
+    return xxhash.xxh32_intdigest(raw)
 
 
 def _raws(batch: pa.RecordBatch) -> list[bytes]:
@@ -254,7 +254,7 @@ def _find_anchors(buckets: int, many_in_batch: int, block: int):
             text, first, span, fp, cls = anchors(raws, block)
             if not len(text):
                 continue
-            version = np.fromiter(map(_version, raws), np.uint8, len(raws))
+            version = np.fromiter(map(_version, raws), np.uint32, len(raws))
             doc, ver, last = ids[text], version[text], first + span
             # A class keeps its smallest doc_id; the others are repeats.
             by = np.lexsort((doc, cls, fp))
@@ -332,7 +332,7 @@ def _per_doc(kind: int):
     """One row a doc_id: its ranges or its questions, as an array of fixed records."""
 
     def run(t: pa.Table) -> pa.Table:
-        kinds = (np.int64, np.uint8, np.int64, np.int64)
+        kinds = (np.int64, np.uint32, np.int64, np.int64)
         doc, ver, first, last = (t.column(n).to_numpy().astype(k) for n, k in zip(("doc", "ver", "first", "last"), kinds))
         if kind == COVER:
             doc, ver, first, last = _merged(doc, ver, first, last)
@@ -349,8 +349,8 @@ def _per_doc(kind: int):
     return run
 
 
-_RANGE = np.dtype([("ver", "u1"), ("first", "<u4"), ("last", "<u4")])
-_QUESTION = np.dtype([("ver", "u1"), ("first", "<u4"), ("span", "u1"), ("hot", "u1"), ("fp", "<u8")])
+_RANGE = np.dtype([("ver", "<u4"), ("first", "<u4"), ("last", "<u4")])
+_QUESTION = np.dtype([("ver", "<u4"), ("first", "<u4"), ("span", "u1"), ("hot", "u1"), ("fp", "<u8")])
 
 
 def _beside(docs: DataFrame, side: DataFrame, work, schema: str, most: int) -> DataFrame:
@@ -408,7 +408,7 @@ def _fetch(buckets: int):
                     hots += [hot] * n
             if not keys:
                 continue
-            key, doc, ver = np.array(keys, np.uint64), np.array(docs, np.int64), np.array(vers, np.uint8)
+            key, doc, ver = np.array(keys, np.uint64), np.array(docs, np.int64), np.array(vers, np.uint32)
             first, hot = np.array(firsts, np.int64), np.array(hots, bool)
             rows = []
             keep = np.ones(len(key), bool)
@@ -430,7 +430,7 @@ def _fetch(buckets: int):
                 i = chosen[lo:hi]
                 own = [texts[x] for x in i]
                 rows.append((
-                    int(b[i[0]]), ANCHOR, (key[i] >> np.uint64(32)).astype(np.uint32).tobytes(), b"".join(own), bytes(map(len, own)), _planes(doc[i], np.int64), ver[i].tobytes(), _planes(first[i], np.uint32), None,
+                    int(b[i[0]]), ANCHOR, (key[i] >> np.uint64(32)).astype(np.uint32).tobytes(), b"".join(own), bytes(map(len, own)), _planes(doc[i], np.int64), _planes(ver[i], np.uint32), _planes(first[i], np.uint32), None,
                 ))
             kinds = (pa.int32(), pa.int8(), *[pa.binary()] * 7)
             names = ["bucket", "kind", "keys", "bytes", "sizes", "doc", "ver", "first", "last"]
@@ -522,7 +522,7 @@ def _scan_suffixes(t: pa.Table) -> pa.Table:
             at += n
         keys.append(np.frombuffer(r["keys"], np.uint32))
         docs.append(_unplanes(r["doc"], np.int64))
-        vers.append(np.frombuffer(r["ver"], np.uint8))
+        vers.append(_unplanes(r["ver"], np.uint32))
         firsts.append(_unplanes(r["first"], np.uint32).astype(np.int64))
     if strings:
         key, doc, ver, first = (np.concatenate(x) for x in (keys, docs, vers, firsts))

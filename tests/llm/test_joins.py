@@ -66,6 +66,18 @@ def test_repeats_of_little(spark):
     assert sorted((r.doc_id, r.n_removed) for r in R.remove_repeats(same).collect()) == [(7, 0), (7, 0), (9, 80)]
 
 
+def test_texts_of_one_doc_id_stay_apart(spark):
+    import xxhash
+
+    line = "one line of more than fifty bytes that another document holds as well"
+    shared = line + " x"
+    low = xxhash.xxh32_intdigest(shared.encode()) & 255
+    # Another text of the same doc_id, equal in the lowest 8 bits of its hash.
+    other = next(t for t in (f"{i} " + "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(90)) for i in range(9999)) if xxhash.xxh32_intdigest(t.encode()) & 255 == low)
+    rows = R.remove_repeats(docs(spark, [line, shared, other], [1, 2, 2])).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in rows) == sorted([(1, len(line), 0), (2, len(shared), len(line)), (2, len(other), 0)])
+
+
 def test_maximal_repeats_give_all_occurrences():
     texts = [b"xxABCDEyy", b"zzABCDEqq", b"ABCDE", b"wwBCDEyy"]
     number, offset, common, left = R.suffix_array(texts, 3)
