@@ -9,25 +9,30 @@ only quotes a passage, links nothing and is dropped before any array travels.  A
 size band; linked sets have sizes in the ratio of 4/3 at most, so they meet in
 the tile of their common or adjoining band.
 
-Within tiles no pairs are spelled out.  First every set is verified against one
-leader (the smallest name of a tile, the one it shares most tiles with); what
-links, falls into one component.  Then only tiles that still hold several
-components go on: a growing random part of their sets is verified against the
-members of other components, until every pair of a tile has been verified or
-lies in one component.  Verification bounds the overlap from above by the bit
-counts of hashed bitmaps, then intersects the sorted arrays.  No link between
-different components is lost, and a group of m near copies costs about m pairs.
+Every tile is led by the member that has the largest part of its prefix in
+common with others: in a family of near copies, the text that the others were
+made from.  Tiles of one leader are one group, so a set travels to a few groups
+instead of to dozens of tiles, and linked sets still meet in one.  A group is cut
+into blocks of bounded bytes, each with the leader.  Within a block, in its own
+task, a set is held against those that are not yet in its component: bit counts
+of hashed bitmaps bound the overlap from above, then the sorted arrays are
+intersected.  What leaves a task is a spanning forest, never the pairs.  Groups of
+one block are then done.  In larger ones, the sets outside of the group's main
+component are few; they are held against the other blocks, outliers of a block
+against members of a block.
 
 At scale: equal sets count once, whatever the number of copies; prefixes travel
-packed; hot tiles and leaders are split (salted verification groups, skew joins);
-every round is a staged table.  Frequent shingles are at most 2,000 times the
-mean set size, whatever the number of documents; the list of documents to verify is
-broadcast up to ``BROADCAST_IDS``, beyond that it is a shuffled semi join.
+packed, to as many buckets as their bytes ask for; a frequent shingle is known to
+be a tile, so its rows go to any bucket and no bucket holds them all; tables by
+tile and name are plain joins, whose hot keys Spark splits.  The list of frequent
+shingles is at most 2,000 times the mean set size, whatever the number of
+documents; lists of names are broadcast behind a count, beyond that joined by a shuffle.
 
 Defined results: null, empty and blank texts have no shingles and are components
 of their own; equal sets link; rows that repeat a doc_id and text get the same
-result; a doc_id with several texts is one row each; an empty table gives no
-rows; other columns are ignored.
+result; a doc_id with several texts is one row each, and they link like others; a null
+doc_id is a row with its n_shingles whose component is the smallest doc_id linked
+to it, or null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,13 +54,14 @@ PERCENT = 75
 FREQUENT = 2000
 #: Just over 4/3: sizes in a ratio of up to 4/3 are at most one band apart, whatever the rounding.
 BAND = 1.34
-BROADCAST_IDS = 4_000_000
-#: Uses of sets in a round of verification up to which their list (32 bytes each) is broadcast.
-BROADCAST_USES = 500_000
+#: Rows up to which a list of names or ids (32 bytes each) is broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Prefixes are longer by one sixteenth of the set, and must share that much.
 SHARED = 16
-SALT_ROWS = 2_000
-MAX_ROUNDS = 24
+#: Packed bytes of a bucket of prefixes, and of a prefix's element in it.
+BUCKET_BYTES, PACKED = 16 << 20, 18
+#: Sets and elements of a block.
+BLOCK_SETS, BLOCK_ELEMENTS = 400, 1 << 20
 
 
 def linked(a: int, b: int, both: int) -> bool:
@@ -75,24 +81,20 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / math.log(BAND)).astype(np.int64)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of a set: twice as many bits as elements, rounded up to a power of two."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
-    out = np.zeros(width, np.uint8)
-    out[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
-    return np.packbits(out)
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit words for each set: its hashed bitmap, at least four bits an element of the largest."""
+    width = max(64, 1 << (4 * max(map(len, sets)) - 1).bit_length())
+    out = np.zeros((len(sets), width // 8), np.uint8)
+    for row, s in zip(out, sets):
+        bits = np.zeros(width, np.uint8)
+        bits[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
+        row[:] = np.packbits(bits)
+    return out.view(np.uint64)
 
 
-def overlap_bound(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
-    """Upper bound of the overlap: each bit that differs takes an element that only one set has."""
-    while len(x) > len(y):
-        half = len(x) // 2
-        x = x[:half] | x[half:]
-    while len(y) > len(x):
-        half = len(y) // 2
-        y = y[:half] | y[half:]
-    differ = int(np.bitwise_count(x ^ y).sum())
-    return (nx + ny - differ) // 2
+def overlap_bounds(x: np.ndarray, rows: np.ndarray, nx: int, n: np.ndarray) -> np.ndarray:
+    """Upper bounds of overlaps: each bit that differs takes an element that only one of the two sets has."""
+    return (nx + n - np.bitwise_count(rows ^ x).sum(1, dtype=np.int64)) // 2
 
 
 # ---------------------------------------------------------------- pass 1: sizes, names, frequent shingles
@@ -134,41 +136,41 @@ class Order:
         by_hash = np.argsort(frequent)
         self.hashes, self.ranks = frequent[by_hash], by_hash.astype(np.int64)
 
-    def prefix(self, s: np.ndarray) -> np.ndarray:
+    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first elements of ``s``, and the ranks of frequent ones where these are not enough."""
         p = prefix_length(len(s))
         if not len(self.hashes):
-            return s[:p]
+            return s[:p], self.ranks
         at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
         often = self.hashes[at] == s
-        rare = s[~often]
-        if len(rare) >= p:
-            return rare[:p]
-        late = s[often]
-        late = late[np.argsort(self.ranks[at[often]], kind="stable")]
-        return np.concatenate([rare, late[: p - len(rare)]])
+        rare = s[~often][:p]
+        return rare, np.sort(self.ranks[at[often]])[: p - len(rare)]
 
 
 def _prefixes(order, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = order.value
         for batch in portions(batches, 0):
-            seen, tokens, names, sizes = set(), [], [], []
+            seen, tokens, often, names, sizes = set(), [], [], [], []
             for s in shingle_sets(batch.column(0).to_pylist()):
                 if not len(s) or (name := signature(s)) in seen:
                     continue
                 seen.add(name)
-                p = rule.prefix(s)
-                tokens.append(p)
-                names.append(np.full(len(p), name, np.int64))
-                sizes.append(np.full(len(p), len(s), np.int32))
+                rare, late = rule.prefix(s)
+                # Six bytes tell rare shingles of a bucket apart well enough: a false tile only costs a verification.
+                tokens += [rare, late.astype(np.uint64) << np.uint64(16)]
+                often += [np.zeros(len(rare), bool), np.ones(len(late), bool)]
+                names.append(np.full(len(rare) + len(late), name, np.int64))
+                sizes.append(np.full(len(rare) + len(late), len(s), np.int32))
             if not tokens:
                 continue
-            t, m, z = np.concatenate(tokens), np.concatenate(names), np.concatenate(sizes)
-            b = (t % np.uint64(buckets)).astype(np.int64)
+            t, o, m, z = np.concatenate(tokens), np.concatenate(often), np.concatenate(names), np.concatenate(sizes)
+            # A frequent one needs no partner in its bucket, so its rows are dealt by name; their sizes are told as negative.
+            b = (np.where(o, mix(m.view(np.uint64)), t) % np.uint64(buckets)).astype(np.int64)
+            z = np.where(o, -z, z)
             by = np.argsort(b, kind="stable")
             cuts = np.searchsorted(b[by], np.arange(buckets + 1))
-            rows = [(k, by[cuts[k] : cuts[k + 1]]) for k in range(buckets) if cuts[k] < cuts[k + 1]]
-            # Six bytes tell shingles of a bucket apart well enough: a false tile only costs a verification.
+            rows = [(k, by[cuts[k] : cuts[k + 1]]) for k in np.unique(b).tolist()]
             short = (t >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -197,12 +199,15 @@ def _tiles(rows: pa.Table) -> pa.Table:
         t[:, :6] = six
         t = t.view(np.uint64).ravel()
         names, n = gather("names", np.int64), gather("sizes", np.int32)
+        often = n < 0
+        hot, hot_names, hot_n = t[often], names[often], -n[often]
+        t, names, n = t[~often], names[~often], n[~often]
         bucket = np.uint64(rows.column("bucket")[0].as_py())
         by = np.argsort(t, kind="stable")
         t, names, n = t[by], names[by], n[by]
         same = t[1:] == t[:-1]
-        often = np.r_[same, False] | np.r_[False, same]  # a shingle of one set links nothing
-        t, names, n = t[often], names[often], n[often]
+        shared = np.r_[same, False] | np.r_[False, same] if len(t) else np.zeros(0, bool)  # a shingle of one set links nothing
+        t, names, n = t[shared], names[shared], n[shared]
         b = band(n).astype(np.uint64)
         t2, n2, m2 = np.r_[t, t], np.r_[n, n], np.r_[names, names]
         source = np.r_[np.arange(len(t)), np.arange(len(t))]
@@ -219,108 +224,122 @@ def _tiles(rows: pa.Table) -> pa.Table:
         keep = np.zeros(len(starts), bool)
         keep[first] = True
         mask = np.repeat(keep & (counts > 1), counts)
-        shared = np.unique(source[np.repeat(counts > 1, counts)])
-        own, first, k = np.unique(names[shared], return_index=True, return_counts=True)
+        source = np.unique(source[np.repeat(counts > 1, counts)])
+        # Every frequent shingle is a tile, named by its rank alone, in all buckets alike.
+        h = band(hot_n).astype(np.uint64)
+        hot_tile = mix(~(np.r_[hot, hot] * np.uint64(256) + np.r_[h, h + np.uint64(1)]))
+        own, first, k = np.unique(np.r_[names[source], hot_names], return_index=True, return_counts=True)
+        tile = np.r_[np.repeat(content, counts)[mask], hot_tile].view(np.int64)
     return pa.table(
         {
-            "tile": pa.concat_arrays([pa.array(np.repeat(content, counts)[mask].view(np.int64)), pa.nulls(len(own), pa.int64())]),
-            "name": pa.array(np.r_[m2[mask], own]),
-            "n": pa.array(np.r_[n2[mask], n[shared][first]].astype(np.int64)),
-            "k": pa.array(np.r_[np.zeros(mask.sum(), np.int64), k]),
+            "tile": pa.concat_arrays([pa.array(tile), pa.nulls(len(own), pa.int64())]),
+            "name": pa.array(np.r_[m2[mask], hot_names, hot_names, own]),
+            "n": pa.array(np.r_[n2[mask], hot_n, hot_n, np.r_[n[source], hot_n][first]].astype(np.int64)),
+            "k": pa.array(np.r_[np.zeros(len(tile), np.int64), k]),
         }
     )
 
 
-# ---------------------------------------------------------------- verification
+# ---------------------------------------------------------------- blocks
 
 
-SETS = "name long, n long, bits binary, elements binary"
+SETS = "name long, elements binary"
 
 
-def _pack(s: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes: two shingles of a pair of sets of a thousand fall together once in 10**8 pairs."""
-    return np.ascontiguousarray((s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in portions(batches, 0):
+        sets = {signature(s): s.tobytes() for s in shingle_sets(batch.column(0).to_pylist()) if len(s)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["name", "elements"])
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def link_block(sets: list[np.ndarray], label: np.ndarray, among: list[int]) -> list[tuple[int, int]]:
+    """Links that join the components of a block; ``label`` holds those known so far and is changed.
 
+    Each set of ``among`` is held against all that are not yet in its component.
+    Where all are among, those that have joined the first one need no look: the rest will be held against them.
+    """
+    all_look = len(among) == len(sets)
+    n = np.array([len(s) for s in sets], np.int64)
+    bits = bitmaps(sets)
+    out, looked, main = [], np.zeros(len(sets), bool), None
+    for i in among:
+        if all_look and main is not None and label[i] == label[main]:
+            continue
+        near = np.flatnonzero((label != label[i]) & ~looked & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        looked[i] = True
+        main = i if main is None else main
+        if len(near):
+            near = near[linked(n[i], n[near], overlap_bounds(bits[i], bits[near], n[i], n[near]))]
+        # In portions, so that most of a large component is joined before its other members are looked at.
+        for part in np.array_split(near, -(-len(near) // 64)) if len(near) else []:
+            part = part[label[part] != label[i]]
+            if not len(part):
+                continue
+            others = np.concatenate([sets[j] for j in part])
+            at = np.minimum(np.searchsorted(sets[i], others), n[i] - 1)
+            both = np.add.reduceat((sets[i][at] == others).astype(np.int64), np.r_[0, np.cumsum(n[part])[:-1]])
+            for j in part[linked(n[i], n[part], both)].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out
 
-def _sets(wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = wanted.value if wanted else None
-        for batch in portions(batches, 1):
-            if ids is not None:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
-                batch = batch.filter(pa.array(ids[at] == own if len(ids) else np.zeros(len(own), bool)))
-            names, bits, blobs = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist()):
-                if len(s):
-                    names.append(signature(s))
-                    bits.append(bitmap(s).tobytes())
-                    blobs.append(_pack(s))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array([len(b) // 6 for b in blobs], pa.int64()), pa.array(bits, pa.binary()), pa.array(blobs, pa.binary())], names=["name", "n", "bits", "elements"]
-            )
-
-    return run
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``lead, block, outlier, root, name, elements`` sorted by (lead, block): the links ``a, b`` of each block.
 
-def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether the bitmaps of a pair leave room for a link."""
+    Outliers are looked at, the leader first; the others are what they are held against.
+    """
+    def links(rows: dict) -> list[tuple[int, int]]:
+        names = sorted(rows, key=lambda m: (not rows[m][0], m != key[0], m))
+        sets = [np.frombuffer(rows[m][2], np.uint64) for m in names]
+        _, label = np.unique([rows[m][1] for m in names], return_inverse=True)
+        found = link_block(sets, label, [i for i, m in enumerate(names) if rows[m][0]])
+        return [(names[i], names[j]) for i, j in found]
+
+    key, rows = None, {}
     for batch in batches:
-        near = []
-        for x, y, nx, ny in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-            most = min(nx, ny)
-            if linked(nx, ny, most):
-                most = min(most, overlap_bound(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8), nx, ny))
-            near.append(linked(nx, ny, most))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+        out = []
+        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for k, outlier, root, name, blob in zip(keys, batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+            if k != key:
+                out += links(rows) if rows else []
+                key, rows = k, {}
+            rows[name] = (outlier or name in rows and rows[name][0], root, blob.as_py())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+    if rows and (out := links(rows)):
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+
+def small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def block_links(docs: DataFrame, classes: DataFrame, uses: DataFrame, label: str) -> DataFrame:
+    """``a, b`` for ``uses(lead, block, outlier, root, name)``: the blocks in which a set is wanted."""
+    uses = stage(uses, label)
+    wanted = stage(uses.select("name").distinct().join(classes, "name").select(F.col("rep").alias("doc_id"), "twice"), label)
+    light = small(uses)
+    ids = wanted.select("doc_id").distinct()
+    sets = docs.join(F.broadcast(ids) if light else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text").mapInArrow(_sets, SETS)
+    if wanted.where("twice").limit(1).count():
+        sets = sets.dropDuplicates(["name"])
+    # Arrays move once, from the documents to the blocks that need them.
+    rows = sets.join(F.broadcast(uses) if light else uses, "name").select("lead", "block", "outlier", "root", "name", "elements")
+    rows = rows.repartition("lead", "block").sortWithinPartitions("lead", "block")
+    return stage(rows.mapInArrow(_blocks, "a long, b long"), label)
 
 
-def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, near`` for each pair, from bitmaps alone: a twentieth of the bytes of the arrays."""
-    one = sets.select(F.col("name").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx"))
-    two = sets.select(F.col("name").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_bound, "a long, b long, near boolean")
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (leader, salt, rank): a leader's own set, then those to hold against it."""
-    leader = mine = None
-    for batch in batches:
-        a, b, ok = [], [], []
-        cols = [batch.column(i) for i in (0, 2, 3, 4)]
-        for lead, rank, name, blob in zip(*(c.to_pylist() if i < 3 else c for i, c in enumerate(cols))):
-            s = _unpack(blob.as_py())
-            if rank == 0:
-                if lead != leader:
-                    leader, mine = lead, s
-                continue
-            a.append(lead)
-            b.append(name)
-            ok.append(linked(len(mine), len(s), len(np.intersect1d(mine, s, assume_unique=True))))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, linked`` for each pair; a leader's pairs are spread over salts and streamed, never gathered."""
-    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salted = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    others = salted.select(F.col("b").alias("name"), "a", "salt", F.lit(1).alias("rank"))
-    uses = others.union(salted.select(F.col("a").alias("name"), "a", "salt", F.lit(0).alias("rank")).distinct())
-    if pairs.limit(BROADCAST_USES // 2 + 1).count() <= BROADCAST_USES // 2:  # each pair makes two uses at most
-        uses = F.broadcast(uses)
-    # Arrays move once: from where they were stored to the group that needs them.
-    rows = sets.join(uses, "name").select("a", "salt", "rank", F.col("name").alias("b"), "elements")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "rank")
-    return rows.mapInArrow(_verify, "a long, b long, linked boolean")
+# ---------------------------------------------------------------- the join
 
 
-# ---------------------------------------------------------------- the join
+def groups_of(tiles: DataFrame, shared: DataFrame) -> DataFrame:
+    """``lead, name, n``: the members of the tiles of each leader, from ``tiles(tile, name, n)`` and ``shared(name, k)``."""
+    ranked = tiles.join(shared, "name").withColumn("rank", F.struct((F.col("k") / F.col("n")).alias("part"), F.col("name").alias("lead")))
+    leads = ranked.groupBy("tile").agg(F.max("rank.part").alias("part"), F.max("rank").alias("top"), F.min("name").alias("lo"), F.max("name").alias("hi"))
+    leads = stage(leads.where("lo <> hi").select("tile", F.col("top.lead").alias("lead")), "jaccard-leads")
+    return stage(tiles.join(leads, "tile").select("lead", "name", "n").distinct(), "jaccard-groups")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -329,76 +348,65 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = stage(docs.mapInArrow(_describe, "kind byte, doc_id long, n long, name long"), "jaccard-told")
     meta = told.where("kind = 0")
-    classes = stage(meta.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    rows = meta.where("n > 0").groupBy("name", "doc_id").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    classes = rows.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")).alias("first"), F.sum("rows").alias("copies"), F.max("n").alias("n"))
+    classes = classes.select("name", "n", "copies", F.col("first.doc_id").alias("rep"), (F.col("first.rows") > 1).alias("twice"))
+    classes = stage(classes, "jaccard-classes")
 
-    total = meta.count()
+    total, elements = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequent = (
         told.where("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // FREQUENT)).orderBy("n", "name").select("name").toPandas()
     )
     order = spark.sparkContext.broadcast(Order(frequent["name"].to_numpy(np.int64).view(np.uint64)))
-    buckets = 4 * slices(spark)
+    buckets = max(2 * slices(spark), elements * PACKED * 5 // 16 // BUCKET_BYTES)
     packed = docs.select("text").mapInArrow(_prefixes(order, buckets), "bucket int, tokens binary, names binary, sizes binary")
     found = stage(packed.groupBy("bucket").applyInArrow(_tiles, "tile long, name long, n long, k long"), "jaccard-found")
     # A partner has at least 0.75 n elements, so this many shingles at least are shared with it.
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / SHARED))
-    enough = found.where("tile is null").groupBy("name").agg(F.sum("k").alias("k"), F.max("n").alias("n")).where(F.col("k") >= least).select("name")
-    left = found.where("tile is not null").drop("k").join(enough, "name", "left_semi")
-    several = left.groupBy("tile").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("tile")
-    # A tile found in several buckets has the same content, so repeated rows add nothing.
-    tiles = stage(left.join(several, "tile", "left_semi").distinct(), "jaccard-tiles")
+    enough = found.where("tile is null").groupBy("name").agg(F.sum("k").alias("k"), F.max("n").alias("n")).where(F.col("k") >= least)
+    groups = groups_of(found.where("tile is not null").select("tile", "name", "n"), enough.select("name", "k"))
     discard(found)
 
-    members = tiles.select("name").distinct()
-    wanted = members.join(classes, "name").select("rep")
-    wanted = stage(wanted.withColumnRenamed("rep", "doc_id"), "jaccard-wanted")
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = np.sort(wanted.toPandas()["doc_id"].to_numpy(np.int64))
-        sets = docs.mapInArrow(_sets(spark.sparkContext.broadcast(ids)), SETS)
-    else:
-        sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(None), SETS)
-    sets = stage(sets, "jaccard-sets")
-
-    # Round 0: each set against the leader that it shares most tiles with.
-    lead = tiles.groupBy("tile").agg(F.min("name").alias("a"))
-    shared = tiles.join(lead, "tile").where("name <> a").groupBy("name", "a").agg(F.count("*").alias("k"))
-    pairs = shared.groupBy("name").agg(F.max(F.struct("k", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("name").alias("b"))
-    pairs = stage(pairs, "jaccard-next")
-    done = links = None
-    root = None
-    for r in range(MAX_ROUNDS):
-        hopes = stage(bounded(pairs, sets), "jaccard-bounded")
-        checked = stage(verify(hopes.where("near").select("a", "b"), sets), "jaccard-checked")
-        new = checked.where("linked").select("a", "b")
-        apart = checked.where("not linked").select("a", "b").union(hopes.where("not near").select("a", "b"))
-        links = new if links is None else links.union(new)
-        done = apart if done is None else done.union(apart)
-        root = connected(links)
-        placed = tiles.join(root.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        open_tiles = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("tile", "m")
-        left = stage(placed.join(open_tiles, "tile"), "jaccard-open")
-        discard(pairs)
-        # A growing part of an open tile's sets, all of them in the end, against the other components in it.
-        some = 8 * 8**r
-        chosen = left.where(F.pmod(F.xxhash64("name", F.lit(r)), F.col("m")) < some)
-        x = chosen.select("tile", F.col("name").alias("p"), F.col("root").alias("pr"), F.col("n").alias("pn"), (F.col("m") <= some).alias("all"))
-        y = left.select("tile", F.col("name").alias("q"), F.col("root").alias("qr"), F.col("n").alias("qn"))
-        near = (F.least("pn", "qn") * 100 >= F.greatest("pn", "qn") * PERCENT) & (F.col("pr") != F.col("qr"))
-        found = x.join(y, "tile").where(near & (~F.col("all") | (F.col("p") < F.col("q"))))
-        found = found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stage(found.join(known, ["a", "b"], "left_anti"), "jaccard-next")
-        if not pairs.limit(1).count() and not left.where(F.col("m") > some).limit(1).count():
-            break
-    else:
-        raise RuntimeError("tiles did not settle")
-
-    groups = classes.join(root.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    groups = stage(groups, "jaccard-groups")
-    least = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stage(groups.join(least, "root").select("name", "component_id"), "jaccard-named")
-    return meta.join(named, "name", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    # All sets of a block against each other, the leader first.
+    load = groups.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    placed = groups.join(load, "lead")
+    here = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = placed.where("name <> lead").select("lead", here.alias("block"), "name")
+    leads = load.select("lead", everywhere.alias("block"), F.col("lead").alias("name"))
+    uses = members.union(leads).select("lead", "block", F.lit(True).alias("outlier"), F.col("name").alias("root"), "name")
+    links = block_links(docs, classes, uses, "jaccard-blocks")
+    roots = connected(links).withColumnRenamed("node", "name")
+
+    # Groups of several blocks: what lies outside of the main component, against the others.
+    large = placed.where("blocks > 1").select("lead", "name", "n").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    large = stage(large, "jaccard-large")
+    most = large.groupBy("lead", "root").agg(F.count("*").alias("m")).groupBy("lead").agg(F.max(F.struct("m", "root")).alias("top")).select("lead", F.col("top.root").alias("main"))
+    large = large.join(most, "lead").withColumn("outlier", F.col("root") != F.col("main"))
+    cut = lambda rows: F.greatest(F.ceil(F.count(rows) / BLOCK_SETS), F.ceil(F.sum(F.when(rows.isNotNull(), F.col("n"))) / BLOCK_ELEMENTS)).cast("int")
+    load = stage(large.groupBy("lead").agg(cut(F.when(F.col("outlier"), F.lit(1))).alias("xs"), cut(F.col("name")).alias("ys")).where("xs > 0"), "jaccard-load")
+    if load.limit(1).count():
+        held = large.join(load, "lead")
+        of = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x = held.where("outlier").select("lead", of("xs").alias("x"), each("ys").alias("y"), "ys", "outlier", "root", "name")
+        y = held.select("lead", each("xs").alias("x"), of("ys").alias("y"), "ys", F.lit(False).alias("outlier"), "root", "name")
+        uses = x.union(y).select("lead", (F.col("x") * F.col("ys") + F.col("y")).alias("block"), "outlier", "root", "name")
+        more = block_links(docs, classes, uses, "jaccard-outliers")
+        # Components of components.
+        ends = more
+        for side in ("a", "b"):
+            ends = ends.join(roots.select(F.col("name").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+        over = connected(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        nodes = roots.union(over.select("node", "node")).distinct()
+        roots = nodes.join(over.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("name", F.coalesce("up", "root").alias("root"))
+        roots = stage(roots, "jaccard-roots")
+
+    # A set of one document that links nothing is a component of its own and needs no row here.
+    placed = classes.join(roots, "name", "left").where((F.col("copies") > 1) | F.col("root").isNotNull()).select("name", "rep", F.coalesce("root", "name").alias("root"))
+    placed = stage(placed, "jaccard-placed")
+    named = stage(placed.join(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("name", "component_id"), "jaccard-named")
+    return meta.join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

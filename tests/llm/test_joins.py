@@ -140,16 +140,54 @@ def test_components_equal_brute_force(spark):
     assert kept == {i for i, (_, c) in got.items() if i == c} and J.keep_first(frame).columns == frame.columns
 
 
-def test_components_without_broadcast(spark, monkeypatch):
-    for name in ("BROADCAST_IDS", "BROADCAST_USES"):
-        monkeypatch.setattr(J, name, 0)
-    monkeypatch.setattr(J, "SALT_ROWS", 2)
+def test_components_by_shuffles_and_small_blocks(spark, monkeypatch):
+    for name, value in (("BROADCAST_ROWS", 0), ("BLOCK_SETS", 3), ("BUCKET_BYTES", 1000)):
+        monkeypatch.setattr(J, name, value)
     texts = near_texts(5, 8)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs(spark, texts)).collect()}
     assert got == brute_jaccard(list(enumerate(texts)))
     assert J.jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_large_group_in_many_blocks(spark, monkeypatch):
+    """A chain of edits: most members link to a few others only, so blocks leave outliers."""
+    monkeypatch.setattr(J, "BLOCK_SETS", 5)
+    monkeypatch.setattr(J, "FREQUENT", 20)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(90):
+        words[rng.randrange(100)] = f"e{i}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs(spark, texts).repartition(3)).collect()}
+    assert got == brute_jaccard(list(enumerate(texts)))
+
+
+def test_repeated_rows_and_ids(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    near = long.replace("w20 ", "x ")
+    texts = [long] * 500 + [near] * 500 + ["alone here with six words only", "other text under the same id", None, "null id and six words more"]
+    ids = [7] * 500 + [8] * 500 + [3, 3, 3, None]
+    got = sorted(tuple(r) for r in J.jaccard_components(docs(spark, texts, ids)).where("doc_id is not null").distinct().collect())
+    assert got == [(3, 0, 3), (3, 2, 3), (7, 36, 7), (8, 36, 7)]
+    rows = J.jaccard_components(docs(spark, texts, ids))
+    assert rows.count() == len(texts) and [tuple(r) for r in rows.where("doc_id is null").collect()] == [(None, 2, None)]
+    # A text whose only doc_id is null still links the others.
+    got = {(r.doc_id, r.component_id) for r in J.jaccard_components(docs(spark, [long, near], [None, 5])).collect()}
+    assert got == {(None, 5), (5, 5)}
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    edited = list(words)
+    for i in range(0, 60_000, 120):
+        edited[i] = "edit"
+    texts = [" ".join(words), " ".join(edited), "x" * 300_000]
+    got = [(r.doc_id, r.component_id) for r in J.jaccard_components(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [(0, 0), (1, 0), (2, 2)]
+
+
 def test_bitmaps_never_understate_the_overlap():
     import numpy as np
 
@@ -157,22 +195,26 @@ def test_bitmaps_never_understate_the_overlap():
     for _ in range(200):
         pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
-        assert J.overlap_bound(J.bitmap(a), J.bitmap(b), len(a), len(b)) >= len(np.intersect1d(a, b))
+        bits = J.bitmaps([a, b])
+        assert J.overlap_bounds(bits[0], bits[1:], len(a), np.array([len(b)]))[0] >= len(np.intersect1d(a, b))
 
 
 def test_prefixes_share_what_links_must_share():
     import numpy as np
 
-    rng, order = np.random.default_rng(3), J.Order(np.zeros(0, np.uint64))
-    for _ in range(300):
-        n = int(rng.integers(1, 200))
-        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        b = a.copy()
-        k = int(rng.integers(0, max(1, len(a) // 4) + 1))
-        b[rng.choice(len(b), min(k, len(b)), replace=False)] = rng.integers(0, 2**63, min(k, len(b)), dtype=np.uint64)
-        b = np.unique(b)
-        if J.linked(len(a), len(b), len(np.intersect1d(a, b))):
-            assert len(np.intersect1d(order.prefix(a), order.prefix(b))) >= min(J.least_shared(len(a)), J.least_shared(len(b)))
+    rng = np.random.default_rng(3)
+    for often in (0, 60):
+        for _ in range(300):
+            n = int(rng.integers(1, 200))
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            order = J.Order(rng.permutation(a)[:often])
+            b = a.copy()
+            k = int(rng.integers(0, max(1, len(a) // 4) + 1))
+            b[rng.choice(len(b), min(k, len(b)), replace=False)] = rng.integers(0, 2**63, min(k, len(b)), dtype=np.uint64)
+            b = np.unique(b)
+            if J.linked(len(a), len(b), len(np.intersect1d(a, b))):
+                (ra, fa), (rb, fb) = order.prefix(a), order.prefix(b)
+                assert len(np.intersect1d(ra, rb)) + len(np.intersect1d(fa, fb)) >= min(J.least_shared(len(a)), J.least_shared(len(b)))
 
 
 def test_connected_components(spark):
