@@ -61,7 +61,7 @@ SHARED = 16
 #: Packed bytes of a bucket of prefixes, and of a prefix's element in it.
 BUCKET_BYTES, PACKED = 16 << 20, 18
 #: Sets and elements of a block.
-BLOCK_SETS, BLOCK_ELEMENTS = 400, 1 << 20
+BLOCK_SETS, BLOCK_ELEMENTS = 256, 1 << 20
 
 
 def linked(a: int, b: int, both: int) -> bool:
@@ -81,33 +81,57 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / math.log(BAND)).astype(np.int64)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 64-bit words for each set: its hashed bitmap, at least four bits an element of the largest."""
-    width = max(64, 1 << (4 * max(map(len, sets)) - 1).bit_length())
-    out = np.zeros((len(sets), width // 8), np.uint8)
-    for row, s in zip(out, sets):
-        bits = np.zeros(width, np.uint8)
-        bits[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
-        row[:] = np.packbits(bits)
-    return out.view(np.uint64)
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Hashed bitmap of a set: two bits an element, rounded up to a power of two."""
+    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    out = np.zeros(width, np.uint8)
+    out[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
 
 
-def overlap_bounds(x: np.ndarray, rows: np.ndarray, nx: int, n: np.ndarray) -> np.ndarray:
-    """Upper bounds of overlaps: each bit that differs takes an element that only one of the two sets has."""
-    return (nx + n - np.bitwise_count(rows ^ x).sum(1, dtype=np.int64)) // 2
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, words), 0)
+
+
+class Bitmaps:
+    """Sizes and bitmaps of a block's sets; two are compared in the narrower one's width."""
+
+    def __init__(self, n: list[int], bits: list[np.ndarray]):
+        self.n, self.words = np.array(n, np.int64), np.array([len(b) for b in bits])
+        self.levels = {}
+        for w in np.unique(self.words).tolist():
+            self.levels[w] = np.zeros((len(bits), w), np.uint64)
+            for i in np.flatnonzero(self.words >= w).tolist():
+                self.levels[w][i] = fold(bits[i], w)
+
+    def bounds(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Upper bounds of overlaps: each bit that differs takes an element that only one of the two sets has."""
+        differ = np.zeros(len(others), np.int64)
+        for w, rows in self.levels.items():
+            if w <= self.words[i]:
+                at = np.flatnonzero(np.minimum(self.words[others], self.words[i]) == w)
+                differ[at] = np.bitwise_count(rows[others[at]] ^ rows[i]).sum(1, dtype=np.int64)
+        return (self.n[i] + self.n[others] - differ) // 2
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the ``others`` (a mask) that sizes and bitmaps let link with set ``i``."""
+        n = self.n
+        near = np.flatnonzero(others & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        return near[linked(n[i], n[near], self.bounds(i, near))]
 
 
 # ---------------------------------------------------------------- pass 1: sizes, names, frequent shingles
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a document's id, set size and set name.  Kind 1: a shingle frequent in this batch and its count."""
+    """Kind 0: a document's id, set size, set name and bitmap.  Kind 1: a shingle frequent in this batch and its count."""
     for batch in portions(batches, 1):
         ids = batch.column(0).to_pylist()
-        n, names, own, seen = [], [], [], set()
+        n, names, bits, own, seen = [], [], [], [], set()
         for s in shingle_sets(batch.column(1).to_pylist()):
             n.append(len(s))
             names.append(signature(s) if len(s) else None)
+            bits.append(bitmap(s).tobytes() if len(s) else None)
             if len(s) and names[-1] not in seen:
                 seen.add(names[-1])
                 own.append(s)
@@ -120,8 +144,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(len(h), pa.int64())]),
                 pa.concat_arrays([pa.array(n, pa.int64()), pa.array(c, pa.int64())]),
                 pa.concat_arrays([pa.array(names, pa.int64()), pa.array(h, pa.int64())]),
+                pa.concat_arrays([pa.array(bits, pa.binary()), pa.nulls(len(h), pa.binary())]),
             ],
-            names=["kind", "doc_id", "n", "name"],
+            names=["kind", "doc_id", "n", "name", "bits"],
         )
 
 
@@ -243,13 +268,26 @@ def _tiles(rows: pa.Table) -> pa.Table:
 # ---------------------------------------------------------------- blocks
 
 
-SETS = "name long, elements binary"
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches, 0):
-        sets = {signature(s): s.tobytes() for s in shingle_sets(batch.column(0).to_pylist()) if len(s)}
-        yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["name", "elements"])
+        sets = {signature(s): s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sets), pa.int64()), pa.array(list(map(len, sets.values())), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["name", "n", "blob"]
+        )
+
+
+def near_block(bits: Bitmaps, label: np.ndarray, among: list[int]) -> np.ndarray:
+    """Mask of the sets that may link with one of another component, ``among`` on one side at least."""
+    out, inside = np.zeros(len(label), bool), np.zeros(len(label), bool)
+    inside[among] = True
+    for i in among:
+        # One near set is enough for one that is known as near; the others may still need it.
+        rest = (label != label[i]) & ~(out & out[i] & inside)
+        near = bits.near(i, rest) if rest.any() else []
+        if len(near):
+            out[near] = True
+            out[i] = True
+    return out
 
 
 def link_block(sets: list[np.ndarray], label: np.ndarray, among: list[int]) -> list[tuple[int, int]]:
@@ -260,16 +298,14 @@ def link_block(sets: list[np.ndarray], label: np.ndarray, among: list[int]) -> l
     """
     all_look = len(among) == len(sets)
     n = np.array([len(s) for s in sets], np.int64)
-    bits = bitmaps(sets)
+    bits = Bitmaps(n, [bitmap(s) for s in sets])
     out, looked, main = [], np.zeros(len(sets), bool), None
     for i in among:
         if all_look and main is not None and label[i] == label[main]:
             continue
-        near = np.flatnonzero((label != label[i]) & ~looked & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        near = bits.near(i, (label != label[i]) & ~looked)
         looked[i] = True
         main = i if main is None else main
-        if len(near):
-            near = near[linked(n[i], n[near], overlap_bounds(bits[i], bits[near], n[i], n[near]))]
         # In portions, so that most of a large component is joined before its other members are looked at.
         for part in np.array_split(near, -(-len(near) // 64)) if len(near) else []:
             part = part[label[part] != label[i]]
@@ -285,50 +321,79 @@ def link_block(sets: list[np.ndarray], label: np.ndarray, among: list[int]) -> l
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``lead, block, outlier, root, name, elements`` sorted by (lead, block): the links ``a, b`` of each block.
+#: A set's use in a block.
+USE = "lead long, block int, outlier boolean, root long, name long"
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], step, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``step`` for the rows of each block, which come as ``USE``, a size and a blob, sorted by (lead, block).
 
     Outliers are looked at, the leader first; the others are what they are held against.
     """
-    def links(rows: dict) -> list[tuple[int, int]]:
+    def done(rows: dict) -> list[tuple]:
         names = sorted(rows, key=lambda m: (not rows[m][0], m != key[0], m))
-        sets = [np.frombuffer(rows[m][2], np.uint64) for m in names]
         _, label = np.unique([rows[m][1] for m in names], return_inverse=True)
-        found = link_block(sets, label, [i for i, m in enumerate(names) if rows[m][0]])
-        return [(names[i], names[j]) for i, j in found]
+        return step(key, names, label, [i for i, m in enumerate(names) if rows[m][0]], [rows[m] for m in names])
 
     key, rows = None, {}
     for batch in batches:
         out = []
         keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        for k, outlier, root, name, blob in zip(keys, batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+        for k, outlier, root, name, n, blob in zip(keys, *(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), batch.column(6)):
             if k != key:
-                out += links(rows) if rows else []
+                out += done(rows) if rows else []
                 key, rows = k, {}
-            rows[name] = (outlier or name in rows and rows[name][0], root, blob.as_py())
+            rows[name] = (outlier or name in rows and rows[name][0], root, n, blob.as_py())
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-    if rows and (out := links(rows)):
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema)
+    if rows and (out := done(rows)):
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The uses of sets whose bitmaps leave room for a link in their block."""
+    def step(key, names, label, among, rows):
+        near = near_block(Bitmaps([x[2] for x in rows], [np.frombuffer(x[3], np.uint64) for x in rows]), label, among)
+        return [(*key, rows[i][0], rows[i][1], names[i]) for i in np.flatnonzero(near).tolist()]
+
+    fields = [("lead", pa.int64()), ("block", pa.int32()), ("outlier", pa.bool_()), ("root", pa.int64()), ("name", pa.int64())]
+    return _by_block(batches, step, pa.schema(fields))
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links ``a, b`` of each block."""
+    def step(key, names, label, among, rows):
+        return [(names[i], names[j]) for i, j in link_block([np.frombuffer(x[3], np.uint64) for x in rows], label, among)]
+
+    return _by_block(batches, step, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def small(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def block_links(docs: DataFrame, classes: DataFrame, uses: DataFrame, label: str) -> DataFrame:
-    """``a, b`` for ``uses(lead, block, outlier, root, name)``: the blocks in which a set is wanted."""
-    uses = stage(uses, label)
-    wanted = stage(uses.select("name").distinct().join(classes, "name").select(F.col("rep").alias("doc_id"), "twice"), label)
-    light = small(uses)
+def in_blocks(rows: DataFrame, uses: DataFrame, step, schema: str) -> DataFrame:
+    """``step`` over the blocks of ``uses``, with the blobs of ``rows(name, n, blob)``, which move once."""
+    rows = rows.join(F.broadcast(uses) if small(uses) else uses, "name").select("lead", "block", "outlier", "root", "name", "n", "blob")
+    return rows.repartition("lead", "block").sortWithinPartitions("lead", "block").mapInArrow(step, schema)
+
+
+def block_links(docs: DataFrame, meta: DataFrame, classes: DataFrame, uses: DataFrame) -> DataFrame:
+    """``a, b`` for ``uses`` (as ``USE``): links that join the components in each block, from bitmaps, then from arrays."""
+    def once(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        return rows.dropDuplicates(["name"]) if wanted.where("twice").limit(1).count() else rows
+
+    uses = stage(uses, "jaccard-uses")
+    wanted = uses.select("name").distinct().join(classes.select("name", F.col("rep").alias("doc_id"), "twice"), "name")
+    wanted = stage(wanted, "jaccard-wanted")
+    first = F.broadcast(wanted) if small(wanted) else wanted
+    told = meta.alias("m").join(first.alias("w"), (F.col("m.name") == F.col("w.name")) & F.col("m.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+    near = stage(in_blocks(once(told.select("name", "n", F.col("bits").alias("blob")), wanted), uses, _near, USE), "jaccard-near")
+    wanted = stage(wanted.join(near.select("name").distinct(), "name", "left_semi"), "jaccard-wanted")
     ids = wanted.select("doc_id").distinct()
-    sets = docs.join(F.broadcast(ids) if light else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text").mapInArrow(_sets, SETS)
-    if wanted.where("twice").limit(1).count():
-        sets = sets.dropDuplicates(["name"])
-    # Arrays move once, from the documents to the blocks that need them.
-    rows = sets.join(F.broadcast(uses) if light else uses, "name").select("lead", "block", "outlier", "root", "name", "elements")
-    rows = rows.repartition("lead", "block").sortWithinPartitions("lead", "block")
-    return stage(rows.mapInArrow(_blocks, "a long, b long"), label)
+    mine = docs.join(F.broadcast(ids) if small(ids) else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+    sets = once(mine.mapInArrow(_sets, "name long, n long, blob binary"), wanted)
+    return stage(in_blocks(sets, near, _links, "a long, b long"), "jaccard-links")
 
 
 # ---------------------------------------------------------------- the join
@@ -346,7 +411,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = stage(docs.mapInArrow(_describe, "kind byte, doc_id long, n long, name long"), "jaccard-told")
+    told = stage(docs.mapInArrow(_describe, "kind byte, doc_id long, n long, name long, bits binary"), "jaccard-told")
     meta = told.where("kind = 0")
     rows = meta.where("n > 0").groupBy("name", "doc_id").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
     classes = rows.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")).alias("first"), F.sum("rows").alias("copies"), F.max("n").alias("n"))
@@ -375,7 +440,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = placed.where("name <> lead").select("lead", here.alias("block"), "name")
     leads = load.select("lead", everywhere.alias("block"), F.col("lead").alias("name"))
     uses = members.union(leads).select("lead", "block", F.lit(True).alias("outlier"), F.col("name").alias("root"), "name")
-    links = block_links(docs, classes, uses, "jaccard-blocks")
+    links = block_links(docs, meta, classes, uses)
     roots = connected(links).withColumnRenamed("node", "name")
 
     # Groups of several blocks: what lies outside of the main component, against the others.
@@ -392,7 +457,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         x = held.where("outlier").select("lead", of("xs").alias("x"), each("ys").alias("y"), "ys", "outlier", "root", "name")
         y = held.select("lead", each("xs").alias("x"), of("ys").alias("y"), "ys", F.lit(False).alias("outlier"), "root", "name")
         uses = x.union(y).select("lead", (F.col("x") * F.col("ys") + F.col("y")).alias("block"), "outlier", "root", "name")
-        more = block_links(docs, classes, uses, "jaccard-outliers")
+        more = block_links(docs, meta, classes, uses)
         # Components of components.
         ends = more
         for side in ("a", "b"):

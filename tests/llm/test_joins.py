@@ -195,8 +195,8 @@ def test_bitmaps_never_understate_the_overlap():
     for _ in range(200):
         pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
-        bits = J.bitmaps([a, b])
-        assert J.overlap_bounds(bits[0], bits[1:], len(a), np.array([len(b)]))[0] >= len(np.intersect1d(a, b))
+        bits = J.Bitmaps([len(a), len(b)], [J.bitmap(a), J.bitmap(b)])
+        assert bits.bounds(0, np.array([1]))[0] >= len(np.intersect1d(a, b)) and bits.bounds(1, np.array([0]))[0] >= len(np.intersect1d(a, b))
 
 
 def test_prefixes_share_what_links_must_share():
