@@ -25,8 +25,8 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quire/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stage(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``free`` after large shuffles.
 
     Cuts the lineage: a lost executor costs at most the tasks since this point,
     and the files outlive every executor.
@@ -34,7 +34,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    release(spark)
+    if free:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

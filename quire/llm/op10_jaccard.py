@@ -2,29 +2,29 @@
 
 Two sets link when 100 * |intersection| >= 75 * |union|.  Under any fixed order
 of all shingles, linked sets share at least ``k`` shingles among their first
-``n - ceil(0.75 n) + k``, here with ``k = n / 16``; frequent shingles are put last
+``n - ceil(0.75 n) + k``, here with ``k = n / 8``; frequent shingles are put last
 in that order, so that common lines and passages seldom name a tile.  A set that
 has fewer than ``k`` such shingles in common with all others together, as when it
 only quotes a passage, links nothing and is dropped before any array travels.  A tile is such a shingle within a
 size band; linked sets have sizes in the ratio of 4/3 at most, so they meet in
 the tile of their common or adjoining band.
 
-Every tile is led by the member that has the largest part of its prefix in
-common with others: in a family of near copies, the text that the others were
-made from.  Tiles of one leader are one group, so a set travels to a few groups
-instead of to dozens of tiles, and linked sets still meet in one.  A group is cut
-into blocks of bounded bytes, each with the leader.  Within a block, in its own
-task, a set is held against those that are not yet in its component: bit counts
-of hashed bitmaps bound the overlap from above, then the sorted arrays are
-intersected.  What leaves a task is a spanning forest, never the pairs.  Groups of
-one block are then done.  In larger ones, the sets outside of the group's main
-component are few; they are held against the other blocks, outliers of a block
-against members of a block.
+Every tile is led by its smallest name, and tiles of one leader are one group, so a
+set travels to a few groups instead of to dozens of tiles, and linked sets still
+meet in one.  As they share ``k`` shingles, a set may leave groups, those that hold
+the fewest of its shingles first, until less than half of ``k`` is given up: two
+sets then give up less than ``k`` together.  A group is cut into blocks of bounded
+bytes, each with the leader.  Within a block, in its own task, bit counts of hashed
+bitmaps bound the overlaps from above; sets with a near partner are fetched whole
+and held against those not yet in their component by intersecting sorted arrays.
+What leaves a task is a spanning forest, never the pairs.  Groups of one block are
+then done.  In larger ones, the sets outside of the group's main component are few;
+they are held against the other blocks, outliers of a block against members of a block.
 
 At scale: equal sets count once, whatever the number of copies; prefixes travel
-packed, to as many buckets as their bytes ask for; a frequent shingle is known to
-be a tile, so its rows go to any bucket and no bucket holds them all; tables by
-tile and name are plain joins, whose hot keys Spark splits.  The list of frequent
+packed, to as many buckets as their bytes ask for, those of a set with very many
+copies once; a frequent shingle is known to be a tile, so its rows go to any bucket
+and no bucket holds them all; tables by tile and name are plain aggregates and joins.  The list of frequent
 shingles is at most 2,000 times the mean set size, whatever the number of
 documents; lists of names are broadcast behind a count, beyond that joined by a shuffle.
 
@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, slices, stage, table
@@ -56,10 +56,10 @@ FREQUENT = 2000
 BAND = 1.34
 #: Rows up to which a list of names or ids (32 bytes each) is broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Prefixes are longer by one sixteenth of the set, and must share that much.
-SHARED = 16
-#: Packed bytes of a bucket of prefixes, and of a prefix's element in it.
-BUCKET_BYTES, PACKED = 16 << 20, 18
+#: Prefixes are longer by one eighth of the set, and must share that much.
+SHARED = 8
+#: Packed bytes of a bucket of prefixes, of a prefix's element in it, and the least number of buckets.
+BUCKET_BYTES, PACKED, BUCKETS = 16 << 20, 18, 64
 #: Sets and elements of a block.
 BLOCK_SETS, BLOCK_ELEMENTS = 256, 1 << 20
 
@@ -154,9 +154,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Order:
-    """The order of shingles: the rest by hash, then frequent ones by count and hash."""
+    """The order of shingles: the rest by hash, then frequent ones by count and hash; documents that stand for much-copied sets."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, copied: dict[int, int] | None = None):
+        self.copied = copied or {}
         # ``frequent`` comes in that order; its ranks are looked up by hash.
         by_hash = np.argsort(frequent)
         self.hashes, self.ranks = frequent[by_hash], by_hash.astype(np.int64)
@@ -175,10 +176,10 @@ class Order:
 def _prefixes(order, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = order.value
-        for batch in portions(batches, 0):
+        for batch in portions(batches, 1):
             seen, tokens, often, names, sizes = set(), [], [], [], []
-            for s in shingle_sets(batch.column(0).to_pylist()):
-                if not len(s) or (name := signature(s)) in seen:
+            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist())):
+                if not len(s) or (name := signature(s)) in seen or rule.copied.get(name, i) != i:
                     continue
                 seen.add(name)
                 rare, late = rule.prefix(s)
@@ -210,14 +211,23 @@ def _prefixes(order, buckets: int):
     return run
 
 
+FOUND = "tile long, lead long, name long, n long, k long, w long"
+
+
 def _tiles(rows: pa.Table) -> pa.Table:
-    """Members ``tile, name, n`` of the tiles of a bucket that hold two sets or more; like tiles count once.
+    """Members of the groups that tiles of a bucket form: ``lead, name, n``, and ``w``, how many shingles of the set the group holds here.
 
-    Rows without a tile tell for each set how many (``k``) of its shingles lie in such tiles.
+    ``k`` counts each of the set's shared shingles in one of its groups only.  Frequent shingles
+    have a ``tile`` instead of a lead.
     """
     def gather(column: str, kind) -> np.ndarray:
         return np.frombuffer(b"".join(x.as_py() for x in rows.column(column)), kind)
 
+    def starts(*keys: np.ndarray) -> np.ndarray:
+        if not len(keys[0]):
+            return np.zeros(0, int)
+        return np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+
     with np.errstate(over="ignore"):
         six = gather("tokens", np.uint8).reshape(-1, 6)
         t = np.zeros((len(six), 8), np.uint8)
@@ -227,40 +237,44 @@ def _tiles(rows: pa.Table) -> pa.Table:
         often = n < 0
         hot, hot_names, hot_n = t[often], names[often], -n[often]
         t, names, n = t[~often], names[~often], n[~often]
-        bucket = np.uint64(rows.column("bucket")[0].as_py())
         by = np.argsort(t, kind="stable")
         t, names, n = t[by], names[by], n[by]
         same = t[1:] == t[:-1]
         shared = np.r_[same, False] | np.r_[False, same] if len(t) else np.zeros(0, bool)  # a shingle of one set links nothing
         t, names, n = t[shared], names[shared], n[shared]
+        by = np.lexsort((names, t))
+        by = by[starts(t[by], names[by])]
+        t, names, n = t[by], names[by], n[by]
         b = band(n).astype(np.uint64)
-        t2, n2, m2 = np.r_[t, t], np.r_[n, n], np.r_[names, names]
-        source = np.r_[np.arange(len(t)), np.arange(len(t))]
-        tile = mix((t2 * np.uint64(1 << 16) + bucket) * np.uint64(256) + np.r_[b, b + np.uint64(1)])
-        by = np.lexsort((m2, tile))
-        tile, n2, m2, source = tile[by], n2[by], m2[by], source[by]
-        fresh = np.r_[True, (tile[1:] != tile[:-1]) | (m2[1:] != m2[:-1])] if len(tile) else np.zeros(0, bool)
-        tile, n2, m2, source = tile[fresh], n2[fresh], m2[fresh], source[fresh]
-        starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else np.zeros(0, int)
-        counts = np.diff(np.r_[starts, len(tile)])
-        # A tile's content is named by the sum of its members' mixed names; of equal contents one stays.
-        content = np.add.reduceat(mix(m2.view(np.uint64)), starts) if len(starts) else np.zeros(0, np.uint64)
-        _, first = np.unique(content, return_index=True)
-        keep = np.zeros(len(starts), bool)
-        keep[first] = True
-        mask = np.repeat(keep & (counts > 1), counts)
-        source = np.unique(source[np.repeat(counts > 1, counts)])
+        tile, name, source = mix(np.r_[t * np.uint64(256) + b, t * np.uint64(256) + b + np.uint64(1)]), np.r_[names, names], np.r_[np.arange(len(t)), np.arange(len(t))]
+        by = np.lexsort((name, tile))
+        tile, name, source = tile[by], name[by], source[by]
+        at = starts(tile)
+        counts = np.diff(np.r_[at, len(tile)])
+        several = np.repeat(counts > 1, counts)
+        lead, name, source = np.repeat(name[at], counts)[several], name[several], source[several]
+        # A shingle counts once for a set in each group, in ``k`` for one of its groups.
+        by = np.lexsort((lead, source))
+        by = by[starts(source[by], lead[by])]
+        lead, name, source = lead[by], name[by], source[by]
+        first = np.zeros(len(source), np.int64)
+        first[starts(source)] = 1
+        by = np.lexsort((name, lead))
+        lead, name, first, size = lead[by], name[by], first[by], n[source[by]]
+        at = starts(lead, name)
+        k, w = np.add.reduceat(first, at) if len(at) else first, np.diff(np.r_[at, len(lead)])
         # Every frequent shingle is a tile, named by its rank alone, in all buckets alike.
         h = band(hot_n).astype(np.uint64)
-        hot_tile = mix(~(np.r_[hot, hot] * np.uint64(256) + np.r_[h, h + np.uint64(1)]))
-        own, first, k = np.unique(np.r_[names[source], hot_names], return_index=True, return_counts=True)
-        tile = np.r_[np.repeat(content, counts)[mask], hot_tile].view(np.int64)
+        hot_tile = mix(~(np.r_[hot, hot] * np.uint64(256) + np.r_[h, h + np.uint64(1)])).view(np.int64)
+        ones = np.ones(len(hot), np.int64)
     return pa.table(
         {
-            "tile": pa.concat_arrays([pa.array(tile), pa.nulls(len(own), pa.int64())]),
-            "name": pa.array(np.r_[m2[mask], hot_names, hot_names, own]),
-            "n": pa.array(np.r_[n2[mask], hot_n, hot_n, np.r_[n[source], hot_n][first]].astype(np.int64)),
-            "k": pa.array(np.r_[np.zeros(len(tile), np.int64), k]),
+            "tile": pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(hot_tile)]),
+            "lead": pa.concat_arrays([pa.array(lead[at]), pa.nulls(len(hot_tile), pa.int64())]),
+            "name": pa.array(np.r_[name[at], hot_names, hot_names]),
+            "n": pa.array(np.r_[size[at], hot_n, hot_n].astype(np.int64)),
+            "k": pa.array(np.r_[k, ones, 0 * ones]),
+            "w": pa.array(np.r_[w, ones, ones].astype(np.int64)),
         }
     )
 
@@ -399,12 +413,19 @@ def block_links(docs: DataFrame, meta: DataFrame, classes: DataFrame, uses: Data
 # ---------------------------------------------------------------- the join
 
 
-def groups_of(tiles: DataFrame, shared: DataFrame) -> DataFrame:
-    """``lead, name, n``: the members of the tiles of each leader, from ``tiles(tile, name, n)`` and ``shared(name, k)``."""
-    ranked = tiles.join(shared, "name").withColumn("rank", F.struct((F.col("k") / F.col("n")).alias("part"), F.col("name").alias("lead")))
-    leads = ranked.groupBy("tile").agg(F.max("rank.part").alias("part"), F.max("rank").alias("top"), F.min("name").alias("lo"), F.max("name").alias("hi"))
-    leads = stage(leads.where("lo <> hi").select("tile", F.col("top.lead").alias("lead")), "jaccard-leads")
-    return stage(tiles.join(leads, "tile").select("lead", "name", "n").distinct(), "jaccard-groups")
+def groups_of(found: DataFrame) -> DataFrame:
+    """``lead, name, n``: the groups in which a set has to be held against others, from ``found`` (as ``FOUND``)."""
+    hot = found.where("tile is not null").drop("lead")
+    leads = stage(hot.groupBy("tile").agg(F.min("name").alias("lead"), F.max("name").alias("hi")).where("lead <> hi").select("tile", "lead"), "jaccard-leads")
+    all_ = found.where("tile is null").select("lead", "name", "n", "k", "w").union(hot.join(leads, "tile").select("lead", "name", "n", "k", "w"))
+    members = all_.groupBy("lead", "name").agg(F.max("n").alias("n"), F.sum("k").alias("k"), F.sum("w").alias("w"))
+    # A partner has at least 0.75 n elements, so this many shingles at least are shared with it.
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / SHARED))
+    own = Window.partitionBy("name")
+    given_up = F.sum("w").over(own.orderBy("w", "lead").rowsBetween(Window.unboundedPreceding, 0))
+    members = members.withColumn("all", F.sum("k").over(own)).withColumn("given_up", given_up)
+    members = members.where((F.col("all") >= least) & (F.col("given_up") > F.floor((least - 1) / 2)))
+    return stage(members.select("lead", "name", "n"), "jaccard-groups")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -419,26 +440,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = stage(classes, "jaccard-classes")
 
     total, elements = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequent = (
-        told.where("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // FREQUENT)).orderBy("n", "name").select("name").toPandas()
-    )
-    order = spark.sparkContext.broadcast(Order(frequent["name"].to_numpy(np.int64).view(np.uint64)))
-    buckets = max(2 * slices(spark), elements * PACKED * 5 // 16 // BUCKET_BYTES)
-    packed = docs.select("text").mapInArrow(_prefixes(order, buckets), "bucket int, tokens binary, names binary, sizes binary")
-    found = stage(packed.groupBy("bucket").applyInArrow(_tiles, "tile long, name long, n long, k long"), "jaccard-found")
-    # A partner has at least 0.75 n elements, so this many shingles at least are shared with it.
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / SHARED))
-    enough = found.where("tile is null").groupBy("name").agg(F.sum("k").alias("k"), F.max("n").alias("n")).where(F.col("k") >= least)
-    groups = groups_of(found.where("tile is not null").select("tile", "name", "n"), enough.select("name", "k"))
+    many = max(8, total // FREQUENT)
+    frequent = told.where("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= many).orderBy("n", "name").select("name").toPandas()
+    copied = {r.name: r.rep for r in classes.where((F.col("copies") >= many) & F.col("rep").isNotNull()).select("name", "rep").collect()}  # FREQUENT at most
+    order = spark.sparkContext.broadcast(Order(frequent["name"].to_numpy(np.int64).view(np.uint64), copied))
+    buckets = max(BUCKETS, slices(spark), elements * PACKED * 3 // 8 // BUCKET_BYTES)
+    packed = docs.mapInArrow(_prefixes(order, buckets), "bucket int, tokens binary, names binary, sizes binary")
+    found = stage(packed.groupBy("bucket").applyInArrow(_tiles, FOUND), "jaccard-found", free=True)
+    groups = groups_of(found)
     discard(found)
 
     # All sets of a block against each other, the leader first.
-    load = groups.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    placed = groups.join(load, "lead")
+    load = groups.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"), F.count("*").alias("m"))
+    placed = groups.join(load.where("m > 1").drop("m"), "lead")
     here = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = placed.where("name <> lead").select("lead", here.alias("block"), "name")
-    leads = load.select("lead", everywhere.alias("block"), F.col("lead").alias("name"))
+    leads = placed.where("name = lead").select("lead", everywhere.alias("block"), "name")
     uses = members.union(leads).select("lead", "block", F.lit(True).alias("outlier"), F.col("name").alias("root"), "name")
     links = block_links(docs, meta, classes, uses)
     roots = connected(links).withColumnRenamed("node", "name")

@@ -581,13 +581,13 @@ def repeated_ranges(docs: DataFrame, many_in_batch: int = MANY_IN_BATCH, many: i
         return own.groupBy("_b").applyInArrow(_per_doc(kind), "doc_id long, data binary")
 
     packed = docs.mapInArrow(_find_anchors(buckets, many_in_batch, block), PACKED)
-    found = stage(packed.groupBy("bucket").applyInArrow(_resolve(many), FLAT), "repeats-classes")
-    asked = stage(by_doc(found, ASK), "repeats-asked")
+    found = stage(packed.groupBy("bucket").applyInArrow(_resolve(many), FLAT), "repeats-classes", free=True)
+    asked = stage(by_doc(found, ASK), "repeats-asked", free=True)
     # Questions are many wherever texts repeat, so they are always joined by shuffle.
     contexts = _beside(docs, asked, _fetch(buckets), CONTEXTS, 0)
-    more = stage(contexts.groupBy("bucket").applyInArrow(_scan_suffixes, FLAT), "repeats-suffixes")
+    more = stage(contexts.groupBy("bucket").applyInArrow(_scan_suffixes, FLAT), "repeats-suffixes", free=True)
     discard(asked)
-    ranges = stage(by_doc(found.unionByName(more), COVER), "repeats-ranges")
+    ranges = stage(by_doc(found.unionByName(more), COVER), "repeats-ranges", free=True)
     discard(found, more)
     return ranges
 
