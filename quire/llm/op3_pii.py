@@ -7,9 +7,11 @@ values different ones:
 * payment cards (13 to 19 digits, Luhn): all digits but the last are permuted,
   the last is the new Luhn digit; IBANs (mod 97): the digits of the account
   part are permuted and the check digits set anew;
-* US social security numbers, telephone numbers, IPv4 addresses;
+* US social security numbers, walked on until the number is a valid one again;
+  telephone numbers, IPv4 addresses;
 * dates (ISO, day first, or month first with slashes): the day number is
-  permuted within a cycle of 400 years, 1800 to 2199, so a date becomes a date.
+  permuted within a cycle of 400 years, 1800 to 2199, so a date becomes a date; where
+  day or month is written with one digit, walked on until it has one again.
 
 E-mail addresses have no digits to permute: their letters and digits are replaced by
 a keyed digest in the form ``u<16 hex>@mail.invalid``.  Separators stay where they
@@ -35,7 +37,8 @@ ROUNDS = 8
 #: Days of 400 Gregorian years; 627 x 233 of them, so two Feistel halves fit exactly.
 FIRST_DAY, DAY_HALVES = "1800-01-01", (627, 233)
 
-EMAIL = r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A domain has 127 labels at most; beyond that, what follows is not part of the address.
+EMAIL = r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 ISO = r"(?<![\d./-])[12]\d{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d|-\d)"
@@ -81,6 +84,29 @@ def unfeistel(a: Column, b: Column, a_mod: Column, b_mod: Column, tag: str, key:
     return a, b
 
 
+def permute_pair(a: Column, b: Column, a_mod: int, b_mod: int, tag: str, key: str) -> Column:
+    """The struct (a, b) of ``feistel``, each round evaluated once."""
+    am, bm = F.lit(a_mod).cast("bigint"), F.lit(b_mod).cast("bigint")
+
+    def one(i: int):
+        def go(s: Column) -> Column:
+            if i % 2 == 0:
+                return F.struct(F.pmod(s["a"] + _draw(key, tag, i, s["b"], am), am).alias("a"), s["b"].alias("b"))
+            return F.struct(s["a"].alias("a"), F.pmod(s["b"] + _draw(key, tag, i, s["a"], bm), bm).alias("b"))
+
+        return go
+
+    out = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+    for i in range(ROUNDS):
+        out = _step(out, one(i))
+    return out
+
+
+def walk(start: Column, fits, step, most: Column) -> Column:
+    """``start`` after one ``step``, and after more until it ``fits``: a permutation of the values that fit."""
+    return F.aggregate(F.sequence(F.lit(1), most), step(start), lambda x, _: F.when(fits(x), x).otherwise(step(x)))
+
+
 def _step(column: Column, f) -> Column:
     """Evaluate ``column`` once, then ``f`` of it; nested rounds would else repeat it many times over."""
     return F.transform(F.array(column), f)[0]
@@ -202,9 +228,7 @@ def _ipv4(m: Column, key: str) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda x: x.cast("bigint"))
 
     def go(p: Column) -> Column:
-        k = F.lit(65536).cast("bigint")
-        a, b = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], k, k, "ipv4", key, 4)
-        return F.struct(a.alias("a"), b.alias("b"))
+        return permute_pair(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ipv4", key)
 
     return _step(
         _step(parts, go),
@@ -230,19 +254,34 @@ def date_ok(m: Column) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     x, y = DAY_HALVES
+    first = F.lit(FIRST_DAY).cast("date")
+    parts = lambda s: F.split(s, "[./-]")
+    month_first = lambda s: s.contains("/") & (F.try_element_at(F.split(s, "/"), F.lit(2)).try_cast("int") > 12)
+    wide = lambda s, i: (F.length(parts(s)[i]) > 1) | s.rlike(r"^\d{4}-")
+
+    def moved(n: Column) -> Column:
+        pair = permute_pair(F.floor(n / y), F.pmod(n, F.lit(y).cast("bigint")), x, y, "date", key)
+        return _step(pair, lambda p: p["a"] * y + p["b"])
 
     def go(s: Column) -> Column:
-        n = F.datediff(_day(s), F.lit(FIRST_DAY).cast("date")).cast("bigint")
-        a, b = feistel(F.floor(n / y), F.pmod(n, F.lit(y).cast("bigint")), F.lit(x).cast("bigint"), F.lit(y).cast("bigint"), "date", key, 4)
-        return F.struct(s.alias("s"), F.date_add(F.lit(FIRST_DAY).cast("date"), (a * y + b).cast("int")).alias("d"))
+        day_wide, month_wide = F.when(month_first(s), wide(s, 1)).otherwise(wide(s, 0)), F.when(month_first(s), wide(s, 0)).otherwise(wide(s, 1))
+
+        def fits(n: Column) -> Column:
+            d = F.date_add(first, n.cast("int"))
+            return (day_wide | (F.dayofmonth(d) < 10)) & (month_wide | (F.month(d) < 10))
+
+        start = F.datediff(_day(s), first).cast("bigint")
+        n = walk(start, fits, moved, F.when(day_wide & month_wide, F.lit(1)).otherwise(F.lit(300)))
+        return F.struct(s.alias("s"), F.date_add(first, n.cast("int")).alias("d"), day_wide.alias("dw"), month_wide.alias("mw"))
 
     def formed(v: Column) -> Column:
         s, d = v["s"], v["d"]
         sep = F.regexp_extract(s, r"\d([./-])", 1)
-        month_first = s.contains("/") & (F.try_element_at(F.split(s, "/"), F.lit(2)).try_cast("int") > 12)
         dd, mm, yy = F.date_format(d, "dd"), F.date_format(d, "MM"), F.date_format(d, "yyyy")
+        short = s.rlike(r"^\d{4}-")
+        dd, mm = F.when(v["dw"] | short, dd).otherwise(F.date_format(d, "d")), F.when(v["mw"] | short, mm).otherwise(F.date_format(d, "M"))
         return F.when(s.rlike(r"^\d{4}-"), F.concat_ws("-", yy, mm, dd)).otherwise(
-            F.concat(F.when(month_first, mm).otherwise(dd), sep, F.when(month_first, dd).otherwise(mm), sep, yy)
+            F.concat(F.when(month_first(s), mm).otherwise(dd), sep, F.when(month_first(s), dd).otherwise(mm), sep, yy)
         )
 
     return _step(_step(m, go), formed)
@@ -253,6 +292,13 @@ def _number(m: Column, tag: str, key: str) -> Column:
     return _step(_digits(m), lambda d: refill(m, F.concat(d.substr(1, 1), permute_digits(d.substr(F.lit(2), F.length(d)), tag, key))))
 
 
+def _ssn(m: Column, key: str) -> Column:
+    valid = lambda d: ~d.rlike(r"^(?:000|666|9)|^\d{3}00|0000$")
+    step = lambda d: F.concat(d.substr(1, 1), permute_digits(d.substr(F.lit(2), F.length(d)), "ssn", key))
+    # One in 70 does not fit, so twelve more steps end all walks but one in 10**22.
+    return _step(walk(_digits(m), valid, step, F.lit(12)), lambda d: refill(m, d))
+
+
 def _full(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
@@ -279,7 +325,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         .when(kind == "ipv4", _ipv4(m, key))
         .when(kind == "date", _date(m, key))
         .when(kind == "card", _card(m, key))
-        .when(kind == "ssn", _number(m, "ssn", key))
+        .when(kind == "ssn", _ssn(m, key))
         .when(kind == "phone", _number(m, "phone", key))
         .otherwise(m)
     )

@@ -94,6 +94,61 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert {"kind", "n"} <= set(P.pseudonymize(docs(spark, [])).columns)
 
 
+def test_valid_numbers_stay_valid_and_different(spark):
+    ids = [f"{a:03d}-{g:02d}-{n:04d}" for a in range(1, 900, 7) if a != 666 for g in (1, 45, 99) for n in (1, 777, 9999)]
+    got = [r.text for r in P.pseudonymize(docs(spark, ids)).collect()]
+    assert all(re.fullmatch(P.SSN, x) for x in got) and len(set(got)) == len(ids)
+    short = [f"{d}.{m}.{y}" for d in (1, 5, 9) for m in (1, 4, 9) for y in range(1990, 2010)]
+    got = [r.text for r in P.pseudonymize(docs(spark, short)).collect()]
+    assert all(re.fullmatch(r"[1-9]\.[1-9]\.\d{4}", x) for x in got) and len(set(got)) == len(short)
+    same = [r.text for r in P.pseudonymize(docs(spark, ["2020-11-30", "30.11.2020", "11/30/2020"])).collect()]
+    assert same[0] == "-".join(reversed(same[1].split("."))) and sorted(same[2].split("/")) == sorted(same[0].split("-"))
+
+
+def test_pseudonyms_equal_an_independent_feistel(spark):
+    """SSN and IPv4 by plain Python."""
+    import hashlib
+
+    draw = lambda text, mod: int(hashlib.sha256(text.encode()).hexdigest()[:15], 16) % mod
+
+    def digits(d, tag, key):
+        n, k = len(d), len(d) // 2
+        a, b, am, bm = int(d[:k]), int(d[k:]), 10**k, 10 ** (n - k)
+        for i in range(8):
+            if i % 2 == 0:
+                a = (a + draw(f"{key}|{i}|{tag}|{n}|{b}", am)) % am
+            else:
+                b = (b + draw(f"{key}|{i}|{tag}|{n}|{a}", bm)) % bm
+        return f"{a:0{k}d}{b:0{n - k}d}"
+
+    def ssn(x, key):
+        d = x.replace("-", "")
+        while True:
+            d = d[0] + digits(d[1:], "ssn", key)
+            if not re.search(r"^(000|666|9)|^\d{3}00|0000$", d):
+                return f"{d[:3]}-{d[3:5]}-{d[5:]}"
+
+    def ipv4(x, key):
+        p = list(map(int, x.split(".")))
+        a, b = p[0] * 256 + p[1], p[2] * 256 + p[3]
+        for i in range(8):
+            if i % 2 == 0:
+                a = (a + draw(f"{key}|ipv4|{i}|{b}", 65536)) % 65536
+            else:
+                b = (b + draw(f"{key}|ipv4|{i}|{a}", 65536)) % 65536
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+
+    values = [f"{100 + i}-45-{6000 + i}" for i in range(60)] + [f"10.{i}.3.{i}" for i in range(40)]
+    got = {r.doc_id: r.text for r in P.pseudonymize(docs(spark, values), key="k").collect()}
+    assert [got[i] for i in range(100)] == [ssn(x, "k") if "-" in x else ipv4(x, "k") for x in values]
+
+
+def test_very_long_domains_and_texts(spark):
+    texts = ["mail x@" + "a." * 20_000 + "end", "mail x@" + "abc." * 20_000 + "end", "1" * 200_000, "7" + " 7" * 100_000]
+    rows = {r.doc_id: r for r in P.pseudonymize(docs(spark, texts)).collect()}
+    assert rows[0].text == texts[0] and rows[1].n_email == 1 and rows[2].text == texts[2]
+
+
 def test_digit_permutation_is_one(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     e = d.withColumn("e", P.permute_digits(F.col("d"), "t", "key"))
@@ -184,6 +239,22 @@ def test_bytes_behind_a_broken_chain_are_left_out(spark, tmp_path):
 # ---------------------------------------------------------------- URL filters
 
 
+def test_pages_without_id_lose_no_record(spark, tmp_path):
+    body = "<p>" + "z" * 200
+    pages = spark.createDataFrame([(1, "u", body), (None, "u", body), (None, None, "other " * 40), (4, "u", body), (5, "u", None)], "page_id long, url string, html string").coalesce(1)
+    W.write_archive(pages, str(tmp_path / "w"))
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in W.read_archive(spark, str(tmp_path / "w")).collect()]
+    want = [(1, "response", None, 203), (None, "response", None, 203), (None, "response", None, 240), (4, "revisit", 1, 203), (5, "response", None, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_very_long_hosts_and_paths(spark):
+    urls = ["http://" + "a." * 30_000 + "example.com/en/7" + "x" * 100_000, "http://" + "a" * 100_000 + ".net/de/9"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge_urls(pages, U.rule_table(spark, U.RULES)).collect()}
+    assert got == {0: ("example.com/en/7", "allow"), 1: ("net/de/", "allow")}
+
+
 def test_rules_equal_brute_force(spark):
     rng = random.Random(6)
     hosts = ["a.example.com", "Example.COM", "com", "x.net", "example.net", "deep.er.example.net", "y.org", "notexample.com", "example.community"]
