@@ -15,7 +15,8 @@ each round.  A record's payload is taken from its own piece where that is
 whole; else the pieces that its length covers are put together again.
 
 Defined results: null html is an empty payload; small or unique payloads are
-responses; repeated rows of a response are responses too;
+responses; repeated rows of a response are responses too; rows with a null page_id
+are responses, and no other row refers to them;
 an empty table gives an empty archive and no rows; other columns are ignored.
 Bytes that no chain from a file's start reaches are left out.
 """
@@ -56,7 +57,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     common = F.concat(
         F.lit("1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\nWARC-Target-URI: "), target,
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), target,
         F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
         F.lit("\r\nX-Payload-Length: "), F.col("n").cast("string"),
         F.when(revisit, F.concat(
@@ -115,6 +116,8 @@ def reachable(nodes: DataFrame) -> DataFrame:
         if now == known:
             break
         known = now
+    else:
+        raise RuntimeError("chains did not end")
     return reach
 
 
