@@ -1,8 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions, joined on short hash prefixes.
 
 Each URL expands into (host suffix, path prefix) expressions.  Path prefixes are
-cut only at the lengths that occur in the rules, so the expansion of a URL is
-bounded by labels x distinct rule lengths whatever the path is.  Expressions
+cut only at the lengths that occur in the rules, host suffixes only at the numbers of
+labels that occur there, so the expansion of a URL is bounded by the rules whatever it is.  Expressions
 meet the rules in an equi-join on the first 32 bits of SHA-256; a join row
 counts only if the full digests agree.  The longest rule wins; of equally long
 ones that with the longer host, then a block.
@@ -61,7 +61,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id") -> D
         _lower_ascii(F.col("rule_host")).alias("rule_host"), "rule_path", "rule_verdict",
     ).withColumn("rule_digest", _digest(F.col("rule_host"), F.col("rule_path")))
     r = r.withColumn("short", F.substring("rule_digest", 1, 8))
-    sized = r.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.length("rule_path"))).alias("lens")).first()
+    sized = r.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.length("rule_path"))).alias("lens"), F.array_sort(F.collect_set(F.size(F.split("rule_host", r"\.")))).alias("labels")).first()
     lens = [int(x) for x in sized["lens"]] or [0]
     if sized["n"] <= BROADCAST_RULES:
         r = F.broadcast(r)
@@ -70,13 +70,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id") -> D
     base = pages.select(F.col(id_col), F.col("url")).select(F.col(id_col), host.alias("host"), path.alias("path"))
     # Rows of one page stay in one task until the aggregate, so the row number is only a local name.
     base = base.withColumn("_row", F.monotonically_increasing_id())
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+    dots = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    suffixes = F.array_compact(F.array(*[F.when(dots >= n, F.substring_index("host", ".", -int(n))) for n in sized["labels"] or [1]]))
     cuts = F.filter(F.array(*[F.lit(x) for x in lens]), lambda n: n <= F.length("path"))
-    many = base.withColumn("suffix", F.explode(suffixes)).withColumn("cut", F.explode_outer(cuts))
+    many = base.withColumn("suffix", F.explode_outer(suffixes)).withColumn("cut", F.explode_outer(cuts))
     many = many.withColumn("prefix", F.expr("substring(path, 1, cut)"))
     many = many.withColumn("digest", _digest(F.col("suffix"), F.col("prefix")))
     hits = many.join(r, F.substring("digest", 1, 8) == r["short"], "left")
