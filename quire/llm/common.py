@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
-FALLBACK_DIR = "/tmp/quire-shared"
+_local: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where all run in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="quire-"))
+    return _local[0]
 
 
 def stage_path(spark: SparkSession, label: str) -> str:

@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 BLOCK_BYTES = 32 << 20
-#: Three word ids fit one 63-bit key below this; a block with more different words is split.
-MOST_WORDS = 1 << 21
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 RARE = 1e-8
 FEW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -54,28 +53,32 @@ def words(text: str | None) -> list[bytes]:
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment of two id arrays: (score, matched words, start in ``doc``)."""
-    m, n = len(item), len(doc)
-    steps = np.arange(n + 1, dtype=np.int32)
-    rows = np.zeros((m + 1, n + 1), dtype=np.int32)
-    for i in range(m):
-        up = rows[i]
-        best = np.maximum(up + GAP, 0)
-        best[1:] = np.maximum(best[1:], up[:-1] + np.where(doc == item[i], MATCH, MISMATCH))
-        # A gap in the item costs 1 a word: the running maximum of best[j] + j, less j.
-        rows[i + 1] = np.maximum(best, np.maximum.accumulate(best - GAP * steps) + GAP * steps)
-        rows[i + 1, 0] = 0
-    i, j = divmod(int(rows.argmax()), n + 1)
-    score, matched = int(rows[i, j]), 0
-    while i and j and rows[i, j]:
-        same = doc[j - 1] == item[i - 1]
-        if rows[i, j] == rows[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            i, j, matched = i - 1, j - 1, matched + bool(same)
-        elif rows[i, j] == rows[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, matched, j
+    """Best local alignment of two id arrays: (score, matched words, start in ``doc``).
+
+    Row by row, with the start and the matches of each cell's best path carried along, so memory is that of ``doc``.
+    """
+    n = len(doc)
+    steps = np.arange(n + 1)
+    score, start, matched = np.zeros(n + 1, np.int64), steps.copy(), np.zeros(n + 1, np.int64)
+    top = (0, 0, 0)
+    for word in item:
+        same = doc == word
+        diagonal = score[:-1] + np.where(same, MATCH, MISMATCH)
+        best, begin, hits = np.maximum(score + GAP, 0), start.copy(), matched.copy()
+        by = np.flatnonzero((diagonal >= best[1:]) & (diagonal > 0))
+        best[by + 1], begin[by + 1], hits[by + 1] = diagonal[by], start[by], matched[by] + same[by]
+        # A gap in the item costs 1 a word: the running maximum of best[j] + j, less j; the last cell that attains it is the source.
+        lifted = best - GAP * steps
+        running = np.maximum.accumulate(lifted)
+        source = np.maximum.accumulate(np.where(lifted == running, steps, 0))
+        score, start, matched = running + GAP * steps, begin[source], hits[source]
+        ended = score <= 0
+        score[0], ended[0] = 0, True
+        start[ended], matched[ended] = steps[ended], 0
+        j = int(score.argmax())
+        if score[j] > top[0]:
+            top = (int(score[j]), int(matched[j]), int(start[j]))
+    return top
 
 
 class Seeds:
@@ -99,12 +102,16 @@ class Seeds:
             places.append(at)
         order = np.argsort(np.concatenate(keys), kind="stable") if keys else np.empty(0, int)
         self.keys, self.owners, self.places = (
-            (np.concatenate(x)[order] if keys else np.empty(0, np.int64)) for x in (keys, owners, places)
+            (np.concatenate(x)[order] if keys else np.empty(0, np.uint64)) for x in (keys, owners, places)
         )
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        # Three ids below MOST_WORDS fit one key exactly.
-        return (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+    @staticmethod
+    def grams(ids: np.ndarray) -> np.ndarray:
+        """Hashed trigrams of word ids; those that fall together cost an alignment, no result."""
+        with np.errstate(over="ignore"):
+            x, y, z = (ids[i : len(ids) - 2 + i].astype(np.uint64) for i in range(3))
+            h = ((x * _ODD[0] + y) * _ODD[1] + z) * _ODD[2]
+            return h ^ (h >> np.uint64(31))
 
     def hits(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
         """(item number, score, matched, share, first word) of each item that reaches the limits."""
@@ -115,7 +122,7 @@ class Seeds:
         spots = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0))
         if not len(spots):
             return []
-        grams = (ids[spots] << 42) | (ids[spots + 1] << 21) | ids[spots + 2]
+        grams = self.grams(ids)[spots]
         low = np.searchsorted(self.keys, grams, "left")
         found = np.searchsorted(self.keys, grams, "right") - low
         if not found.any():
@@ -162,40 +169,25 @@ def _count_words(vocab):
     return run
 
 
-def _split(listed: list) -> Iterator[tuple[list, dict[bytes, int]]]:
-    """Items with their vocabulary, halved until each vocabulary is below ``MOST_WORDS``."""
-    vocab = {w: i for i, w in enumerate(sorted({w for _, x in listed for w in x}), 1)}
-    if len(vocab) < MOST_WORDS:
-        if vocab:
-            yield listed, vocab
-        return
-    if len(listed) == 1:
-        raise ValueError(f"item {listed[0][0]} alone holds too many different words")
-    del vocab
-    half = len(listed) // 2
-    yield from _split(listed[:half])
-    yield from _split(listed[half:])
-
-
-def seed_blocks(docs: DataFrame, items: DataFrame) -> list:
-    """Broadcast ``Seeds`` of the test items, in blocks of a bounded size."""
+def seed_blocks(docs: DataFrame, items: DataFrame) -> Iterator:
+    """Broadcast ``Seeds`` of the test items, in blocks of a bounded size; the next one is made when it is asked for."""
     spark = docs.sparkSession
     clean = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
-    out = []
     for b in range(blocks):
         own = clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         listed = [(r.item_id, words(r.text)) for r in own]
-        for part, vocab in _split(listed):
-            shared = spark.sparkContext.broadcast(vocab)
-            counted = docs.select("text").mapInArrow(_count_words(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-            counts = np.zeros(len(vocab) + 1)
-            for r in counted:  # one row a word of the block
-                counts[r.word] = r.n
-            share = np.maximum(counts, 1) / max(counts[0], 1)
-            out.append(spark.sparkContext.broadcast(Seeds(part, vocab, share)))
-    return out
+        vocab = {w: i for i, w in enumerate(sorted({w for _, x in listed for w in x}), 1)}
+        if not vocab:
+            continue
+        shared = spark.sparkContext.broadcast(vocab)
+        counted = docs.select("text").mapInArrow(_count_words(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(len(vocab) + 1)
+        for r in counted:  # one row a word of the block
+            counts[r.word] = r.n
+        shared.destroy()
+        yield spark.sparkContext.broadcast(Seeds(listed, vocab, np.maximum(counts, 1) / max(counts[0], 1))), blocks
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -219,24 +211,29 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         return run
 
     narrow = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    found = [narrow.mapInArrow(scan(s), SCHEMA) for s in seed_blocks(docs, items)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    out = None
+    for seeds, blocks in seed_blocks(docs, items):
+        found = narrow.mapInArrow(scan(seeds), SCHEMA)
+        if blocks > 1:  # written before the next block's seeds are made
+            found = stage(found, "decontam-pairs")
+            seeds.destroy()
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, that hold no test item; judged in place, without a join."""
-    for seeds in seed_blocks(docs, items):
+    everything = docs
+    for seeds, blocks in seed_blocks(everything, items):
 
         @F.pandas_udf("boolean")
         def clean(texts, seeds=seeds):
             return texts.map(lambda t: not seeds.value.hits(t)).astype(bool)
 
         docs = docs.where(clean("text"))
+        if blocks > 1:
+            docs = stage(docs, "decontam-left")
+            seeds.destroy()
     return docs
 
 

@@ -155,7 +155,39 @@ def test_blocks_of_items_give_the_same_pairs(spark, passages, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in D.contaminated(frame, bench).collect()} == whole and len(whole) == 12
 
 
-def test_a_block_of_too_many_words_is_split(spark, passages):
+def test_pairs_equal_brute_force(spark):
+    """Every document is aligned with every item in full, by a textbook matrix of its own."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    take = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [take(rng.randint(12, 40)) for _ in range(12)] + [take(2), []]
+    texts = [take(60) for _ in range(10)]
+    for k, x in enumerate(items[:12]):
+        y = list(x)
+        for _ in range(k % 5):
+            y[rng.randrange(len(y))] = rng.choice(vocab)
+        del y[3 : 3 + k % 3]
+        y = y[: max(4, len(y) - 2 * k)] if k > 6 else y
+        texts.append(take(15) + y + take(rng.randint(0, 15)))
+    want = set()
+    for d, w in enumerate(texts):
+        for i, x in enumerate(items):
+            h, m = np.zeros((len(x) + 1, len(w) + 1), int), np.zeros((len(x) + 1, len(w) + 1), int)
+            for p in range(1, len(x) + 1):
+                for q in range(1, len(w) + 1):
+                    same = x[p - 1] == w[q - 1]
+                    h[p, q], m[p, q] = max((h[p - 1, q - 1] + (2 if same else -1), m[p - 1, q - 1] + same), (h[p - 1, q] - 1, m[p - 1, q]), (h[p, q - 1] - 1, m[p, q - 1]), (0, 0), key=lambda z: z[0])
+            at = h.argmax()
+            if len(x) > 2 and h.flat[at] / (2 * len(x)) >= D.SHARE and m.flat[at] >= D.LEAST_WORDS:
+                want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id int, text string")
+    frame = docs(spark, [" ".join(w) for w in texts])
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(frame, bench).collect()} == want and len(want) > 6
+    left = {r.doc_id for r in D.drop_contaminated(frame, bench).collect()}
+    assert left == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_items_of_very_many_words(spark, passages):
     rng, words, items = passages
     many = [" ".join(f"{k}{i:x}" for i in range(1_100_000)) for k in "yz"]  # more than 2**21 different words together
     bench = spark.createDataFrame([(0, " ".join(items[0])), (1, many[0]), (2, many[1]), (3, " ".join(items[1]))], "item_id int, text string")
@@ -163,6 +195,17 @@ def test_a_block_of_too_many_words_is_split(spark, passages):
     assert {(r.doc_id, r.item_id) for r in D.contaminated(frame, bench).collect()} == {(0, 0), (1, 3)}
 
 
+def test_alignment_over_a_very_long_text_keeps_its_memory():
+    import tracemalloc
+
+    item, doc = np.arange(1, 201), np.resize(np.arange(1, 51), 300_000)
+    tracemalloc.start()
+    score, matched, at = D.align(item, np.r_[doc, item])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (score, matched, at) == (400, 200, len(doc)) and peak < 100e6  # the whole matrix has 240 MB
+
+
 def test_alignment_equals_the_textbook():
     rng = random.Random(3)
     for _ in range(60):
@@ -172,3 +215,5 @@ def test_alignment_equals_the_textbook():
             for j in range(1, len(b) + 1):
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
         assert D.align(np.array(a), np.array(b))[0] == h.max()
+        score, matched, at = D.align(np.array(a), np.array(b))
+        assert 2 * matched >= score and (not matched or b[at] == a[0] or b[at] in a)
