@@ -10,7 +10,6 @@ from .codecs import decode_chain, predict
 from .lexer import NULL, Reader, Value
 
 TAIL = 2048
-MAX_SECTIONS = 64
 TRAILER = -1
 
 _ENTRY = re.compile(rb"\s*(\d{1,10})\s+(\d{1,5})\s+([nf])")
@@ -119,7 +118,7 @@ def sections(data: bytes, start: int) -> tuple[list[list[tuple]], Value, str]:
     ``/XRefStm`` of a hybrid file comes right after its section, then ``/Prev``.
     """
     out, trailer, kind, todo, seen = [], None, "", [start], set()
-    while todo and len(out) < MAX_SECTIONS:
+    while todo:  # no section is read twice
         at = todo.pop(0)
         if at in seen or at >= len(data):
             continue

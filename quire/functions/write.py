@@ -167,8 +167,52 @@ def assemble_packed(objects: list[tuple[int, Value]], members: list[tuple[int, V
 TRAILER = {"Root": ref(1), "Info": ref(6)}
 
 
+def book(text: str, lang: str, source: str, fan: int = 4) -> bytes:
+    """A page for each line, under a page tree of ``fan`` kids a node; contents of every page in an array of two streams."""
+    lines = text.split("\n")
+    objects = [(1, dictionary(Type="Catalog", Pages=ref(2))), (5, dictionary(Type="Font", Subtype="Type1", BaseFont="Helvetica")), (6, page_objects("", lang, source)[5][1])]
+    number, level = 7, []
+    for line in lines:
+        half = len(line) // 2
+        parts = [(number + 1, stream(page_content(line[:half]))), (number + 2, stream(page_content(line[half:])))]
+        page = {"Type": "Page", "MediaBox": [0, 0, 612, 792], "Contents": [ref(n) for n, _ in parts], "Resources": dictionary(Font=dictionary(F1=ref(5)))}
+        level.append((number, page, 1))
+        objects += parts
+        number += 3
+    while True:
+        top = len(level) <= fan
+        above = []
+        for i in range(0, len(level), fan):
+            own, kids = 2 if top else number, level[i : i + fan]
+            number += not top
+            objects += [(n, dictionary(**d, Parent=ref(own))) for n, d, _ in kids]
+            above.append((own, {"Type": "Pages", "Kids": [ref(n) for n, _, _ in kids], "Count": sum(c for _, _, c in kids)}, sum(c for _, _, c in kids)))
+        if top:
+            objects.append((2, dictionary(**above[0][1])))
+            return assemble(sorted(objects, key=lambda o: o[0]), TRAILER)
+        level = above
+
+
+def updated(data: bytes, num: int, value: Value, size: int) -> bytes:
+    """``data`` with an incremental update: object ``num`` anew, and a section of its own that names the one before."""
+    before = int(data.rpartition(b"startxref")[2].split()[0])
+    at = len(data)
+    body_ = indirect(num, value)
+    section = b"xref\n%d 1\n%010d 00000 n \n" % (num, at)
+    end = b"trailer\n" + body(Value("Dictionary", {"Size": wrap(size), **TRAILER, "Prev": wrap(before)})) + b"\nstartxref\n%d\n%%%%EOF\n" % (at + len(body_))
+    return data + body_ + section + end
+
+
 def layout(kind: str, text: str | None, lang: str | None, source: str | None) -> bytes:
-    """A one-page file of a text: ``lay1``, ``lay2`` (packed), ``lay2p`` (packed, predictor 12) or ``lay3`` (with leading)."""
+    """A file of a text: one page as ``lay1``, ``lay2`` (packed), ``lay2p`` (packed, predictor 12), ``lay3`` (with leading)
+    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line."""
+    if kind == "book":
+        return book(text or "", lang or "", source or "")
+    if kind == "lay4":
+        data = layout("lay1", text, lang, source)
+        for title in ("first edit", "second edit"):
+            data = updated(data, 6, dictionary(Title=Value("LiteralString", title), Author=Value("LiteralString", source or "")), 7)
+        return data
     objects = page_objects(text or "", lang or "", source or "", 14 if kind == "lay3" else 0)
     if kind in ("lay1", "lay3"):
         return assemble(objects, TRAILER)

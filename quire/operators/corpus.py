@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from quire.sources import pdf
 
 
+def first_of(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
 class Corpus:
     """Tables of parsed files; ``parsed`` has one row a file with its tables nested.
 
@@ -23,9 +28,8 @@ class Corpus:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Corpus:
-        # Files differ in size, so they are dealt anew before they are parsed.
-        files = pdf.read_files(spark, path)
-        return cls(pdf.parse(files.repartition("path")))
+        # Files are parsed where they are read: their bytes never pass a shuffle.
+        return cls(pdf.parse(pdf.read_files(spark, path)))
 
     @classmethod
     def from_binary(cls, files: DataFrame) -> Corpus:
@@ -54,8 +58,7 @@ class Corpus:
     @cached_property
     def xref(self) -> DataFrame:
         """The entry that counts for each number: that of the newest section, the first within it."""
-        newest = Window.partitionBy("file_id", "path", "obj_num").orderBy("section_ix", "entry_ix")
-        return self.sections.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+        return first_of(self.sections, ["file_id", "path", "obj_num"], ["section_ix", "entry_ix"])
 
     @cached_property
     def objects(self) -> DataFrame:

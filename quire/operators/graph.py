@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import written
+
 from .corpus import Corpus
 
 # Type names, image filters, subtype-qualified types, colour spaces, procedure sets, scalar names.
@@ -133,21 +135,22 @@ def owning_pages(c: Corpus) -> DataFrame:
     return direct.union(hop.join(named, ["file_id", "path", "array_num"]).select(*KEY, "page_num")).distinct()
 
 
-def page_order(c: Corpus, max_depth: int = 64) -> DataFrame:
-    """Pages in document order: ``page_ix`` from 0.  Levels are joined one by one; a node met on its own path ends it."""
+def page_order(c: Corpus) -> DataFrame:
+    """Pages in document order: ``page_ix`` from 0.
+
+    Levels are joined one by one, each a written table, until one is empty; a node met on its own path ends it.
+    """
     kids = c.nodes.where("kind = 'Reference' and key_path rlike '^Kids\\\\.\\\\['").select("file_id", "path", "obj_num", F.col("ord").alias("kid_ix"), F.col("ref_num").alias("kid"))
     root = c.trailer().where("key = 'Root'").select("file_id", "path", F.col("ref_num").alias("obj_num"))
     top = c.entry("Pages").where("kind = 'Reference'").join(root, KEY, "left_semi").select("file_id", "path", F.col("ref_num").alias("num"))
-    level = top.withColumn("trail", F.array("num")).withColumn("place", F.array().cast("array<int>"))
+    level = written(top.withColumn("trail", F.array("num")).withColumn("place", F.array().cast("array<int>")), "pages-level")
     pages = c.objects.where("type_name = 'Page'").select("file_id", "path", F.col("obj_num").alias("num"))
-    out = None
-    for _ in range(max_depth):
+    out = level.select("file_id", "path", "num", "place").limit(0)
+    while not level.isEmpty():
         found = level.join(pages, ["file_id", "path", "num"], "left_semi").select("file_id", "path", "num", "place")
-        out = found if out is None else out.union(found)
+        out = out.union(found)
         step = level.join(kids, (level.file_id == kids.file_id) & (level.path == kids.path) & (level.num == kids.obj_num)).where(~F.array_contains("trail", F.col("kid")))
-        level = step.select(level.file_id, level.path, F.col("kid").alias("num"), F.array_append("trail", F.col("kid")).alias("trail"), F.array_append("place", F.col("kid_ix")).alias("place"))
-        if level.isEmpty():
-            break
+        level = written(step.select(level.file_id, level.path, F.col("kid").alias("num"), F.array_append("trail", F.col("kid")).alias("trail"), F.array_append("place", F.col("kid_ix")).alias("place")), "pages-level")
     from pyspark.sql import Window
 
     order = Window.partitionBy("file_id", "path").orderBy("place")

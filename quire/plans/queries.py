@@ -10,11 +10,12 @@ import json
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import formats, graph, layout, pdfx, text
-from quire.operators.corpus import Corpus
+from quire.operators.corpus import Corpus, first_of
+from quire.session import shared_dir, written
 from quire.sources import pdf
 
 QUERIES: dict = {}
@@ -40,7 +41,8 @@ def generated(spark: SparkSession, sf_dir: str, kind: str = "lay1") -> DataFrame
 
 
 def corpus(spark: SparkSession, sf_dir: str, kind: str = "lay1") -> Corpus:
-    return Corpus.from_binary(generated(spark, sf_dir, kind))
+    """Parsed once and written; every table of a question reads that."""
+    return Corpus(written(Corpus.from_binary(generated(spark, sf_dir, kind)).parsed, f"corpus-{kind}"))
 
 
 def with_doc(df: DataFrame) -> DataFrame:
@@ -266,8 +268,7 @@ _ALL = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_
     f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_ALL}) AS k FROM lineitem) WHERE k = 1",
 )
 def q28(spark, sf):
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_ALL.split(", "))
-    return table(spark, sf, "lineitem").withColumn("k", F.row_number().over(w)).where("k = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return first_of(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], _ALL.split(", ")).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
 @query(
@@ -338,7 +339,13 @@ def q33(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, role string, text_sha256 string")
 
 
-@query("q34_font_tables")
+@query(
+    "q34_font_tables",
+    """SELECT doc_id, t.tag AS tag, CASE t.k WHEN 0 THEN 60 WHEN 1 THEN 60 + (n + 3) // 4 * 4 ELSE 60 + (n + 3) // 4 * 4 + (least(n, 54) + 3) // 4 * 4 END AS "offset",
+              least(n, t.most) AS length, t.d AS "desc"
+       FROM (SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
+            (VALUES (0, 'glyf', 1000000000, 'Glyph outlines'), (1, 'head', 54, 'Font header'), (2, 'maxp', 6, 'Maximum profile')) t(k, tag, most, d)""",
+)
 def q34(spark, sf):
     """Directories of fonts generated from document texts: three tables each, offsets ascending."""
 
@@ -399,7 +406,7 @@ def q38(spark, sf):
 def q39(spark, sf):
     from quire.streaming.ingest import ingest
 
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/quire-shared').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/quire/stream-{uuid.uuid4().hex}"
     generated(spark, sf).select("path", "content").write.parquet(f"{folder}/in")
     source = spark.readStream.schema("path string, content binary").parquet(f"{folder}/in")
     ingest(source, f"{folder}/table", f"{folder}/checkpoint")
@@ -420,7 +427,7 @@ def q40(spark, sf):
     return spark.sql(
         """WITH RECURSIVE walk(id, depth, trail) AS (
              SELECT id, 0, name FROM {tree} WHERE parent IS NULL
-             UNION ALL SELECT t.id, w.depth + 1, concat(w.trail, '/', t.name) FROM walk w JOIN {tree} t ON t.parent = w.id WHERE w.depth < 10)
+             UNION ALL SELECT t.id, w.depth + 1, concat(w.trail, '/', t.name) FROM walk w JOIN {tree} t ON t.parent = w.id)
            SELECT depth, trail FROM walk""",
         tree=tree,
     )
@@ -496,3 +503,164 @@ def q51(spark, sf):
 def q52(spark, sf):
     rows = table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
     return rows.select("label", "n", layout.grid_width(F.col("n")).alias("width"))
+
+
+@query(
+    "q53_stream_faults",
+    """SELECT doc_id, concat_ws(', ', CASE WHEN doc_id % 3 = 0 THEN 'control character' END, CASE WHEN doc_id % 5 = 0 THEN 'BT/ET unbalanced' END,
+              CASE WHEN doc_id % 2 = 0 THEN 'q/Q unbalanced' END) AS faults FROM documents""",
+)
+def q53(spark, sf):
+    tail = lambda n, yes, no: F.when(F.col("doc_id") % n == 0, yes).otherwise(no)
+    stream = F.concat(F.lit("q BT (ET Q "), "lang", F.lit(") Tj"), tail(5, "", " ET"), tail(2, "", " Q"), tail(3, " \x02", ""))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.stream_faults(stream), ", ").alias("faults"))
+
+
+@query("q54_absent_numbers", "SELECT i AS o_custkey FROM range(0, 3000) t(i) WHERE i NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def q54(spark, sf):
+    return layout.absent(table(spark, sf, "orders").select("o_custkey").distinct(), "o_custkey", 0, 3000)
+
+
+@query(
+    "q55_reads_as_content",
+    """SELECT doc_id, doc_id % 3 = 1 OR doc_id % 3 = 0 AND len(list_filter(string_split(trim(regexp_replace(left(text, 400), '\\s+', ' ', 'g')), ' '),
+              lambda x: x IN ('BT','ET','Tf','Tm','Td','TD','Tj','TJ','q','Q','cm','gs','rg','RG','cs','CS','scn','SCN','re','m','l','h','S','f','Do','w'))) >= 3 AS reads_as_content FROM documents""",
+)
+def q55(spark, sf):
+    raw = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("BT 1 2 Td ET "), "lang")).otherwise(F.concat(F.lit("BT "), "lang", F.lit(" 1")))
+    return table(spark, sf, "documents").select("doc_id", text.is_content(F.encode(raw, "ISO-8859-1")).alias("reads_as_content"))
+
+
+@query("q56_incremental_updates", "SELECT doc_id, 'second edit' AS title, source AS author, 3 AS n_sections, 7 AS n_entries FROM documents")
+def q56(spark, sf):
+    c = corpus(spark, sf, "lay4")
+    n = with_doc(c.sections).groupBy("doc_id").agg(F.countDistinct("section_ix").alias("n_sections"))
+    return _info(c).join(n, "doc_id").join(with_doc(c.xref).groupBy("doc_id").agg(F.count("*").alias("n_entries")), "doc_id")
+
+
+@query("q57_page_tree", f"SELECT doc_id, 4 + 3 * i AS obj_num, i - 1 AS page_ix FROM (SELECT doc_id, unnest(range(1, {LINES} + 1)) AS i FROM documents)")
+def q57(spark, sf):
+    return with_doc(graph.page_order(corpus(spark, sf, "book"))).select("doc_id", "obj_num", "page_ix")
+
+
+@query("q58_pages_of_streams", f"SELECT doc_id, 4 + 3 * i + k AS obj_num, 4 + 3 * i AS page_num FROM (SELECT doc_id, unnest(range(1, {LINES} + 1)) AS i FROM documents), (VALUES (1), (2)) t(k)")
+def q58(spark, sf):
+    return with_doc(graph.owning_pages(corpus(spark, sf, "book"))).select("doc_id", "obj_num", "page_num")
+
+
+@query("q59_text_of_pages", f"SELECT doc_id, {LINES} AS n_pages, 2 * ({LINES}) AS n_runs, sha256(replace(text, chr(10), '')) AS text_sha256 FROM documents")
+def q59(spark, sf):
+    c = corpus(spark, sf, "book")
+    rows = with_doc(text.text_runs(text.content_bytes(c))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("obj_num", "op_ix", "text"))).alias("r"), F.countDistinct("obj_num").alias("n_pages"))
+    return rows.select("doc_id", "n_pages", F.size("r").cast("long").alias("n_runs"), F.sha2(F.array_join(F.transform("r", lambda x: x["text"]), ""), 256).alias("text_sha256"))
+
+
+@query("q60_brief_values", "SELECT doc_id, '(' || lang || ')' AS title, '<< 2 entries >>' AS info, '[ 1 items ]' AS kids, '2 0 R' AS pages FROM documents")
+def q60(spark, sf):
+    rows = with_doc(graph.value_tree(corpus(spark, sf)))
+    pick = lambda obj, path: F.max(F.when((F.col("obj_num") == obj) & (F.coalesce("key_path", F.lit("")) == path), F.col("brief")))
+    return rows.groupBy("doc_id").agg(pick(6, "Title").alias("title"), F.max(F.when(F.expr("obj_num = 6 and depth = 0"), F.col("brief"))).alias("info"), pick(2, "Kids").alias("kids"), pick(1, "Pages").alias("pages"))
+
+
+@query(
+    "q61_entries_by_size",
+    """SELECT l_orderkey * 10 + l_linenumber AS obj_num, l_quantity AS size FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_quantity DESC, obj_num LIMIT 200""",
+)
+def q61(spark, sf):
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obj_num"), F.col("l_quantity").alias("size"), F.col("l_returnflag").alias("etype"))
+    return layout.sort_entries(rows, "size", True, "R").limit(200).drop("etype")
+
+
+@query("q62_export_bounds", "SELECT doc_id, 0 AS unaccounted, 6 AS n_bounded FROM documents")
+def q62(spark, sf):
+    rows = with_doc(layout.export_bounds(corpus(spark, sf)))
+    return rows.groupBy("doc_id").agg((F.sum(F.col("end") - F.col("offset")) - (F.max("startxref") - F.min("offset"))).alias("unaccounted"), F.count("end").alias("n_bounded"))
+
+
+@query("q63_hosts_of_members", "SELECT doc_id, 2 AS n_at_host, 6 AS n_offsets FROM documents")
+def q63(spark, sf):
+    rows = with_doc(layout.effective_offsets(corpus(spark, sf, "lay2")))
+    n = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("n_offsets"))
+    return n.select("doc_id", (F.col("n") - F.col("n_offsets")).alias("n_at_host"), "n_offsets")
+
+
+@query("q64_index_kinds", "SELECT doc_id, 'table' AS classic, 'stream' AS packed, false AS linearized, true AS sound FROM documents")
+def q64(spark, sf):
+    one, two = (with_doc(corpus(spark, sf, k).files) for k in ("lay1", "lay2p"))
+    one = one.select("doc_id", F.col("xref_type").alias("classic"), "linearized", F.col("error").isNull().alias("sound"))
+    return one.join(two.select("doc_id", F.col("xref_type").alias("packed")), "doc_id")
+
+
+@query(
+    "q65_requests_and_replies",
+    """SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\b(change|replace|edit|modify|update|delete|remove|insert|add|move|rename|rotate|set)\\b') THEN 'edit' ELSE 'chat' END AS intent,
+              sha256(text || chr(10)) AS block_sha256, sha256(text) AS open_sha256 FROM conversations WHERE text IS NOT NULL AND text <> ''""",
+)
+def q65(spark, sf):
+    rows = table(spark, sf, "conversations").where("text is not null and text <> ''")
+    closed, left_open = F.concat(F.lit("Here:\n```pdf\n"), "text", F.lit("\n```\nDone")), F.concat(F.lit("Here:\n```\n"), "text")
+    return rows.select("conv_id", "turn", text.edit_intent(F.col("text")).alias("intent"), F.sha2(text.reply_block(closed), 256).alias("block_sha256"), F.sha2(text.reply_block(left_open), 256).alias("open_sha256"))
+
+
+_NAMES = ["ABCDEF+Courier-Bold", "Times-Italic", "Helvetica", "XYZABC+Georgia-BoldItalic", "DejaVuSansMono-Oblique"]
+
+
+@query(
+    "q66_font_families",
+    """SELECT p_partkey, ['monospace','serif','sans-serif','serif','monospace'][p_partkey % 5 + 1] AS family, ['bold','italic','','italic bold','italic'][p_partkey % 5 + 1] AS style,
+              c >= 32 AND NOT (c BETWEEN 55296 AND 57343) AND c NOT IN (65533, 65535) AS renderable FROM (SELECT p_partkey, p_partkey * 37 % 66000 AS c FROM part)""",
+)
+def q66(spark, sf):
+    name = F.array(*map(F.lit, _NAMES))[(F.col("p_partkey") % 5).cast("int")]
+    return table(spark, sf, "part").select("p_partkey", text.font_family(name).alias("family"), text.font_style(name).alias("style"), text.renderable(F.col("p_partkey") * 37 % 66000).alias("renderable"))
+
+
+@query("q67_printable_text", "SELECT doc_id, sha256(regexp_replace(replace(text, chr(13), '') || '.', '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]', '.', 'g')) AS shown_sha256 FROM documents")
+def q67(spark, sf):
+    raw = F.encode(F.concat("text", F.lit("\r\x01")), "ISO-8859-1")
+    return table(spark, sf, "documents").select("doc_id", F.sha2(text.printable(raw), 256).alias("shown_sha256"))
+
+
+@query("q68_text_modes", "SELECT doc_id, false AS invisible, 2 AS n_first FROM documents")
+def q68(spark, sf):
+    rows = ops(spark, sf)
+    n = with_doc(text.first_operators(rows, 2)).groupBy("doc_id").agg(F.count("*").alias("n_first"))
+    return with_doc(text.has_invisible_text(rows)).select("doc_id", "invisible").join(n, "doc_id")
+
+
+@query(
+    "q69_size_labels",
+    """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10) ELSE printf('%.2f MB', floor(n / 1048576 * 100 + 0.5) / 100) END AS label
+       FROM (SELECT doc_id, n_chars * n_chars // 64 AS n FROM documents)""",
+)
+def q69(spark, sf):
+    n = F.floor(F.col("n_chars") * F.col("n_chars") / 64)
+    return table(spark, sf, "documents").select("doc_id", layout.byte_label(n).alias("label"))
+
+
+@query("q70_written_references", "SELECT doc_id, doc_id::INT AS one, (doc_id + 1)::INT AS two, 2 AS n FROM documents")
+def q70(spark, sf):
+    said = F.concat(F.lit("see "), F.col("doc_id").cast("string"), F.lit(" 0 R, ["), (F.col("doc_id") + 1).cast("string"), F.lit("  0 R] but not 3 0 Rx nor x7 0 R"))
+    found = graph.link_targets(said)
+    return table(spark, sf, "documents").select("doc_id", found[0].alias("one"), found[1].alias("two"), F.size(found).alias("n"))
+
+
+@query(
+    "q71_change_status",
+    """SELECT doc_id, s AS status, CASE WHEN s = 'same' THEN 6 - (lang = 'de')::INT - (lang = 'fr')::INT ELSE 1 END AS n FROM documents, (VALUES ('same'), ('modified'), ('deleted'), ('added')) t(s)
+       WHERE s = 'same' OR s = 'modified' AND lang = 'de' OR s = 'deleted' AND lang = 'fr' OR s = 'added' AND lang = 'es'""",
+)
+def q71(spark, sf):
+    rows, files = _edited(spark, sf, "lay1", "lang = 'de'")
+    langs = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "lang")
+    kept = files.join(langs, "path").where("not (lang = 'fr' and name = 'objects/00005_0.pdfjson')").select("path", "name", "data")
+    new = langs.where("lang = 'es'").select("path", F.lit("objects/00099_0.pdfjson").alias("name"), F.lit(b"{}").alias("data"))
+    return with_doc(pdfx.changes(rows, kept.union(new))).groupBy("doc_id", "status").agg(F.count("*").alias("n"))
+
+
+@query("q72_objects_of_sections", "SELECT doc_id, 0 AS page, 6 AS n_objects FROM documents")
+def q72(spark, sf):
+    c = corpus(spark, sf)
+    sections = c.files.select("file_id", "path", F.lit(0).alias("page"), F.lit(0).cast("long").alias("section_offset"), F.col("length").alias("page_length"))
+    return with_doc(layout.objects_by_section(c, sections)).select("doc_id", "page", F.size("obj_nums").alias("n_objects"))
+

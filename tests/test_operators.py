@@ -211,3 +211,33 @@ def test_linearized_hint_stream_label(spark):
     c = Corpus.from_binary(files(spark, data))
     assert dict(rows(graph.classify(c), "obj_num", "type_label"))[2] == "Linearization Hint Stream"
     assert formats.linearization(c).first().num_pages == 1
+
+
+def test_pages_a_hundred_levels_deep(spark):
+    """A chain of page-tree nodes, each with one page and the next node; the last names the first again."""
+    d, ref, n = W.dictionary, W.ref, 100
+    objects = [(1, d(Type="Catalog", Pages=ref(2)))]
+    for i in range(n):
+        objects.append((2 + 2 * i, d(Type="Pages", Kids=[ref(3 + 2 * i), ref(4 + 2 * i if i < n - 1 else 2)], Count=n - i)))
+        objects.append((3 + 2 * i, d(Type="Page", Parent=ref(2 + 2 * i))))
+    c = Corpus.from_binary(files(spark, W.assemble(objects, {"Root": ref(1)})))
+    got = [(r.page_ix, r.obj_num) for r in graph.page_order(c).orderBy("page_ix").collect()]
+    assert got == [(i, 3 + 2 * i) for i in range(n)]
+
+
+def test_changes_tell_deleted_and_added_objects(spark):
+    one = files(spark, W.layout("lay1", "text", "en", "s"))
+    out = pdfx.explode_files(one).select("path", "name", "data").where("name <> 'objects/00005_0.pdfjson'")
+    new = spark.createDataFrame([("0.pdf", "objects/00042_0.pdfjson", bytearray(b"{}"))], out.schema)
+    got = {r.num: r.status for r in pdfx.changes(pdfx.manifest(one), out.union(new)).collect()}
+    assert got == {1: "same", 2: "same", 3: "same", 4: "same", 5: "deleted", 6: "same", 42: "added"}
+
+
+def test_shared_folder_has_to_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quire.session import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)

@@ -84,3 +84,12 @@ def test_reference_order_is_last_sibling_first():
 def test_nodes_keep_document_order():
     n = S.nodes(1, 0, W.dictionary(A=[1, 2], B=True))
     assert [(x["key_path"], x["kind"], x["parent_ix"]) for x in n] == [("", "Dictionary", None), ("A", "Array", 0), ("A.[0]", "Integer", 1), ("A.[1]", "Integer", 1), ("B", "Boolean", 0)]
+
+
+def test_a_hundred_sections_are_all_read():
+    data = W.layout("lay1", "text", "en", "s")
+    for i in range(100):
+        data = W.updated(data, 10 + i, W.dictionary(Title=Value("LiteralString", str(i))), 10 + i + 1)
+    r = S.parse_file(data)
+    assert r["error"] is None and len({e["section_ix"] for e in r["xref"]}) == 101
+    assert {o["obj_num"] for o in r["objects"]} >= {1, 2, 3, 4, 5, 6, *range(10, 110)}
