@@ -3,33 +3,20 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: list[str] = []
+from quire.session import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where all run in one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="quire-"))
-    return _local[0]
-
-
 def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/quire/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quire/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str, free: bool = False) -> DataFrame:

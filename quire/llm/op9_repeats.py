@@ -55,6 +55,8 @@ BLOCK = 1 << 20
 PORTION = 6 << 20
 #: An anchor with more classes in a batch, or in all, is dealt by strings instead.
 MANY_IN_BATCH, MANY = 64, 5_000
+#: Bytes of text for each bucket of anchors; their records take four fifths of that.
+BUCKET_TEXT = 20 << 20
 BROADCAST_BYTES = 64 << 20
 
 _BYTE = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
@@ -573,8 +575,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(docs: DataFrame, many_in_batch: int = MANY_IN_BATCH, many: int = MANY, block: int = BLOCK) -> DataFrame:
     """``doc_id, data``: merged ranges of repeated strings (records ``_RANGE``) of each document that has any."""
-    parts = slices(docs.sparkSession)
-    buckets = 2 * parts
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * slices(docs.sparkSession), size // BUCKET_TEXT)
 
     def by_doc(rows: DataFrame, kind: int) -> DataFrame:
         own = rows.where(F.col("kind") == kind).drop("kind").withColumn("_b", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
