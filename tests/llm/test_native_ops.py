@@ -174,12 +174,15 @@ def test_forest_on_held_out_findings(spark):
 
 def test_secrets_are_found_and_masked(spark):
     key = hashlib.sha1(b"k").hexdigest()
-    texts = [f'x token = "{key}" y', f"commit {key} is fine", "mail someone.long.name99@mail7.example.com", None, "", f'password="{key}"' + " w" * 4000, "see /usr/local/lib/python3.11/site.py", "token = " + "abcdefgh" * 3, "9807915762804490"]
+    texts = [f'x token = "{key}" y', f"commit {key} is fine", "mail someone.long.name99@mail7.example.com", None, "", f'password="{key}"' + " w" * 4000, "see /usr/local/lib/python3.11/site.py", "token = " + "qwhzkdjrvbxnmwpltgcfyska", "9807915762804490",
+             "password = hunter2XyZ9! yes", f"a token={key} b", "the password: required by all", f"id={key}", 'pwd="aB3$kk91"', "author: Wilhelmina", "Donaudampfschifffahrtsgesellschaft", "secret: P@ss-w0rd-long-value!77",
+             f"token: {key}.", "internationalization and Unwahrscheinlichkeit", "token" * 300 + " " * 300 + "= x"]
     frame = docs(spark, texts).withColumn("n_chars", F.length("text").cast("long"))
-    assert {(r.doc_id, r.word_at, r.n_chars) for r in X.scan(frame).collect()} == {(0, 3, 40), (5, 0, 40)}
+    assert {(r.doc_id, r.word_at, r.n_chars) for r in X.scan(frame).collect()} == {
+        (0, 3, 40), (5, 0, 40), (7, 2, 24), (9, 2, 12), (10, 1, 40), (13, 0, 8), (16, 1, 23), (17, 1, 40)}
     out = {r.doc_id: r for r in X.redact(frame).collect()}
     assert out[0].text == 'x token = "[SECRET]" y' and out[0].n_chars == 22 and key not in out[5].text
-    assert all(out[i].text == texts[i] for i in (1, 2, 3, 4, 6, 8)) and X.redact(frame).columns == frame.columns
+    assert all(out[i].text == texts[i] for i in (1, 2, 3, 4, 6, 8, 11, 12, 14, 15, 18, 19)) and out[10].text == "a token=[SECRET] b" and X.redact(frame).columns == frame.columns
     assert X.scan(docs(spark, [])).count() == 0 and X.scan(docs(spark, [texts[0]] * 2, [1, 1])).count() == 2
 
 
