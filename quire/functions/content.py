@@ -200,12 +200,14 @@ def _array_items(raw: str) -> list:
     return [float(t) if k == "num" else _string_bytes(t) for k, t in tokens(inner) if k in ("num", "string")]
 
 
-def text_runs(ops: list[dict], widths: dict[int, float] | None = None, default_width: float = 500.0, cmap: dict[int, str] | None = None, code_bytes: int = 1) -> list[dict]:
+def text_runs(ops: list[dict], widths: dict[int, float] | None = None, default_width: float = 500.0, cmap: dict[int, str] | None = None, code_bytes: int = 1, fonts: dict[str, dict] | None = None) -> list[dict]:
     """Position and state of every shown string.
 
     Saved states hold the text state too; widths are in thousandths of the font
-    size.  Unknown codes read as Latin-1.
+    size.  Unknown codes read as Latin-1.  ``fonts`` gives ``widths, default_width,
+    cmap, code_bytes`` by resource name; the other arguments serve names it lacks.
     """
+    plain = {"widths": widths or {}, "default_width": default_width, "cmap": cmap or {}, "code_bytes": code_bytes}
     state = {"ctm": IDENTITY, "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 100.0, "TL": 0.0, "Ts": 0.0, "Tr": 0}
     saved: list[dict] = []
     tm = line = IDENTITY
@@ -225,14 +227,16 @@ def text_runs(ops: list[dict], widths: dict[int, float] | None = None, default_w
         nonlocal tm
         at = multiply(tm, state["ctm"])
         text, advance = [], 0.0
+        font = (fonts or {}).get(state["font"], plain)
+        step = font["code_bytes"]
         for p in parts:
             if isinstance(p, float):
                 advance -= p / 1000 * state["size"] * state["Tz"] / 100
                 continue
-            for i in range(0, len(p), code_bytes):
-                code = int.from_bytes(p[i : i + code_bytes], "big")
-                text.append((cmap or {}).get(code) or (chr(code) if code < 256 else "�"))
-                w = (widths or {}).get(code, default_width) / 1000 * state["size"] + state["Tc"] + (state["Tw"] if code == 32 and code_bytes == 1 else 0)
+            for i in range(0, len(p), step):
+                code = int.from_bytes(p[i : i + step], "big")
+                text.append(font["cmap"].get(code) or (chr(code) if code < 256 else "�"))
+                w = font["widths"].get(code, font["default_width"]) / 1000 * state["size"] + state["Tc"] + (state["Tw"] if code == 32 and step == 1 else 0)
                 advance += w * state["Tz"] / 100
         out.append({"op_ix": ix, "x": at[4], "y": at[5] + state["Ts"], "font": state["font"], "size": state["size"], "render_mode": state["Tr"], "text": "".join(text)})
         tm = multiply((1, 0, 0, 1, advance, 0), tm)

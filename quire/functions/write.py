@@ -164,6 +164,41 @@ def assemble_packed(objects: list[tuple[int, Value]], members: list[tuple[int, V
     return b"".join(out)
 
 
+def typeset(lang: str, source: str) -> bytes:
+    """A line in two fonts: ``lang`` in a simple one whose map gives capitals, ``source`` in a composite one with codes from 0x1000."""
+    codes = b"".join(b"%04X" % (0x1000 + x) for x in source.encode("latin-1", "replace"))
+    content = b"BT /F1 10 Tf 72 720 Td (%s) Tj /F2 10 Tf <%s> Tj /F1 10 Tf (z) Tj ET" % (escape(lang.encode("latin-1", "replace")), codes)
+    upper, wide = b"1 beginbfrange <61> <7A> <0041> endbfrange", b"1 beginbfrange <1000> <10FF> <0000> endbfrange"
+    objects = [
+        *page_objects("", lang, source)[:2],
+        (3, dictionary(Type="Page", Parent=ref(2), MediaBox=[0, 0, 612, 792], Contents=ref(4), Resources=dictionary(Font=dictionary(F1=ref(5), F2=ref(7))))),
+        (4, stream(content)),
+        (5, dictionary(Type="Font", Subtype="TrueType", BaseFont="Simple", FirstChar=32, LastChar=255, Widths=[600] * 224, ToUnicode=ref(9))),
+        page_objects("", lang, source)[5],
+        (7, dictionary(Type="Font", Subtype="Type0", BaseFont="Wide", Encoding="Identity-H", DescendantFonts=[ref(8)], ToUnicode=ref(10))),
+        (8, dictionary(Type="Font", Subtype="CIDFontType2", BaseFont="Wide", DW=900, W=[0x1000, 0x106D, 700, 0x106E, [700] * 13, 0x107B, 0x10FF, 700.0])),
+        (9, stream(upper)),
+        (10, stream(wide)),
+    ]
+    return assemble(objects, TRAILER)
+
+
+def picture(pixels: bytes) -> bytes:
+    """A page with an image of a row of grey samples and the same row through a palette that turns them over."""
+    n = len(pixels)
+    size = {"Type": "XObject", "Subtype": "Image", "Width": n, "Height": 1, "BitsPerComponent": 8}
+    objects = [
+        *page_objects("", "", "")[:2],
+        (3, dictionary(Type="Page", Parent=ref(2), MediaBox=[0, 0, 612, 792], Resources=dictionary(XObject=dictionary(A=ref(4), B=ref(5))))),
+        (4, stream(pixels, **size, ColorSpace="DeviceGray")),
+        (5, stream(pixels, **size, ColorSpace=ref(7))),
+        page_objects("", "", "")[5],
+        (7, Value("Array", [wrap("Indexed"), wrap("DeviceRGB"), wrap(255), ref(8)])),
+        (8, stream(b"".join(bytes([255 - i] * 3) for i in range(256)))),
+    ]
+    return assemble(objects, TRAILER)
+
+
 TRAILER = {"Root": ref(1), "Info": ref(6)}
 
 
@@ -205,7 +240,11 @@ def updated(data: bytes, num: int, value: Value, size: int) -> bytes:
 
 def layout(kind: str, text: str | None, lang: str | None, source: str | None) -> bytes:
     """A file of a text: one page as ``lay1``, ``lay2`` (packed), ``lay2p`` (packed, predictor 12), ``lay3`` (with leading)
-    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line."""
+    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts) or ``image``."""
+    if kind == "type":
+        return typeset(lang or "", source or "")
+    if kind == "image":
+        return picture((text or "").encode("utf-8")[:64] or b"\0")
     if kind == "book":
         return book(text or "", lang or "", source or "")
     if kind == "lay4":

@@ -253,6 +253,113 @@ def images(c: Corpus) -> DataFrame:
     )
 
 
+def cid_widths(c: Corpus) -> DataFrame:
+    """``code, width`` of /W arrays: a first code and an array of widths, or a first code, a last one and their width."""
+    cols = ["node_ix", "parent_ix", "ord", "kind", F.coalesce("real_v", F.col("int_v").cast("double")).alias("v")]
+    own = c.nodes.where("key_path rlike '^W\\\\.\\\\['").select(*KEY, (F.col("depth") - 2).alias("level"), *cols)
+    named = c.entry("W").where("kind = 'Reference'").select("file_id", "path", F.col("obj_num").alias("font"), F.col("ref_num").alias("obj_num"))
+    far = c.nodes.where("key_path rlike '^\\\\['").join(named, KEY).select("file_id", "path", F.col("font").alias("obj_num"), (F.col("depth") - 1).alias("level"), *cols)
+    rows = own.union(far)
+    w = Window.partitionBy(*KEY).orderBy("ord")
+    lead = lambda n, k=1: F.lead(n, k).over(w)
+    # Numbers count on from the last array; every third begins a range, unless an array follows it.
+    last_array = F.last(F.when(F.col("kind") == "Array", F.col("ord")), ignorenulls=True).over(w)
+    items = rows.where("level = 0").select(*KEY, "kind", "v", (F.col("ord") - F.coalesce(last_array, F.lit(-1)) - 1).alias("p"), lead("kind").alias("next"), lead("v").alias("v1"), lead("v", 2).alias("v2"), lead("node_ix").alias("parent_ix"))
+    starts = items.where("kind <> 'Array' and p % 3 = 0")
+    ranges = starts.where("next <> 'Array' and v2 is not null and v1 >= v").select(*KEY, F.explode(F.sequence(F.col("v").cast("int"), F.col("v1").cast("int"))).alias("code"), F.col("v2").alias("width"))
+    lists = starts.where("next = 'Array'").select(*KEY, "parent_ix", F.col("v").alias("first"))
+    each = rows.where("level = 1 and v is not null").select(*KEY, "parent_ix", "ord", F.col("v").alias("width"))
+    return ranges.union(lists.join(each, [*KEY, "parent_ix"]).select(*KEY, (F.col("first") + F.col("ord")).cast("int"), "width"))
+
+
+def page_fonts(c: Corpus) -> DataFrame:
+    """Pages with ``fonts``: what each font name of the page stands for, as ``text.text_runs`` reads it.
+
+    Simple fonts have codes of a byte and a default width of 500; composite ones two bytes and the width of their descendant.
+    """
+    def as_map(rows: DataFrame, code: str, value: str, name: str) -> DataFrame:
+        return rows.where(F.col(value).isNotNull()).dropDuplicates([*KEY, code]).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col(code).cast("int"), value))).alias(name))
+
+    first = F.coalesce("first_char", F.lit(0))
+    own = F.when(F.size("widths") > 0, F.map_from_arrays(F.sequence(first, first + F.size("widths") - 1), "widths"))
+    simple = fonts(c).select(*KEY, "encoding", "to_unicode_num", F.lit(1).alias("code_bytes"), F.lit(500.0).alias("default_width"), own.alias("widths"))
+    composite = type0_fonts(c).select(*KEY, "encoding", "to_unicode_num", F.lit(2).alias("code_bytes"), "default_width", "descendant_num")
+    wide = as_map(cid_widths(c), "code", "width", "widths").withColumnRenamed("obj_num", "descendant_num")
+    composite = composite.join(wide, ["file_id", "path", "descendant_num"], "left").select(*simple.columns)
+    every = simple.union(composite)
+    maps = c.streams.join(every.select("file_id", "path", F.col("to_unicode_num").alias("obj_num")), KEY, "left_semi")
+    texts = as_map(rendering_map(parse_cmaps(maps)), "src_int", "char", "texts").withColumnRenamed("obj_num", "to_unicode_num")
+    # Differences stand in the font or in an encoding object that it names.
+    codes = as_map(encoding_differences(c), "code", "glyph", "differences")
+    apart = c.entry("Encoding").where("kind = 'Reference'").select(*KEY, F.col("ref_num").alias("encoding_num")).join(codes.withColumnRenamed("obj_num", "encoding_num"), ["file_id", "path", "encoding_num"]).select(*KEY, "differences")
+    every = every.join(texts, ["file_id", "path", "to_unicode_num"], "left").join(codes.unionByName(apart).dropDuplicates(KEY), KEY, "left")
+    on = page_resources(c, "Font").select("file_id", "path", F.col("obj_num").alias("page"), "name", F.col("ref_num").alias("obj_num"))
+    rows = on.join(every, KEY).select("file_id", "path", F.col("page").alias("obj_num"), F.struct("name", "encoding", "code_bytes", "default_width", "widths", "texts", "differences").alias("f"))
+    return rows.groupBy(*KEY).agg(F.collect_list("f").alias("fonts"))
+
+
+def color_spaces(c: Corpus) -> DataFrame:
+    """Colour space of each image: ``channels``; of indexed ones ``base_channels`` and the ``lookup`` bytes."""
+    cols = ["ord", "kind", "str_v", "ref_num"]
+    own = c.nodes.where("key_path rlike '^ColorSpace\\\\.\\\\[[0-9]+\\\\]$'").select(*KEY, *cols)
+    entry = c.entry("ColorSpace")
+    named = entry.where("kind = 'Reference'").select("file_id", "path", F.col("obj_num").alias("image"), F.col("ref_num").alias("obj_num"))
+    far = c.nodes.where("depth = 1 and key rlike '^\\\\['").join(named, KEY).select("file_id", "path", F.col("image").alias("obj_num"), *cols)
+    item = lambda i, v: F.max(F.when(F.col("ord") == i, F.col(v)))
+    arrays = own.union(far).groupBy(*KEY).agg(item(0, "str_v").alias("head"), item(1, "str_v").alias("base"), item(1, "ref_num").alias("profile"), item(3, "str_v").alias("inline"), item(3, "ref_num").alias("lookup_num"))
+    names = entry.where("kind = 'Name'").select(*KEY, F.col("str_v").alias("name"))
+    n_of = c.entry("N").where("kind = 'Integer'").select("file_id", "path", F.col("obj_num").alias("profile"), F.col("int_v").cast("int").alias("n"))
+    bytes_ = c.streams.select("file_id", "path", F.col("obj_num").alias("lookup_num"), F.col("stream_decoded").alias("bytes"))
+    rows = c.objects.where("subtype = 'Image'").select(*KEY).join(arrays, KEY, "left").join(names, KEY, "left")
+    rows = rows.join(n_of, ["file_id", "path", "profile"], "left").join(bytes_, ["file_id", "path", "lookup_num"], "left")
+
+    def channels(name: Column) -> Column:
+        return F.when(name.isin("DeviceGray", "CalGray", "G"), 1).when(name.isin("DeviceCMYK", "CMYK"), 4).when(name.isin("DeviceRGB", "CalRGB", "Lab", "RGB"), 3)
+
+    indexed = F.coalesce(F.col("head").isin("Indexed", "I"), F.lit(False))
+    direct = F.coalesce(channels(F.col("name")), F.when(F.col("head") == "ICCBased", F.col("n")), channels(F.col("head")), F.lit(1))
+    return rows.select(
+        *KEY, F.when(indexed, 1).otherwise(direct).alias("channels"), F.when(indexed, F.coalesce(channels(F.col("base")), F.lit(3))).otherwise(1).alias("base_channels"),
+        F.when(indexed, F.coalesce("bytes", F.encode("inline", "ISO-8859-1"))).alias("lookup"),
+    )
+
+
+def image_files(c: Corpus) -> DataFrame:
+    """``format, data`` of each image: JPEG data as they are, samples as PNG; other codecs are ``unsupported``, without data."""
+    from quire.functions.codecs import image_file
+
+    def work(filters, raw, decoded, width, height, bits, channels, base_channels, lookup):
+        kind, data = image_file(decoded, raw, filters, width or 0, height or 0, bits or 8, channels, lookup, base_channels, 1, 0)
+        return [{"format": kind, "data": data}]
+
+    bits = F.when(F.col("is_image_mask"), 1).otherwise(F.col("bits_per_component")).alias("bits")
+    rows = images(c).select(*KEY, "width", "height", bits).join(color_spaces(c), KEY)
+    rows = rows.join(c.streams.select(*KEY, F.coalesce("filters", F.array().cast("array<string>")).alias("filters"), "stream_raw", "stream_decoded"), KEY)
+    columns = ("filters", "stream_raw", "stream_decoded", "width", "height", "bits", "channels", "base_channels", "lookup")
+    return _mapped(rows, work, "array<struct<format:string,data:binary>>", *columns).select(*KEY, F.inline_outer("_r"), "error")
+
+
+def coverage_bitmap(codes: DataFrame, code: str = "cid") -> DataFrame:
+    """``coverage``: a bitmap in hexadecimal of the numbers of each object, the most significant bit first."""
+    place = F.floor(F.col(code) / 8).cast("int")
+    bytes_ = codes.groupBy(*KEY, place.alias("at")).agg(F.bit_or(F.call_function("shiftright", F.lit(128), F.pmod(F.col(code), F.lit(8)).cast("int"))).alias("byte"))
+    rows = bytes_.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("at", "byte"))).alias("m"), F.max("at").alias("top"))
+    whole = F.transform(F.sequence(F.lit(0), "top"), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("m", i), F.lit(0))), 2, "0"))
+    return rows.select(*KEY, F.array_join(whole, "").alias("coverage"))
+
+
+def hint_group_labels(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Shared hint groups with the label of their first object, where the file has it."""
+    lead = labels.select("file_id", "path", F.col("obj_num").alias("first_obj"), F.col("type_label").alias("lead_label"))
+    return groups.join(lead, ["file_id", "path", "first_obj"], "left")
+
+
+def groups_of_page(groups: DataFrame, pages: DataFrame, page: int) -> DataFrame:
+    """The shared groups that a page's hint row names."""
+    ids = pages.where(F.col("page") == page).select("file_id", "path", F.explode("shared_ids").alias("group"))
+    return groups.join(ids.withColumn("group", F.col("group").cast("int")).distinct(), ["file_id", "path", "group"], "left_semi")
+
+
 def linearization(c: Corpus) -> DataFrame:
     """Parameters of linearization dictionaries."""
     keys = ["Linearized", "L", "O", "N", "E", "T"]
@@ -298,10 +405,16 @@ def hint_streams(c: Corpus) -> DataFrame:
 
 def page_resources(c: Corpus, kind: str) -> DataFrame:
     """Named resources of a kind for each page: its own before those it inherits through a shared dictionary."""
+    at = ["file_id", "path", "res"]
     own = c.nodes.where(F.col("key_path").rlike(rf"^Resources\.{kind}\.[^.]+$") & (F.col("kind") == "Reference")).select(*KEY, F.col("key").alias("name"), "ref_num", F.lit(0).alias("rank"))
     shared = c.entry("Resources").where("kind = 'Reference'").select(*KEY, F.col("ref_num").alias("res"))
     far = c.nodes.where(F.col("key_path").rlike(rf"^{kind}\.[^.]+$") & (F.col("kind") == "Reference")).select("file_id", "path", F.col("obj_num").alias("res"), F.col("key").alias("name"), "ref_num")
-    rows = own.union(shared.join(far, ["file_id", "path", "res"]).select(*KEY, "name", "ref_num", F.lit(1)))
+    # The dictionary of the kind may be an object of its own, in both.
+    named = c.nodes.where((F.col("key_path") == f"Resources.{kind}") & (F.col("kind") == "Reference")).select(*KEY, F.col("ref_num").alias("res"), F.lit(0).alias("rank"))
+    through = c.entry(kind).where("kind = 'Reference'").select("file_id", "path", F.col("obj_num").alias("res"), F.col("ref_num").alias("far"))
+    named = named.union(shared.join(through, at).select(*KEY, F.col("far").alias("res"), F.lit(1).alias("rank")))
+    entries = c.nodes.where("depth = 1 and kind = 'Reference'").select("file_id", "path", F.col("obj_num").alias("res"), F.col("key").alias("name"), "ref_num")
+    rows = own.union(shared.join(far, at).select(*KEY, "name", "ref_num", F.lit(1))).union(named.join(entries, at).select(*KEY, "name", "ref_num", "rank"))
     w = Window.partitionBy(*KEY, "name").orderBy("rank")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "rank")
 

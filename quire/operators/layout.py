@@ -59,6 +59,30 @@ def gaps(intervals: DataFrame, by: list[str], begin: str, end: str) -> DataFrame
     return intervals.withColumn("_end", F.max(end).over(w)).where(F.col(begin) > F.col("_end")).select(*by, F.col("_end").alias("gap_begin"), F.col(begin).alias("gap_end"))
 
 
+def strip(intervals: DataFrame, by: list[str], begin: str, end: str, total: str, label: str) -> DataFrame:
+    """All of a file as segments ``by, begin, end, label, is_gap``: the intervals, and gap rows before, between and after them.
+
+    ``total`` is the file's length, a column of ``intervals``.
+    """
+    own = intervals.select(*by, F.col(begin).cast("long").alias("begin"), F.col(end).cast("long").alias("end"), F.col(label).cast("string").alias("label"), F.lit(False).alias("is_gap"))
+    edges = intervals.groupBy(*by).agg(F.min(begin).alias("low"), F.max(end).alias("top"), F.max(total).alias("whole"))
+    gap = lambda rows, a, b: rows.select(*by, F.col(a).cast("long"), F.col(b).cast("long"), F.lit("gap"), F.lit(True))
+    before = gap(edges.where("low > 0").withColumn("zero", F.lit(0)), "zero", "low")
+    after = gap(edges.where("top < whole"), "top", "whole")
+    return own.union(before).union(gap(gaps(intervals, by, begin, end), "gap_begin", "gap_end")).union(after)
+
+
+def xref_strip(c) -> DataFrame:
+    """The file as its header, its objects in use and what follows them."""
+    rows = object_sizes(c).where("size > 0").withColumn("_end", F.col("offset") + F.col("size"))
+    return strip(rows, ["file_id", "path"], "offset", "_end", "length", "obj_num")
+
+
+def compression_ratio(raw: Column, decoded: Column) -> Column:
+    """Share that compression saves; null for nothing."""
+    return F.when(decoded > 0, 1 - raw / decoded)
+
+
 def range_join(points: DataFrame, intervals: DataFrame, at: str, begin: str, end: str, bucket: int, by: list[str] = ()) -> DataFrame:
     """Pairs with ``begin <= at < end``, as an equi-join on buckets of width ``bucket``.
 
@@ -138,5 +162,10 @@ def search_number(rows: DataFrame, column: str, text: str) -> DataFrame:
     return rows.where(F.contains(F.col(column).cast("string"), F.lit(text)))
 
 
+def search_glyphs(rows: DataFrame, text: str, name: str = "glyph", index: str = "gid") -> DataFrame:
+    """Glyphs whose name (case apart) or index holds a text; all of them for an empty one."""
+    return rows.where(F.contains(F.lower(name), F.lit(text.lower())) | F.contains(F.col(index).cast("string"), F.lit(text))) if text else rows
+
+
 def byte_label(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.2f MB", n / (1 << 20)))

@@ -18,8 +18,8 @@ RUNS = "array<struct<op_ix:int,x:double,y:double,font:string,size:double,render_
 PLACES = "array<struct<op_ix:int,name:string,width:double,height:double,flipped:boolean>>"
 
 
-def _mapped(rows: DataFrame, work, schema: str, column: str = "stream_decoded") -> DataFrame:
-    """``KEY`` and an array column ``_r`` of ``work(bytes)``; what fails is an empty array."""
+def _mapped(rows: DataFrame, work, schema: str, *columns: str) -> DataFrame:
+    """``KEY``, an array column ``_r`` of ``work(*columns)``, and ``error`` where that fails; a null first column gives no rows."""
     from pyspark.sql.types import _parse_datatype_string
 
     from quire.sources.pdf import arrow_type
@@ -28,15 +28,18 @@ def _mapped(rows: DataFrame, work, schema: str, column: str = "stream_decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for raw in b.column(3).to_pylist():
+            out, errors = [], []
+            for values in zip(*(x.to_pylist() for x in b.columns[3:])):
+                found, error = [], None
                 try:
-                    out.append(work(raw) if raw is not None else [])
-                except Exception:
-                    out.append([])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, kind)], names=[*KEY, "_r"])
+                    found = work(*values) if values[0] is not None else []
+                except Exception as e:  # damaged bytes can fail in any reader; the row says so
+                    error = f"{type(e).__name__}: {e}"
+                out.append(found)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, kind), pa.array(errors, pa.string())], names=[*KEY, "_r", "error"])
 
-    return rows.select(*KEY, column).mapInArrow(run, f"file_id string, path string, obj_num int, _r {schema}")
+    return rows.select(*KEY, *(columns or ("stream_decoded",))).mapInArrow(run, f"file_id string, path string, obj_num int, _r {schema}, error string")
 
 
 def content_bytes(c: Corpus) -> DataFrame:
@@ -60,6 +63,13 @@ def content_ops(pages: DataFrame) -> DataFrame:
     return _mapped(pages, operators, OPS).select(*KEY, F.inline("_r"))
 
 
+def content_errors(pages: DataFrame) -> DataFrame:
+    """Pages whose content cannot be read, with the reason."""
+    from quire.functions.content import operators
+
+    return _mapped(pages, operators, OPS).where("error is not null").select(*KEY, "error")
+
+
 def category_table(spark) -> DataFrame:
     return spark.createDataFrame([(c, i) for i, c in enumerate(CATEGORIES)], "category string, category_ix int")
 
@@ -70,11 +80,36 @@ def category_counts(ops: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(category_table(ops.sparkSession)), "category")
 
 
-def text_runs(pages: DataFrame) -> DataFrame:
-    """Position and state of every shown string."""
+def _read_font(f: dict) -> dict:
+    """A font of ``formats.page_fonts`` for the text machine: its ToUnicode map counts before its encoding."""
+    from quire.functions.formats import encoding, glyph_char
+
+    own = {} if f["code_bytes"] > 1 else encoding(f["encoding"]) | {k: glyph_char(g) for k, g in f["differences"] or []}
+    return {"widths": dict(f["widths"] or []), "default_width": f["default_width"], "cmap": own | dict(f["texts"] or []), "code_bytes": f["code_bytes"]}
+
+
+def text_runs(pages: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
+    """Position and state of every shown string.
+
+    With ``fonts`` (``formats.page_fonts``) codes are read and measured by the
+    fonts of the page; without it they are Latin-1 and 500 wide.
+    """
     from quire.functions.content import operators, text_runs
 
-    return _mapped(pages, lambda raw: text_runs(operators(raw)), RUNS).select(*KEY, F.inline("_r"))
+    if fonts is None:
+        return _mapped(pages, lambda raw: text_runs(operators(raw)), RUNS).select(*KEY, F.inline("_r"))
+
+    def work(raw, named):
+        return text_runs(operators(raw), fonts={f["name"]: _read_font(f) for f in named or []})
+
+    return _mapped(pages.join(fonts, KEY, "left"), work, RUNS, "stream_decoded", "fonts").select(*KEY, F.inline("_r"))
+
+
+def path_counts(ops: DataFrame) -> DataFrame:
+    """Path operators of each stream by what they do."""
+    kinds = {"moves": ["m"], "lines": ["l"], "curves": ["c", "v", "y"], "rectangles": ["re"], "closes": ["h"], "clips": ["W", "W*"]}
+    kinds |= {"strokes": ["S", "s", "B", "B*", "b", "b*"], "fills": ["f", "F", "f*", "B", "B*", "b", "b*"]}
+    return ops.where("category in ('path', 'clip')").groupBy(*KEY).agg(*[F.count_if(F.col("op").isin(v)).alias(f"n_{k}") for k, v in kinds.items()])
 
 
 def image_placements(pages: DataFrame) -> DataFrame:

@@ -664,3 +664,75 @@ def q72(spark, sf):
     sections = c.files.select("file_id", "path", F.lit(0).alias("page"), F.lit(0).cast("long").alias("section_offset"), F.col("length").alias("page_length"))
     return with_doc(layout.objects_by_section(c, sections)).select("doc_id", "page", F.size("obj_nums").alias("n_objects"))
 
+
+
+@query(
+    "q73_text_by_fonts",
+    """SELECT doc_id, upper(coalesce(lang, '')) || coalesce(source, '') || 'Z' AS shown, 72.0::DOUBLE AS x1, round(72 + 6.0 * length(coalesce(lang, '')), 3)::DOUBLE AS x2,
+              round(72 + 6.0 * length(coalesce(lang, '')) + 7.0 * length(coalesce(source, '')), 3)::DOUBLE AS x3 FROM documents""",
+)
+def q73(spark, sf):
+    c = corpus(spark, sf, "type")
+    runs = with_doc(text.text_runs(text.content_bytes(c), formats.page_fonts(c)))
+    rows = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("op_ix", "text", F.round("x", 3).alias("x")))).alias("r"))
+    return rows.select("doc_id", F.array_join(F.transform("r", lambda x: x["text"]), "").alias("shown"), *[F.col("r")[i]["x"].alias(f"x{i + 1}") for i in range(3)])
+
+
+@query("q74_image_rows", "SELECT doc_id, o AS obj_num, 'png' AS format, greatest(1, least(64, octet_length(encode(coalesce(text, ''))))) AS width, CASE WHEN o = 4 THEN 0 ELSE 2 END AS colour_type, true AS sound FROM documents, (VALUES (4), (5)) t(o)")
+def q74(spark, sf):
+    rows = with_doc(formats.image_files(corpus(spark, sf, "image")))
+    number = lambda at, n: F.conv(F.hex(F.substring("data", at, n)), 16, 10).cast("int")
+    return rows.select("doc_id", "obj_num", "format", number(17, 4).alias("width"), number(26, 1).alias("colour_type"), F.col("error").isNull().alias("sound"))
+
+
+@query("q75_file_strip", "SELECT doc_id, 15 AS header_end, 6 AS n_objects, 0 AS uncovered FROM documents")
+def q75(spark, sf):
+    c = corpus(spark, sf)
+    rows = with_doc(layout.xref_strip(c).join(c.files.select("file_id", "path", "length"), ["file_id", "path"]))
+    return rows.groupBy("doc_id").agg(
+        F.max(F.when(F.col("is_gap") & (F.col("begin") == 0), F.col("end"))).alias("header_end"), F.count_if(~F.col("is_gap")).alias("n_objects"), (F.max("length") - F.sum(F.col("end") - F.col("begin"))).alias("uncovered"))
+
+
+@query(
+    "q76_coverage_bitmap",
+    """SELECT custkey, string_agg(printf('%02X', b), '' ORDER BY i) AS coverage FROM (
+         SELECT o_custkey AS custkey, i, coalesce(sum(DISTINCT CASE WHEN o_orderkey % 40 // 8 = i THEN 128 >> (o_orderkey % 8) END), 0)::INT AS b
+         FROM orders JOIN (SELECT o_custkey AS k, max(o_orderkey % 40 // 8) AS top FROM orders GROUP BY 1) m ON o_custkey = k, range(5) r(i) WHERE i <= top GROUP BY 1, 2) GROUP BY 1""",
+)
+def q76(spark, sf):
+    rows = table(spark, sf, "orders").select(F.lit("f").alias("file_id"), F.lit("p").alias("path"), F.col("o_custkey").alias("obj_num"), (F.col("o_orderkey") % 40).alias("cid"))
+    return formats.coverage_bitmap(rows).select(F.col("obj_num").alias("custkey"), "coverage")
+
+
+@query("q77_compression_ratio", "SELECT doc_id, CASE WHEN n_chars > 0 THEN round(1 - doc_id % 97 / n_chars, 4) END AS ratio FROM documents")
+def q77(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(layout.compression_ratio(F.col("doc_id") % 97, F.col("n_chars")), 4).alias("ratio"))
+
+
+@query("q78_path_counts", "SELECT doc_id, (doc_id % 3)::BIGINT AS n_lines, 1::BIGINT AS n_moves, 1::BIGINT AS n_strokes, (doc_id % 2)::BIGINT AS n_rectangles, 0::BIGINT AS n_clips FROM documents WHERE doc_id >= 0")
+def q78(spark, sf):
+    drawn = F.concat(F.lit("q 0 0 m "), F.repeat(F.lit("5 5 l "), (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 2 == 1, "1 1 2 2 re ").otherwise(""), F.lit("S (m l re S) Tj Q"))
+    rows = table(spark, sf, "documents").where("doc_id >= 0").select(F.lit("f").alias("file_id"), F.lit("p").alias("path"), F.col("doc_id").cast("int").alias("obj_num"), F.encode(drawn, "ISO-8859-1").alias("stream_decoded"))
+    return text.path_counts(text.content_ops(rows)).select(F.col("obj_num").cast("long").alias("doc_id"), "n_lines", "n_moves", "n_strokes", "n_rectangles", "n_clips")
+
+
+@query(
+    "q79_glyph_filter",
+    "SELECT p_partkey AS gid, p_name AS glyph FROM part WHERE contains(lower(p_name), 'a1') OR contains(p_partkey::VARCHAR, 'a1') UNION ALL SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '7') OR contains(p_partkey::VARCHAR, '7')",
+)
+def q79(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("gid"), F.col("p_name").alias("glyph"))
+    return layout.search_glyphs(rows, "A1").union(layout.search_glyphs(rows, "7"))
+
+
+@query(
+    "q80_groups_of_a_page",
+    "SELECT o_custkey AS file, o_orderkey % 7 AS \"group\", CASE WHEN o_orderkey % 7 < 4 THEN 'kind ' || (o_orderkey % 7) END AS lead_label FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL",
+)
+def q80(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("file_id"), F.lit("p").alias("path"), (F.col("o_orderkey") % 2).cast("int").alias("page"), (F.col("o_orderkey") % 7).cast("int").alias("group"))
+    groups = rows.select("file_id", "path", "group", F.col("group").alias("first_obj")).distinct()
+    pages = rows.groupBy("file_id", "path", "page").agg(F.collect_set("group").alias("shared_ids"))
+    labels = rows.select("file_id", "path", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("obj_num")).distinct().withColumn("type_label", F.concat(F.lit("kind "), F.col("obj_num").cast("string")))
+    found = formats.hint_group_labels(formats.groups_of_page(groups, pages, 0), labels)
+    return found.select(F.col("file_id").cast("long").alias("file"), F.col("group").cast("long").alias("group"), "lead_label")

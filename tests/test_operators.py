@@ -241,3 +241,47 @@ def test_shared_folder_has_to_be_named_on_a_cluster():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         shared_dir(cluster)
+
+
+def test_image_files(rich):
+    import zlib
+
+    (got,) = formats.image_files(rich).where("obj_num = 12").collect()
+    data = bytes(got.data)
+    assert (got.format, got.error, data[:8]) == ("png", None, b"\x89PNG\r\n\x1a\n")
+    at = data.index(b"IDAT")
+    assert zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")]) == bytes([0, 255, 0, 0, 0, 0, 16])
+
+
+def test_text_by_the_fonts_of_the_page(rich):
+    runs = rows(text.text_runs(text.content_bytes(rich), formats.page_fonts(rich)), "obj_num", "text")
+    assert (3, "c") not in runs and (3, "a") in runs
+    (own,) = [f for f in formats.page_fonts(rich).where("obj_num = 3").collect()[0].fonts]
+    assert own.widths == {32: 250.0, 33: 333.5, 34: 400.0} and own.texts == {1: "A"} and own.differences == {65: "a", 66: "b", 70: "c"}
+
+
+def test_what_cannot_be_read_is_an_error_row(spark):
+    def work(raw):
+        if raw == b"bad":
+            raise ValueError("no")
+        return [{"v": len(raw)}]
+
+    given = spark.createDataFrame([("f", "p", 1, bytearray(b"good")), ("f", "p", 2, bytearray(b"bad")), ("f", "p", 3, None)], "file_id string, path string, obj_num int, stream_decoded binary")
+    got = {r.obj_num: ([x.v for x in r._r], r.error) for r in text._mapped(given, work, "array<struct<v:int>>").collect()}
+    assert got == {1: ([4], None), 2: ([], "ValueError: no"), 3: ([], None)}
+    assert text.content_errors(given).count() == 0
+
+
+def test_strip_fills_the_file(spark):
+    given = spark.createDataFrame([("f", 10, 20, 50, "a"), ("f", 25, 50, 50, "b"), ("g", 0, 50, 50, "c")], "f string, b long, e long, n long, name string")
+    assert rows(layout.strip(given, ["f"], "b", "e", "n", "name"), "f", "begin", "end", "label") == {
+        ("f", 0, 10, "gap"), ("f", 10, 20, "a"), ("f", 20, 25, "gap"), ("f", 25, 50, "b"), ("g", 0, 50, "c")}
+
+
+def test_cid_widths(spark):
+    d, n = W.dictionary, W.wrap
+    font = d(Type="Font", Subtype="CIDFontType2", W=[3, [10, 20], 7, 9, 30.5, 20, [40]])
+    far = d(Type="Font", Subtype="CIDFontType2", W=W.ref(3))
+    data = W.assemble([(1, font), (2, far), (3, n([1, 2, 5]))], {"Root": W.ref(1)})
+    got = rows(formats.cid_widths(Corpus.from_binary(files(spark, data))), "obj_num", "code", "width")
+    assert got == {(1, 3, 10.0), (1, 4, 20.0), (1, 7, 30.5), (1, 8, 30.5), (1, 9, 30.5), (1, 20, 40.0), (2, 1, 5.0), (2, 2, 5.0)}
