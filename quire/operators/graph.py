@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.session import written
@@ -151,8 +151,6 @@ def page_order(c: Corpus) -> DataFrame:
         out = out.union(found)
         step = level.join(kids, (level.file_id == kids.file_id) & (level.path == kids.path) & (level.num == kids.obj_num)).where(~F.array_contains("trail", F.col("kid")))
         level = written(step.select(level.file_id, level.path, F.col("kid").alias("num"), F.array_append("trail", F.col("kid")).alias("trail"), F.array_append("place", F.col("kid_ix")).alias("place")), "pages-level")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("file_id", "path").orderBy("place")
     return out.select("file_id", "path", F.col("num").alias("obj_num"), (F.row_number().over(order) - 1).alias("page_ix"))
 
@@ -179,6 +177,86 @@ def value_tree(c: Corpus, depth: int = 8) -> DataFrame:
     return brief(c.nodes.where(F.col("depth") <= depth))
 
 
+def _pretty(nodes: list[dict]) -> list[str]:
+    """Lines of one object from its values in file order: dictionaries unfold, arrays within them stay on a line."""
+    kids: dict = {}
+    for n in nodes:
+        kids.setdefault(n["parent_ix"], []).append(n)
+
+    def of(n: dict) -> list[str]:
+        items = kids.get(n["node_ix"], [])
+        if n["kind"] == "Array":
+            return ["[", *("  " + line for x in items for line in of(x)), "]"]
+        if n["kind"] not in ("Dictionary", "Stream"):
+            return [n["full"]]
+        lines = ["<<"]
+        for x in items:
+            if x["kind"] == "Array":
+                body = ["[ " + "  ".join(y["brief"] for y in kids.get(x["node_ix"], [])) + " ]"]
+            else:
+                body = of(x) if x["kind"] == "Dictionary" else [x["brief"]]
+            lines += [f"  /{x['key']}  {body[0]}", *("  " + line for line in body[1:])]
+        return [*lines, ">>"]
+
+    return [line for n in nodes if n["depth"] == 0 for line in of(n)]
+
+
+def detail_text(c: Corpus) -> DataFrame:
+    """``detail``: every object as indented text; of streams their dictionary and the bytes before and after decoding.
+
+    An object is one row here, as it was in its file.
+    """
+    from .text import _mapped
+
+    full = F.when(F.col("kind") == "LiteralString", F.concat(F.lit("("), "str_v", F.lit(")"))).when(F.col("kind") == "HexString", F.concat(F.lit("<"), F.hex(F.encode("str_v", "ISO-8859-1")), F.lit(">"))).otherwise(F.col("brief"))
+    rows = brief(c.nodes.where("obj_num >= 0")).withColumn("full", full)
+    rows = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("node_ix", "parent_ix", "depth", "key", "kind", "brief", "full"))).alias("values"))
+    text = _mapped(rows, lambda v: [{"line": x} for x in _pretty(v)], "array<struct<line:string>>", "values")
+    size = c.streams.select(*KEY, F.octet_length("stream_raw").alias("n_raw"), F.octet_length("stream_decoded").alias("n_decoded"))
+    sizes = F.when(F.col("n_raw").isNotNull(), F.concat_ws("\n", F.lit("stream"), F.format_string("[%d bytes raw]", "n_raw"), F.when(F.col("n_decoded").isNotNull(), F.format_string("[%d bytes decoded]", "n_decoded"))))
+    return text.join(size, KEY, "left").select(*KEY, F.concat_ws("\n", F.array_join(F.transform("_r", lambda x: x["line"]), "\n"), sizes).alias("detail"), "error")
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """``node_ix, above_ix, above_depth`` for every value and each value that holds it."""
+    parts = F.split(F.coalesce("key_path", F.lit("")), r"\.")
+    lead = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    below = nodes.where("depth > 0").select(*KEY, "node_ix", "depth", F.explode(lead).alias("above"))
+    above = nodes.select(*KEY, F.coalesce("key_path", F.lit("")).alias("above"), F.col("node_ix").alias("above_ix"), F.col("depth").alias("above_depth"))
+    return below.join(above, [*KEY, "above"]).where("above_depth < depth").select(*KEY, "node_ix", "above_ix", "above_depth")
+
+
+def visible_rows(nodes: DataFrame, opened: DataFrame) -> DataFrame:
+    """Values seen when only ``opened`` (``KEY, node_ix``) are unfolded, with their ``row`` in the object's order."""
+    closed = nodes.select(*KEY, F.col("node_ix").alias("above_ix")).join(opened.select(*KEY, F.col("node_ix").alias("above_ix")), [*KEY, "above_ix"], "left_anti")
+    hidden = ancestors(nodes).join(closed, [*KEY, "above_ix"], "left_semi").select(*KEY, "node_ix")
+    seen = nodes.join(hidden, [*KEY, "node_ix"], "left_anti")
+    return seen.withColumn("row", F.row_number().over(Window.partitionBy(*KEY).orderBy("node_ix")) - 1)
+
+
+def report(c: Corpus) -> DataFrame:
+    """A text report of each file, ``part, ord, line``: facts, index, trailer, and a line for every object.
+
+    ``report(c).orderBy("path", "part", "ord").select("line").write.text(folder)`` keeps it.
+    """
+    at = ["file_id", "path"]
+    facts = c.files.select(*at, F.posexplode(F.array(F.concat(F.lit("file_size : "), "length", F.lit(" bytes")), F.concat(F.lit("pdf_version: "), F.coalesce("version", F.lit("?"))))).alias("ord", "line"))
+    n = entry_counts(c)
+    total = F.col("n_in_use") + F.col("n_free") + F.col("n_compressed")
+    counts = F.array(F.format_string("total entries : %d", total), F.format_string("in-use        : %d", "n_in_use"), F.format_string("free          : %d", "n_free"), F.format_string("compressed    : %d", "n_compressed"))
+    index = n.select(*at, F.posexplode(counts).alias("ord", "line"))
+    tail = brief(c.trailer()).select(*at, "ord", F.format_string("/%s  %s", "key", "brief").alias("line"))
+    size = c.streams.select(*KEY, F.octet_length("stream_raw").alias("n_raw"))
+    kinds = F.concat_ws(", ", F.concat(F.lit("Type=/"), "type_name"), F.concat(F.lit("Subtype=/"), "subtype"))
+    said = F.concat(
+        F.format_string("obj %d %d R  ", "obj_num", "gen"), F.coalesce(F.col("kind"), F.lit("[could not resolve]")), F.when(kinds != "", F.concat(F.lit("  "), kinds)).otherwise(""),
+        F.when(F.col("n_raw").isNotNull(), F.format_string("  raw=%dB", "n_raw")).otherwise(""))
+    objects = c.objects.join(size, KEY, "left").select(*at, F.col("obj_num").alias("ord"), said.alias("line"))
+    parts = (facts, index, tail, objects)
+    rows = [p.select(*at, F.lit(i).alias("part"), F.col("ord").cast("int").alias("ord"), "line") for i, p in enumerate(parts)]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
 def document_tree(c: Corpus) -> DataFrame:
     """Header, Body, XRef and Trailer sections with their lines: ``section, ord, obj_num, label, detail, type_label``."""
     at = ["file_id", "path"]

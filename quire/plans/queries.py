@@ -736,3 +736,39 @@ def q80(spark, sf):
     labels = rows.select("file_id", "path", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("obj_num")).distinct().withColumn("type_label", F.concat(F.lit("kind "), F.col("obj_num").cast("string")))
     found = formats.hint_group_labels(formats.groups_of_page(groups, pages, 0), labels)
     return found.select(F.col("file_id").cast("long").alias("file"), F.col("group").cast("long").alias("group"), "lead_label")
+
+
+@query("q81_detail_text", "SELECT doc_id, '<<' || chr(10) || '  /Title  (' || coalesce(lang, '') || ')' || chr(10) || '  /Author  (' || coalesce(source, '') || ')' || chr(10) || '>>' AS info, '<<' || chr(10) || '  /Type  /Pages' || chr(10) || '  /Kids  [ 3 0 R ]' || chr(10) || '  /Count  1' || chr(10) || '>>' AS pages FROM documents")
+def q81(spark, sf):
+    rows = with_doc(graph.detail_text(corpus(spark, sf)))
+    return rows.groupBy("doc_id").agg(F.max(F.when(F.col("obj_num") == 6, F.col("detail"))).alias("info"), F.max(F.when(F.col("obj_num") == 2, F.col("detail"))).alias("pages"))
+
+
+@query("q82_visible_rows", "SELECT doc_id, 10 AS n_visible, 'MediaBox.[3]' AS seventh, 3 AS n_above FROM documents")
+def q82(spark, sf):
+    nodes = corpus(spark, sf).nodes.where("obj_num = 3")
+    opened = nodes.where("depth = 0 or key_path = 'MediaBox'")
+    seen = with_doc(graph.visible_rows(nodes, opened)).groupBy("doc_id").agg(F.count("*").alias("n_visible"), F.max(F.when(F.col("row") == 7, F.col("key_path"))).alias("seventh"))
+    leaf = nodes.where("key_path = 'Resources.Font.F1'").select("file_id", "path", "obj_num", "node_ix")
+    above = with_doc(graph.ancestors(nodes).join(leaf, ["file_id", "path", "obj_num", "node_ix"], "left_semi")).groupBy("doc_id").agg(F.count("*").alias("n_above"))
+    return seen.join(above, "doc_id")
+
+
+@query("q83_file_report", "SELECT doc_id, 15 AS n_lines, 'free          : 1' AS free, '/Size  7' AS size, 'obj 3 0 R  Dictionary  Type=/Page' AS page FROM documents")
+def q83(spark, sf):
+    rows = with_doc(graph.report(corpus(spark, sf)))
+    pick = lambda part, start: F.max(F.when((F.col("part") == part) & F.col("line").startswith(start), F.col("line")))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), pick(1, "free").alias("free"), pick(2, "/Size").alias("size"), pick(3, "obj 3 ").alias("page"))
+
+
+@query(
+    "q84_store_names",
+    """SELECT doc_id, filename, coalesce(source, 'none') || '_' || CASE WHEN n = 1 THEN 1 ELSE n + 1 END || '.pdf' AS stored_as
+       FROM (SELECT doc_id, source, coalesce(source, 'none') || '.pdf' AS filename, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)""",
+)
+def q84(spark, sf):
+    stem = F.coalesce("source", F.lit("none"))
+    docs = table(spark, sf, "documents")
+    new = docs.select("doc_id", F.concat(stem, F.lit(".pdf")).alias("filename"))
+    stored = docs.select(F.explode(F.array(F.concat(stem, F.lit(".pdf")), F.concat(stem, F.lit("_2.pdf")))).alias("filename")).distinct()
+    return pdf.store_names(new, stored, "doc_id").select("doc_id", "filename", "stored_as")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -67,6 +67,27 @@ def store_list(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path).select(name.alias("filename"), F.col("length").alias("size")).orderBy(F.lower("filename"), "filename")
 
 
+def store_names(new: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """``new(filename, ...)`` with ``stored_as``: its name, or with the least free ``_1, _2, ...`` where that is taken.
+
+    Rows of one name take their numbers by ``order``; ``stored(filename)`` are the names in use.
+    A name that another new row has is not given out.
+    """
+    split = r"^(.*?)(\.[^.]*)?$"
+    name = lambda stem, end, n: F.concat(stem, F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), end)
+    rows = new.withColumn("_k", F.row_number().over(Window.partitionBy("filename").orderBy(order)))
+    # As many numbers as new rows and stored names of the stem ask for; those not taken are given out in order.
+    stem, end = F.regexp_extract("filename", split, 1), F.regexp_extract("filename", split, 2)
+    taken = stored.select("filename", F.lit(True).alias("_all")).union(new.select("filename", F.lit(False))).groupBy("filename").agg(F.bool_or("_all").alias("_all"))
+    used = taken.select(F.regexp_replace(stem, r"_\d+$", "").alias("_stem"), end.alias("_end")).union(taken.select(stem.alias("_stem"), end.alias("_end"))).groupBy("_stem", "_end").agg(F.count("*").alias("_used"))
+    need = new.groupBy("filename").agg(F.count("*").alias("_new")).withColumn("_stem", stem).withColumn("_end", end).join(used, ["_stem", "_end"], "left")
+    free = need.select("filename", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_new") + F.coalesce("_used", F.lit(0)))).alias("_n"), "_stem", "_end")
+    free = free.withColumn("stored_as", name(F.col("_stem"), F.col("_end"), F.col("_n"))).join(taken.withColumnRenamed("filename", "stored_as"), "stored_as", "left")
+    free = free.where(F.col("_all").isNull() | (~F.col("_all") & (F.col("_n") == 0)))
+    free = free.withColumn("_k", F.row_number().over(Window.partitionBy("filename").orderBy("_n"))).select("filename", "_k", "stored_as")
+    return rows.join(free, ["filename", "_k"]).drop("_k")
+
+
 def generate(docs: DataFrame, layout: str = "lay1") -> DataFrame:
     """A one-page PDF for each row of ``docs(doc_id, text, lang, source)``: ``doc_id, path, length, content``."""
 

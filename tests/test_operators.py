@@ -285,3 +285,12 @@ def test_cid_widths(spark):
     data = W.assemble([(1, font), (2, far), (3, n([1, 2, 5]))], {"Root": W.ref(1)})
     got = rows(formats.cid_widths(Corpus.from_binary(files(spark, data))), "obj_num", "code", "width")
     assert got == {(1, 3, 10.0), (1, 4, 20.0), (1, 7, 30.5), (1, 8, 30.5), (1, 9, 30.5), (1, 20, 40.0), (2, 1, 5.0), (2, 2, 5.0)}
+
+
+def test_detail_text(rich):
+    got = {r.obj_num: r.detail for r in graph.detail_text(rich).collect()}
+    assert got[23] == "[\n  /PDF\n  /Text\n]" and got[28] == "5"
+    assert got[4] == "<<\n  /Type  /Page\n  /Parent  2 0 R\n  /Contents  [ 6 0 R  7 0 R ]\n  /Kids  [ 2 0 R ]\n>>"
+    assert got[25].split("\n")[4] == "  /CIDSystemInfo  <<" and got[25].split("\n")[5] == "    /Registry  (Adobe)"
+    n = len(W.stream(bytes([255, 0, 0, 0, 0, 16])).data[1])
+    assert got[14].endswith(f">>\nstream\n[{n} bytes raw]\n[6 bytes decoded]")

@@ -35,3 +35,10 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "d.pdf").write_bytes(layout("lay2", "new", "en", "s"))
     ingest.ingest(ingest.file_stream(spark, path), table, check)
     assert Corpus.open(spark, table).files.count() == 4
+
+
+def test_store_names_avoid_each_other(spark):
+    new = spark.createDataFrame([(1, "x.pdf"), (2, "x.pdf"), (3, "x_1.pdf"), (4, "y"), (5, "x.pdf")], "at int, filename string")
+    stored = spark.createDataFrame([("y",), ("y_1",), ("x_2.pdf",)], "filename string")
+    got = {r["at"]: r.stored_as for r in pdf.store_names(new, stored, "at").collect()}
+    assert got == {1: "x.pdf", 2: "x_3.pdf", 3: "x_1.pdf", 4: "y_2", 5: "x_4.pdf"}
