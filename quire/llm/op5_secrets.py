@@ -28,7 +28,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 SHORTEST, SHORTEST_VALUE = 16, 8
 #: Padding belongs to a candidate at its end only, so that ``key=value`` is two runs; a full stop ends a sentence.
@@ -171,7 +171,8 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list:
     from pyspark.ml.feature import VectorAssembler
 
     f = features(F.col("s"), F.col("word"), F.col("before"), F.col("after"))
-    rows = findings.select(*[c.cast("double").alias(n) for n, c in f.items()], "label")
+    # Written first: the learner passes over its rows many times.
+    rows = stage(stage(findings, "findings").select(*[c.cast("double").alias(n) for n, c in f.items()], "label"), "findings-features")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows)
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED).fit(rows)
 
@@ -196,18 +197,24 @@ def forest_for(spark: SparkSession) -> tuple:
 
 
 def score(forest, x: Column) -> Column:
-    """Mean share of secrets over the trees, for a struct ``x`` of features."""
+    """Mean share of secrets over the trees, for a struct ``x`` of features.
 
-    def tree(node) -> Column:
+    The struct is bound once: each tree node names it, none repeats how it is made.
+    """
+
+    def tree(node, v: Column) -> Column:
         if isinstance(node, float):
             return F.lit(node)
         name, at, left, right = node
-        return F.when(x[name] <= at, tree(left)).otherwise(tree(right))
+        return F.when(v[name] <= at, tree(left, v)).otherwise(tree(right, v))
+
+    def total(v: Column) -> Column:
+        out = tree(forest[0], v)
+        for t in forest[1:]:
+            out = out + tree(t, v)
+        return out / len(forest)
 
-    total = tree(forest[0])
-    for t in forest[1:]:
-        total = total + tree(t)
-    return total / len(forest)
+    return F.transform(F.array(x), total)[0]
 
 
 def _has_value(text: Column) -> Column:
@@ -240,7 +247,7 @@ def _scored(text: Column, forest) -> Column:
 
             def judged(s: Column) -> Column:
                 x = F.struct(*[c.cast("double").alias(n) for n, c in features(s, w, before, after).items()])
-                return F.transform(F.array(x), lambda v: F.struct(i.alias("word_at"), s.alias("secret"), score(forest, v).alias("score")))[0]
+                return F.struct(i.alias("word_at"), s.alias("secret"), score(forest, x).alias("score"))
 
             return F.transform(found, judged)
 
