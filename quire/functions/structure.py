@@ -6,6 +6,7 @@ import hashlib
 import re
 from typing import Any
 
+from . import recover
 from .codecs import decode_chain, predict
 from .lexer import NULL, Reader, Value
 
@@ -140,24 +141,61 @@ def sections(data: bytes, start: int) -> tuple[list[list[tuple]], Value, str]:
     return out, trailer, kind
 
 
+_OBJECT = re.compile(rb"\s*(\d+)\s+\d+\s+obj(?![A-Za-z0-9])")
+
+
 class Document:
-    """Index of one file, with objects read when asked for and kept."""
+    """Index of one file, with objects read when asked for and kept.
 
-    def __init__(self, data: bytes):
-        self.data = data
-        self.version, self.marker = header(data)
-        self.startxref = start_of_xref(data)
-        parts, self.trailer, self.xref_type = sections(data, self.startxref)
+    With ``repair`` an index that cannot be read is rebuilt from the objects
+    themselves, entries that lead elsewhere are put right, and streams end where
+    they say so; ``repairs`` lists ``(what, obj_num, offset)`` of each.
+    """
+
+    def __init__(self, data: bytes, repair: bool = False):
+        self.data, self.repair, self.repairs = data, repair, []
+        self._known: dict[int, Value | None] = {}
+        self._hosts: dict[int, dict[int, Value]] = {}
+        self._open: set[int] = set()
+        try:
+            self.version, self.marker = header(data)
+            self.startxref: int | None = start_of_xref(data)
+            parts, self.trailer, self.xref_type = sections(data, self.startxref)
+        except Exception:
+            if not repair or not (found := recover.objects(data)):
+                raise
+            parts = [self._rebuild(found)]
         self.rows, self.entries = [], {}
         for s, part in enumerate(parts):
             for i, e in enumerate(part):
                 self.rows.append((s, i, *e))
                 self.entries.setdefault(e[0], e)  # the newest section comes first and wins
-        self._known: dict[int, Value | None] = {}
-        self._hosts: dict[int, dict[int, Value]] = {}
-        self._open: set[int] = set()
+        if repair and self.xref_type != "rebuilt":
+            self._check_entries()
         offsets = [e[2] for e in self.entries.values() if e[1] == "in_use"]
-        self.linearized = bool(offsets) and max(offsets) > self.startxref
+        self.linearized = bool(offsets) and self.startxref is not None and max(offsets) > self.startxref
+
+    def _rebuild(self, found: list) -> list[tuple]:
+        """The one section of a file without a usable index."""
+        at = self.data.find(b"%PDF-", 0, 1024)
+        self.version, self.marker = header(self.data[at:]) if at >= 0 else (None, None)
+        self.startxref, self.xref_type = None, "rebuilt"
+        self.trailer, named = recover.trailer_of(self.data, found)
+        self.repairs.append(("index", None, None))
+        if not named:
+            self.repairs.append(("trailer", None, None))
+        return sorted(recover.entries_of(found, _member_numbers).values())
+
+    def _check_entries(self) -> None:
+        """Entries in use have to lead to an object of their number; where the file has it elsewhere, they do then."""
+        wrong = [n for n, e in self.entries.items() if e[1] == "in_use" and not ((m := _OBJECT.match(self.data, e[2])) and int(m[1]) == n)]
+        if not wrong:
+            return
+        true = recover.entries_of(recover.objects(self.data), _member_numbers)
+        for n in wrong:
+            if n in true:
+                self.entries[n] = true[n]
+                self.repairs.append(("entry", n, true[n][2]))
 
     def resolve(self, num: int) -> Value | None:
         """The object; generations play no part.  None if it is free, missing or unreadable."""
@@ -168,6 +206,8 @@ class Document:
         if e and e[1] == "in_use":
             got = Reader(self.data, e[2]).indirect()
             out = self._with_length(got[2]) if got else None
+            if self.repair and out is not None and out.kind == "Stream":
+                out = self._with_end(num, out)
         elif e and e[1] == "compressed":
             out = self._members(e[4]).get(num)
         self._known[num] = out
@@ -186,6 +226,16 @@ class Document:
         at = v.data[2]
         return Value("Stream", (v.data[0], self.data[at : at + size.int], at))
 
+    def _with_end(self, num: int, v: Value) -> Value:
+        """A stream whose length is missing or wrong ends at its ``endstream``."""
+        n = v.get("Length")
+        declared = len(v.data[1]) if n.kind == "Reference" else n.int
+        end, sound = recover.body_end(self.data, v.data[2], declared)
+        if sound:
+            return v
+        self.repairs.append(("length", num, v.data[2]))
+        return Value("Stream", (v.data[0], self.data[v.data[2] : end], v.data[2]))
+
     def _members(self, host: int) -> dict[int, Value]:
         """All objects of an object stream, decoded once; a host inside itself holds nothing."""
         if host in self._hosts:
@@ -198,14 +248,24 @@ class Document:
         body = decoded(v) if v is not None else None
         out: dict[int, Value] = {}
         if body is not None:
-            first, n = v.get("First").int or 0, v.get("N").int or 0
-            pairs = [int(x) for x in re.findall(rb"\d+", body[:first])][: 2 * n]
-            for num, at in zip(pairs[::2], pairs[1::2]):
+            first = v.get("First").int or 0
+            for num, at in _member_places(v, body):
                 out[num] = Reader(body, first + at).value() or NULL
         self._hosts[host] = out
         return out
 
 
+def _member_places(v: Value, body: bytes) -> list[tuple[int, int]]:
+    """Numbers and places of the objects in an object stream."""
+    pairs = [int(x) for x in re.findall(rb"\d+", body[: v.get("First").int or 0])][: 2 * (v.get("N").int or 0)]
+    return list(zip(pairs[::2], pairs[1::2]))
+
+
+def _member_numbers(v: Value) -> list[int]:
+    body = decoded(v)
+    return [num for num, _ in _member_places(v, body)] if body is not None else []
+
+
 # ---------------------------------------------------------------- rows
 
 
@@ -256,10 +316,10 @@ def parse_file(data: bytes) -> dict:
     """One file as nested rows; damage becomes the ``error`` of an otherwise empty row."""
     out: dict[str, Any] = {
         "file_id": hashlib.sha256(data).hexdigest(), "length": len(data), "version": None, "binary_marker": None, "startxref": None,
-        "xref_type": None, "linearized": None, "error": None, "xref": [], "objects": [], "nodes": [], "backrefs": [],
+        "xref_type": None, "linearized": None, "error": None, "xref": [], "objects": [], "nodes": [], "backrefs": [], "repairs": [],
     }
     try:
-        doc = Document(data)
+        doc = Document(data, repair=True)
     except Exception as e:  # whatever is wrong with a file stays a row of that file
         out["error"] = f"{type(e).__name__}: {e}"
         return out
@@ -295,4 +355,5 @@ def parse_file(data: bytes) -> dict:
         for k, x in doc.trailer.entries.items() if x.kind == "Reference"
     ]
     out["backrefs"] = [r | {"ord": i} for i, r in enumerate(refs)]
+    out["repairs"] = [{"what": w, "obj_num": n, "offset": at} for w, n, at in doc.repairs]
     return out

@@ -77,6 +77,11 @@ class Corpus:
     def backrefs(self) -> DataFrame:
         return self._rows("backrefs")
 
+    @cached_property
+    def repairs(self) -> DataFrame:
+        """What was put right: ``index`` rebuilt, ``trailer`` made up, ``entry`` moved, ``length`` of a stream found."""
+        return self._rows("repairs")
+
     def trailer(self) -> DataFrame:
         return self.nodes.where("obj_num = -1 and depth = 1")
 

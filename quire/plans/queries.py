@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import formats, graph, layout, pdfx, text
 from quire.operators.corpus import Corpus, first_of
-from quire.session import shared_dir, written
+from quire.session import shared_dir
 from quire.sources import pdf
 
 QUERIES: dict = {}
@@ -40,9 +40,17 @@ def generated(spark: SparkSession, sf_dir: str, kind: str = "lay1") -> DataFrame
     return pdf.generate(table(spark, sf_dir, "documents"), kind)
 
 
+_saved: dict[tuple, str] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str, kind: str = "lay1") -> Corpus:
-    """Parsed once and written; every table of a question reads that."""
-    return Corpus(written(Corpus.from_binary(generated(spark, sf_dir, kind)).parsed, f"corpus-{kind}"))
+    """The corpus of a kind, parsed and saved by the first question of a session that needs it; others read of it what they ask."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _saved:
+        path = f"{shared_dir(spark)}/quire/corpus-{kind}-{uuid.uuid4().hex}"
+        Corpus.from_binary(generated(spark, sf_dir, kind)).save(path)
+        _saved[key] = path
+    return Corpus.open(spark, _saved[key])
 
 
 def with_doc(df: DataFrame) -> DataFrame:
@@ -772,3 +780,34 @@ def q84(spark, sf):
     new = docs.select("doc_id", F.concat(stem, F.lit(".pdf")).alias("filename"))
     stored = docs.select(F.explode(F.array(F.concat(stem, F.lit(".pdf")), F.concat(stem, F.lit("_2.pdf")))).alias("filename")).distinct()
     return pdf.store_names(new, stored, "doc_id").select("doc_id", "filename", "stored_as")
+
+
+def damaged(files: DataFrame) -> DataFrame:
+    """Every sixth file as it is; the others with a wrong ``startxref``, length or entry, a cut tail, or bytes before the header."""
+    raw = F.decode("content", "ISO-8859-1")
+    kind = F.pmod("doc_id", F.lit(6))
+    n = F.regexp_extract(raw, r"/Length (\d+)", 1)
+    hurt = (
+        F.when(kind == 1, F.regexp_replace(raw, r"startxref\n\d+", "startxref\n999999999"))
+        .when(kind == 2, F.replace(raw, F.concat(F.lit("/Length "), n), F.concat(F.lit("/Length "), F.lpad(F.lit("1"), F.length(n), F.lit("0")))))
+        .when(kind == 3, F.substring_index(raw, "\nxref\n", 1))
+        .when(kind == 4, F.concat(F.lit("bytes before the header\n"), raw))
+        .when(kind == 5, F.regexp_replace(raw, r"\d{10} 00000 n\r\n(?=trailer)", "0000000003 00000 n\r\n"))
+        .otherwise(raw)
+    )
+    return files.withColumn("content", F.encode(hurt, "ISO-8859-1"))
+
+
+@query(
+    "q85_damaged_files",
+    """SELECT doc_id, ['', 'index', 'length', 'index,trailer', 'index', 'entry'][doc_id % 6 + 1] AS repairs, 6 AS n_objects, lang AS title, sha256(text) AS text_sha256 FROM documents""",
+)
+def q85(spark, sf):
+    files = damaged(pdf.generate(table(spark, sf, "documents")))
+    path = f"{shared_dir(spark)}/quire/corpus-damaged-{uuid.uuid4().hex}"
+    c = Corpus.from_binary(files).save(path)
+    facts = with_doc(c.parsed).select("doc_id", F.array_join(F.array_sort(F.array_distinct("repairs.what")), ",").alias("repairs"), F.size("objects").alias("n_objects"))
+    title = with_doc(c.nodes.where("obj_num = 6 and key_path = 'Title'")).select("doc_id", F.col("str_v").alias("title"))
+    runs = with_doc(text.text_runs(text.content_bytes(c))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("op_ix", "text"))).alias("r"))
+    shown = runs.select("doc_id", F.sha2(F.array_join(F.transform("r", lambda x: x["text"]), "\n"), 256).alias("text_sha256"))
+    return facts.join(title, "doc_id").join(shown, "doc_id")

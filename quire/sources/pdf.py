@@ -19,9 +19,10 @@ NODES = (
     "bool_v:boolean,int_v:bigint,real_v:double,str_v:string,ref_num:int,ref_gen:int>>"
 )
 BACKREFS = "array<struct<obj_num:int,from_num:int,from_gen:int,key_path:string,type_name:string,ord:int>>"
+REPAIRS = "array<struct<what:string,obj_num:int,offset:bigint>>"
 PARSED = (
     "path string, file_id string, length bigint, version string, binary_marker binary, startxref bigint, xref_type string, linearized boolean, "
-    f"error string, xref {XREF}, objects {OBJECTS}, nodes {NODES}, backrefs {BACKREFS}"
+    f"error string, xref {XREF}, objects {OBJECTS}, nodes {NODES}, backrefs {BACKREFS}, repairs {REPAIRS}"
 )
 #: Files are parsed a few at a time, so a task holds only a few.
 BATCH = 16
