@@ -199,6 +199,36 @@ def picture(pixels: bytes) -> bytes:
     return assemble(objects, TRAILER)
 
 
+def inheriting(text: str) -> bytes:
+    """A page for each line under three levels of nodes, whose attributes they inherit.
+
+    The root has a media box, resources and a rotation; the first of its two
+    branches a media box of its own, the second other resources by reference and
+    a crop box.  Lines go to the branches in turn; every third page has a
+    rotation of its own.
+    """
+    lines = text.split("\n")
+    fonts = [(5, dictionary(Type="Font", Subtype="Type1", BaseFont="Upper")), (6, dictionary(Type="Font", Subtype="Type1", BaseFont="Lower"))]
+    number, objects, kids = 10, [], {7: [], 8: []}
+    for i, line in enumerate(lines):
+        up = 7 + i % 2
+        page = {"Type": "Page", "Parent": ref(up), "Contents": ref(number + 1)} | ({"Rotate": 180} if i % 3 == 0 else {})
+        objects += [(number, dictionary(**page)), (number + 1, stream(page_content(line)))]
+        kids[up].append(ref(number))
+        number += 2
+    top = {"MediaBox": [0, 0, 600, 800], "Rotate": 90, "Resources": dictionary(Font=dictionary(F1=ref(5)))}
+    tree = [
+        (1, dictionary(Type="Catalog", Pages=ref(2))),
+        (2, dictionary(Type="Pages", Kids=[ref(3)], Count=len(lines), **top)),
+        (3, dictionary(Type="Pages", Parent=ref(2), Kids=ref(4), Count=len(lines))),
+        (4, Value("Array", [ref(7), ref(8)])),
+        (7, dictionary(Type="Pages", Parent=ref(3), Kids=kids[7], Count=len(kids[7]), MediaBox=[0, 0, 300, 400.5])),
+        (8, dictionary(Type="Pages", Parent=ref(3), Kids=kids[8], Count=len(kids[8]), Resources=ref(9), CropBox=[10, 10, 90, 110])),
+        (9, dictionary(Font=dictionary(F1=ref(6)))),
+    ]
+    return assemble(sorted([*tree, *fonts, *objects], key=lambda o: o[0]), {"Root": ref(1)})
+
+
 TRAILER = {"Root": ref(1), "Info": ref(6)}
 
 
@@ -240,11 +270,13 @@ def updated(data: bytes, num: int, value: Value, size: int) -> bytes:
 
 def layout(kind: str, text: str | None, lang: str | None, source: str | None) -> bytes:
     """A file of a text: one page as ``lay1``, ``lay2`` (packed), ``lay2p`` (packed, predictor 12), ``lay3`` (with leading)
-    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts) or ``image``."""
+    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts), ``image``, or ``inherit`` (attributes along the page tree)."""
     if kind == "type":
         return typeset(lang or "", source or "")
     if kind == "image":
         return picture((text or "").encode("utf-8")[:64] or b"\0")
+    if kind == "inherit":
+        return inheriting(text or "")
     if kind == "book":
         return book(text or "", lang or "", source or "")
     if kind == "lay4":

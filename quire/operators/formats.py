@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.formats import FONT_FLAGS, PREDICTORS
 
+from . import pagetree
 from .corpus import Corpus
 from .graph import classify, lookup, palette_references
 from .text import _mapped
@@ -404,25 +405,11 @@ def hint_streams(c: Corpus) -> DataFrame:
 
 
 def page_resources(c: Corpus, kind: str) -> DataFrame:
-    """Named resources of a kind for each page: its own before those it inherits through a shared dictionary."""
-    at = ["file_id", "path", "res"]
-    own = c.nodes.where(F.col("key_path").rlike(rf"^Resources\.{kind}\.[^.]+$") & (F.col("kind") == "Reference")).select(*KEY, F.col("key").alias("name"), "ref_num", F.lit(0).alias("rank"))
-    shared = c.entry("Resources").where("kind = 'Reference'").select(*KEY, F.col("ref_num").alias("res"))
-    far = c.nodes.where(F.col("key_path").rlike(rf"^{kind}\.[^.]+$") & (F.col("kind") == "Reference")).select("file_id", "path", F.col("obj_num").alias("res"), F.col("key").alias("name"), "ref_num")
-    # The dictionary of the kind may be an object of its own, in both.
-    named = c.nodes.where((F.col("key_path") == f"Resources.{kind}") & (F.col("kind") == "Reference")).select(*KEY, F.col("ref_num").alias("res"), F.lit(0).alias("rank"))
-    through = c.entry(kind).where("kind = 'Reference'").select("file_id", "path", F.col("obj_num").alias("res"), F.col("ref_num").alias("far"))
-    named = named.union(shared.join(through, at).select(*KEY, F.col("far").alias("res"), F.lit(1).alias("rank")))
-    entries = c.nodes.where("depth = 1 and kind = 'Reference'").select("file_id", "path", F.col("obj_num").alias("res"), F.col("key").alias("name"), "ref_num")
-    rows = own.union(shared.join(far, at).select(*KEY, "name", "ref_num", F.lit(1))).union(named.join(entries, at).select(*KEY, "name", "ref_num", "rank"))
-    w = Window.partitionBy(*KEY, "name").orderBy("rank")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "rank")
+    """Named resources of a kind for each page: its own, or those it inherits along the page tree."""
+    return pagetree.resources(c, kind)
 
 
 def page_boxes(c: Corpus) -> DataFrame:
-    """Boxes of pages in points and their size at 96 dots an inch; the crop box counts before the media box."""
-    v = F.coalesce("real_v", F.col("int_v").cast("double"))
-    rows = c.nodes.where("key_path rlike '^(CropBox|MediaBox)\\\\.\\\\['").groupBy(*KEY, F.split("key_path", r"\.")[0].alias("box")).agg(
-        *[F.max(F.when(F.col("ord") == i, v)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
-    best = rows.groupBy(*KEY).agg(F.min_by(F.struct("box", "x0", "y0", "x1", "y1"), "box").alias("b")).select(*KEY, "b.*")
-    return best.select("*", ((F.col("x1") - F.col("x0")) * 96 / 72).alias("px_width"), ((F.col("y1") - F.col("y0")) * 96 / 72).alias("px_height"))
+    """Boxes of pages in points, own or inherited, and their size at 96 dots an inch; the crop box counts before the media box."""
+    rows = pagetree.page_attributes(c).where("box is not null")
+    return rows.select("*", pagetree.pixels(F.col("x1") - F.col("x0")).alias("px_width"), pagetree.pixels(F.col("y1") - F.col("y0")).alias("px_height"))

@@ -811,3 +811,18 @@ def q85(spark, sf):
     runs = with_doc(text.text_runs(text.content_bytes(c))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("op_ix", "text"))).alias("r"))
     shown = runs.select("doc_id", F.sha2(F.array_join(F.transform("r", lambda x: x["text"]), "\n"), 256).alias("text_sha256"))
     return facts.join(title, "doc_id").join(shown, "doc_id")
+
+
+@query(
+    "q86_inherited_attributes",
+    f"""SELECT doc_id, i AS page_ix, CASE WHEN i % 2 = 0 THEN 'MediaBox' ELSE 'CropBox' END AS box, (CASE WHEN i % 2 = 0 THEN 400 ELSE 320 / 3.0 END)::DECIMAL(12, 3)::DOUBLE AS px_width,
+              (CASE WHEN i % 2 = 0 THEN 534 ELSE 400 / 3.0 END)::DECIMAL(12, 3)::DOUBLE AS px_height, CASE WHEN i % 3 = 0 THEN 180 ELSE 90 END AS rotate,
+              CASE WHEN i % 2 = 0 THEN 'Upper' ELSE 'Lower' END AS font FROM (SELECT doc_id, unnest(range(0, {LINES})) AS i FROM documents)""",
+)
+def q86(spark, sf):
+    c = corpus(spark, sf, "inherit")
+    boxes = with_doc(formats.page_boxes(c)).select("doc_id", "obj_num", "box", F.round("px_width", 3).alias("px_width"), F.round("px_height", 3).alias("px_height"), "rotate")
+    fonts = with_doc(formats.page_resources(c, "Font")).where("name = 'F1'").select("doc_id", "obj_num", F.col("ref_num").alias("font_num"))
+    names = with_doc(formats.fonts(c)).select("doc_id", F.col("obj_num").alias("font_num"), F.col("base_font").alias("font"))
+    rows = boxes.join(fonts, ["doc_id", "obj_num"]).join(names, ["doc_id", "font_num"])
+    return rows.select("doc_id", ((F.col("obj_num") - 10) / 2).cast("long").alias("page_ix"), "box", "px_width", "px_height", "rotate", "font")
