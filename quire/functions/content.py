@@ -277,6 +277,25 @@ def text_runs(ops: list[dict], widths: dict[int, float] | None = None, default_w
     return out
 
 
+def draw_calls(ops: list[dict]) -> list[dict]:
+    """Each ``Do`` with its name and the whole matrix in force, from the stream's own coordinates."""
+    out, ctm, saved = [], IDENTITY, []
+    for x in ops:
+        o = x["operands"]
+        if x["op"] == "q":
+            saved.append(ctm)
+        elif x["op"] == "Q" and saved:
+            ctm = saved.pop()
+        elif x["op"] == "cm" and len(o) >= 6:
+            try:
+                ctm = multiply(tuple(float(v["value"]) for v in o[:6]), ctm)
+            except ValueError:
+                continue
+        elif x["op"] == "Do" and o:
+            out.append({"op_ix": x["op_ix"], "name": o[0]["value"].lstrip("/"), "matrix": list(ctm)})
+    return out
+
+
 def image_placements(ops: list[dict]) -> list[dict]:
     """Each ``Do`` with the matrix in force; a negative fourth number turns the image upside down."""
     out, ctm, saved = [], IDENTITY, []

@@ -229,6 +229,32 @@ def inheriting(text: str) -> bytes:
     return assemble(sorted([*tree, *fonts, *objects], key=lambda o: o[0]), {"Root": ref(1)})
 
 
+def nested_forms(lang: str, source: str) -> bytes:
+    """A page that draws a form twice, which draws another twice, which draws itself.
+
+    The inner form shows ``source`` and a line, the outer one ``lang``; the outer
+    has a matrix of its own and resources that name the inner one, the inner one
+    has none and uses those of the page.
+    """
+    show = lambda s: b"BT /F1 10 Tf 1 2 Td (%s) Tj ET" % escape(s.encode("latin-1", "replace"))
+    page = b"q 1 0 0 1 100 200 cm /Outer Do Q q 2 0 0 2 0 0 cm /Outer Do Q /Image Do 0 0 m 9 9 l S"
+    outer = show(lang) + b" q 1 0 0 1 0 50 cm /Alias Do Q q 0 1 -1 0 5 0 cm /Alias Do Q 1 1 3 3 re f"
+    inner = show(source) + b" 0 0 m 5 5 l S /Self Do"
+    form = {"Type": "XObject", "Subtype": "Form", "BBox": [0, 0, 100, 100]}
+    names = dictionary(Outer=ref(7), Self=ref(8), Image=ref(9))
+    objects = [
+        *page_objects("", lang, source)[:2],
+        (3, dictionary(Type="Page", Parent=ref(2), MediaBox=[0, 0, 612, 792], Contents=ref(4), Resources=dictionary(Font=dictionary(F1=ref(5)), XObject=names))),
+        (4, stream(page)),
+        (5, dictionary(Type="Font", Subtype="Type1", BaseFont="Helvetica")),
+        page_objects("", lang, source)[5],
+        (7, stream(outer, Matrix=[1, 0, 0, 1, 10, 0], Resources=dictionary(XObject=dictionary(Alias=ref(8), Image=ref(8))), **form)),
+        (8, stream(inner, **form)),
+        (9, stream(b"\0", Type="XObject", Subtype="Image", Width=1, Height=1, BitsPerComponent=8, ColorSpace="DeviceGray")),
+    ]
+    return assemble(objects, TRAILER)
+
+
 TRAILER = {"Root": ref(1), "Info": ref(6)}
 
 
@@ -270,11 +296,13 @@ def updated(data: bytes, num: int, value: Value, size: int) -> bytes:
 
 def layout(kind: str, text: str | None, lang: str | None, source: str | None) -> bytes:
     """A file of a text: one page as ``lay1``, ``lay2`` (packed), ``lay2p`` (packed, predictor 12), ``lay3`` (with leading)
-    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts), ``image``, or ``inherit`` (attributes along the page tree)."""
+    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts), ``image``, ``inherit`` (attributes along the page tree) or ``forms`` (nested)."""
     if kind == "type":
         return typeset(lang or "", source or "")
     if kind == "image":
         return picture((text or "").encode("utf-8")[:64] or b"\0")
+    if kind == "forms":
+        return nested_forms(lang or "", source or "")
     if kind == "inherit":
         return inheriting(text or "")
     if kind == "book":

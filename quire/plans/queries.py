@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import formats, graph, layout, pdfx, text
+from quire.operators import formats, forms, graph, layout, pdfx, text
 from quire.operators.corpus import Corpus, first_of
 from quire.session import shared_dir
 from quire.sources import pdf
@@ -826,3 +826,19 @@ def q86(spark, sf):
     names = with_doc(formats.fonts(c)).select("doc_id", F.col("obj_num").alias("font_num"), F.col("base_font").alias("font"))
     rows = boxes.join(fonts, ["doc_id", "obj_num"]).join(names, ["doc_id", "font_num"])
     return rows.select("doc_id", ((F.col("obj_num") - 10) / 2).cast("long").alias("page_ix"), "box", "px_width", "px_height", "rotate", "font")
+
+
+@query(
+    "q87_text_in_forms",
+    """SELECT doc_id, x::DOUBLE AS x, y::DOUBLE AS y, depth, CASE WHEN depth = 1 THEN lang ELSE source END AS shown
+       FROM documents, (VALUES (111, 202, 1), (111, 252, 2), (113, 201, 2), (22, 4, 1), (22, 104, 2), (26, 2, 2)) t(x, y, depth)""",
+)
+def q87(spark, sf):
+    runs = with_doc(forms.text_runs(corpus(spark, sf, "forms")))
+    return runs.select("doc_id", "x", "y", (F.size("at") - 1).alias("depth"), F.col("text").alias("shown"))
+
+
+@query("q88_paths_in_forms", "SELECT doc_id, 5::BIGINT AS n_moves, 5::BIGINT AS n_lines, 2::BIGINT AS n_rectangles, 5::BIGINT AS n_strokes, 2::BIGINT AS n_fills FROM documents")
+def q88(spark, sf):
+    rows = with_doc(forms.path_counts(corpus(spark, sf, "forms")))
+    return rows.select("doc_id", "n_moves", "n_lines", "n_rectangles", "n_strokes", "n_fills")
