@@ -28,6 +28,7 @@ rows; other columns, ``lang`` and ``source`` among them, are never read.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -90,9 +91,13 @@ def _pieces(text: str) -> Iterator[str]:
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``texts`` in order, and the number of the text of each."""
-    if len(texts) == 1 and len(texts[0]) > PORTION:
-        found = np.concatenate([words_of([p])[0] for p in _pieces(texts[0])])
+    if len(texts) == 1:
+        found = np.concatenate([_hashes([p])[0] for p in _pieces(texts[0])])
         return found, np.zeros(len(found), np.int64)
+    return _hashes(texts)
+
+
+def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raws = [t.lower().encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b" ".join(raws) + b" ", dtype=np.uint8)
     edges = np.diff(np.concatenate(([False], _WORD[data], [False])).astype(np.int8))
@@ -184,6 +189,14 @@ def learn(documents: list[np.ndarray], labels: list[int], model: Model) -> Model
     return Model(ids[keep], w[keep], (n - before)[keep])
 
 
+def frequent(documents: list[np.ndarray]) -> list[np.ndarray]:
+    """The documents without the features that ``learn`` leaves out of a shard by itself."""
+    x = np.concatenate([np.zeros(0, np.int32), *documents])
+    _, places, seen = np.unique(x, return_inverse=True, return_counts=True)
+    stays = (seen > L1)[places]
+    return [x[a:b][stays[a:b]] for a, b in itertools.pairwise(np.cumsum([0, *map(len, documents)]))]
+
+
 def _sample(labels: DataFrame, most: int) -> tuple[DataFrame, int, int]:
     """``doc_id, y`` of at most about ``most`` labelled documents that are not held out; how many are labelled, and how many of them 1."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
@@ -225,7 +238,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     # At most about `most` ids and labels, which is what is broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(marks), "doc_id")
     rows = rows.select("doc_id", "y", "text").dropDuplicates(["doc_id", "text"])
-    featured = stage(_featured(rows, -(-min(n, most) // SHARD_DOCS)), "toxicity-features")
+
+    def prune(part):
+        part = part.sort_values("at", kind="stable")
+        return part.assign(x=frequent(list(part["x"])))
+
+    shards = -(-min(n, most) // SHARD_DOCS)
+    featured = stage(_featured(rows, shards).groupBy("shard").applyInPandas(prune, "shard int, at long, y int, x array<int>"), "toxicity-features")
     model = Model.empty(ones / n)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(tuple(model))
