@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from .codes import is_utf16
 from .lexer import SKIP, hex_bytes, literal
 
 # The 71 operators of the PDF specification by category, and the order of the categories.
@@ -200,12 +201,23 @@ def _array_items(raw: str) -> list:
     return [float(t) if k == "num" else _string_bytes(t) for k, t in tokens(inner) if k in ("num", "string")]
 
 
+def _codes(raw: bytes, font: dict) -> list[tuple[int, int]]:
+    """``(n, code)`` of a string: by the font's code spaces, else of its one width."""
+    if font.get("codes"):
+        return font["codes"].split(raw)
+    step = font["code_bytes"]
+    return [(len(p), int.from_bytes(p, "big")) for i in range(0, len(raw), step) for p in (raw[i : i + step],)]
+
+
 def text_runs(ops: list[dict], widths: dict[int, float] | None = None, default_width: float = 500.0, cmap: dict[int, str] | None = None, code_bytes: int = 1, fonts: dict[str, dict] | None = None) -> list[dict]:
     """Position and state of every shown string.
 
     Saved states hold the text state too; widths are in thousandths of the font
     size.  Unknown codes read as Latin-1.  ``fonts`` gives ``widths, default_width,
-    cmap, code_bytes`` by resource name; the other arguments serve names it lacks.
+    cmap, code_bytes`` by resource name, and ``codes`` (code spaces) where a font
+    has a map of its own; the other arguments serve names it lacks.  Strings in a
+    font with an ``unknown`` predefined map have no text and no advance, but a
+    ``note``; where its codes are UTF-16 they are read as that.
     """
     plain = {"widths": widths or {}, "default_width": default_width, "cmap": cmap or {}, "code_bytes": code_bytes}
     state = {"ctm": IDENTITY, "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 100.0, "TL": 0.0, "Ts": 0.0, "Tr": 0}
@@ -226,19 +238,27 @@ def text_runs(ops: list[dict], widths: dict[int, float] | None = None, default_w
     def show(ix, parts):
         nonlocal tm
         at = multiply(tm, state["ctm"])
-        text, advance = [], 0.0
+        text, advance, note = [], 0.0, None
         font = (fonts or {}).get(state["font"], plain)
-        step = font["code_bytes"]
+        texts, unknown = font["cmap"], font.get("unknown")
+        if unknown:
+            note = f"codes of {unknown} are not known"
         for p in parts:
             if isinstance(p, float):
                 advance -= p / 1000 * state["size"] * state["Tz"] / 100
                 continue
-            for i in range(0, len(p), step):
-                code = int.from_bytes(p[i : i + step], "big")
-                text.append(font["cmap"].get(code) or (chr(code) if code < 256 else "�"))
-                w = font["widths"].get(code, font["default_width"]) / 1000 * state["size"] + state["Tc"] + (state["Tw"] if code == 32 and step == 1 else 0)
+            if unknown and not is_utf16(unknown):
+                continue
+            for n, code in _codes(p, font):
+                if unknown:
+                    text.append(code.to_bytes(n, "big").decode("utf-16-be", "replace"))
+                else:
+                    text.append(texts.get(n << 32 | code) or texts.get(code) or (chr(code) if code < 256 else "�"))
+                cid = font["codes"].cid(n, code) if font.get("codes") else code
+                w = font["widths"].get(cid, font["default_width"]) / 1000 * state["size"] + state["Tc"] + (state["Tw"] if code == 32 and n == 1 else 0)
                 advance += w * state["Tz"] / 100
-        out.append({"op_ix": ix, "x": at[4], "y": at[5] + state["Ts"], "font": state["font"], "size": state["size"], "render_mode": state["Tr"], "text": "".join(text)})
+        shown_text = None if unknown and not is_utf16(unknown) else "".join(text)
+        out.append({"op_ix": ix, "x": at[4], "y": at[5] + state["Ts"], "font": state["font"], "size": state["size"], "render_mode": state["Tr"], "text": shown_text, "note": note})
         tm = multiply((1, 0, 0, 1, advance, 0), tm)
 
     for x in ops:

@@ -229,6 +229,34 @@ def inheriting(text: str) -> bytes:
     return assemble(sorted([*tree, *fonts, *objects], key=lambda o: o[0]), {"Root": ref(1)})
 
 
+def mixed_codes(source: str) -> bytes:
+    """``source`` in codes of one and two bytes in turn, whose map uses another, and then a word in a predefined map.
+
+    Characters from the space to the tilde; one-byte codes are the characters, two-byte codes 0x8140 and on.
+    """
+    raw = bytes(b for b in source.encode("latin-1", "replace") if 32 <= b < 127)
+    codes = b"".join(b"%02X" % b if i % 2 == 0 else b"81%02X" % (b + 32) for i, b in enumerate(raw))
+    content = b"BT /F1 10 Tf 72 720 Td <%s> Tj (A) Tj /F2 10 Tf (A) Tj /F3 10 Tf <00410042> Tj ET" % codes
+    used = b"1 begincodespacerange <8140> <FEFE> endcodespacerange 1 begincidrange <8140> <819E> 1000 endcidrange"
+    own = b"/Base usecmap 1 begincodespacerange <00> <7F> endcodespacerange 1 begincidrange <20> <7E> 0 endcidrange"
+    to_text = b"2 beginbfrange <20> <7E> <0020> <8140> <819E> <0020> endbfrange"
+    wide = lambda kid, **e: dictionary(Type="Font", Subtype="Type0", BaseFont="W", DescendantFonts=[ref(kid)], **e)
+    objects = [
+        *page_objects("", "", source)[:2],
+        (3, dictionary(Type="Page", Parent=ref(2), MediaBox=[0, 0, 612, 792], Contents=ref(4), Resources=dictionary(Font=dictionary(F1=ref(5), F2=ref(7), F3=ref(8))))),
+        (4, stream(content)),
+        (5, wide(9, Encoding=ref(10), ToUnicode=ref(12))),
+        page_objects("", "", source)[5],
+        (7, wide(9, Encoding="90ms-RKSJ-H")),
+        (8, wide(9, Encoding="UniJIS-UTF16-H")),
+        (9, dictionary(Type="Font", Subtype="CIDFontType0", BaseFont="W", DW=700, W=[0, 94, 500, 1000, 1094, 1000])),
+        (10, stream(own, Type="CMap", UseCMap=ref(11))),
+        (11, stream(used, Type="CMap")),
+        (12, stream(to_text)),
+    ]
+    return assemble(objects, TRAILER)
+
+
 def nested_forms(lang: str, source: str) -> bytes:
     """A page that draws a form twice, which draws another twice, which draws itself.
 
@@ -296,11 +324,13 @@ def updated(data: bytes, num: int, value: Value, size: int) -> bytes:
 
 def layout(kind: str, text: str | None, lang: str | None, source: str | None) -> bytes:
     """A file of a text: one page as ``lay1``, ``lay2`` (packed), ``lay2p`` (packed, predictor 12), ``lay3`` (with leading)
-    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts), ``image``, ``inherit`` (attributes along the page tree) or ``forms`` (nested)."""
+    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts), ``image``, ``inherit`` (attributes along the page tree) ``forms`` (nested) or ``codes`` (of mixed width)."""
     if kind == "type":
         return typeset(lang or "", source or "")
     if kind == "image":
         return picture((text or "").encode("utf-8")[:64] or b"\0")
+    if kind == "codes":
+        return mixed_codes(source or "")
     if kind == "forms":
         return nested_forms(lang or "", source or "")
     if kind == "inherit":

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.codes import IDENTITY, read_code_map
 from quire.functions.formats import FONT_FLAGS, PREDICTORS
+from quire.session import discard, written
 
 from . import pagetree
 from .corpus import Corpus
@@ -14,6 +16,7 @@ from .text import _mapped
 
 KEY = ["file_id", "path", "obj_num"]
 CMAP = "array<struct<seq:int,src_int:bigint,src_hex:string,dst_hex:string,code_point:int,char:string>>"
+CODE_MAP = "array<struct<spaces:array<struct<n:int,low:bigint,high:bigint>>,cids:array<struct<n:int,low:bigint,high:bigint,cid:bigint>>,uses:string>>"
 ICC_TAG = "array<struct<sig:string,name:string,type_sig:string,offset:bigint,size:bigint,summary:string>>"
 SEGMENT = "array<struct<label:string,offset:bigint,size:bigint>>"
 ICC_HEAD = (
@@ -230,7 +233,7 @@ def type0_fonts(c: Corpus) -> DataFrame:
         F.coalesce(F.col("DW").cast("double"), F.lit(1000.0)).alias("default_width"), F.col("FontDescriptor_ref").alias("font_descriptor_num"))
     at = ["file_id", "path", "descendant_num"]
     return rows.join(child, KEY, "left").join(kid, at, "left").join(system, at, "left").select(
-        *KEY, F.col("BaseFont").alias("base_font"), F.col("Encoding").alias("encoding"), F.col("ToUnicode_ref").alias("to_unicode_num"), "descendant_num", "cid_subtype", "cid_base_font", "cid_registry",
+        *KEY, F.col("BaseFont").alias("base_font"), F.col("Encoding").alias("encoding"), F.col("Encoding_ref").alias("encoding_num"), F.col("ToUnicode_ref").alias("to_unicode_num"), "descendant_num", "cid_subtype", "cid_base_font", "cid_registry",
         "cid_ordering", "cid_supplement", F.coalesce("default_width", F.lit(1000.0)).alias("default_width"), "font_descriptor_num")
 
 
@@ -273,29 +276,72 @@ def cid_widths(c: Corpus) -> DataFrame:
     return ranges.union(lists.join(each, [*KEY, "parent_ix"]).select(*KEY, (F.col("first") + F.col("ord")).cast("int"), "width"))
 
 
+def code_maps(c: Corpus) -> DataFrame:
+    """Maps of composite fonts, with those that they use: ``KEY`` of the map, ``code_map``, ``unknown_map``.
+
+    A map uses another by its ``UseCMap`` entry or by ``usecmap``; its own ranges
+    come first.  A chain of any length is followed, a map that is met again ends
+    it.  ``unknown_map`` is a predefined map in the chain whose codes are not in
+    the file; identity is no such map.
+    """
+    at = ["file_id", "path"]
+    named = type0_fonts(c).where("encoding_num is not null").select(*at, F.col("encoding_num").alias("obj_num"))
+    link = c.entry("UseCMap").select(*KEY, F.col("ref_num").alias("next"), F.when(F.col("kind") == "Name", F.col("str_v")).alias("next_name"))
+    start = named.union(link.where("next is not null").select(*at, F.col("next"))).distinct()
+    parsed = _mapped(c.streams.join(start, KEY, "left_semi"), lambda b: [read_code_map(b)], CODE_MAP).select(*KEY, F.inline("_r")).join(link, KEY, "left")
+    parsed = written(parsed.select(*KEY, "spaces", "cids", "next", F.coalesce("next_name", F.when(F.col("next").isNull(), F.col("uses"))).alias("next_name")), "code-maps")
+    level, depth, out = parsed.select(*KEY, F.array("obj_num").alias("trail"), "spaces", "cids", "next", "next_name"), 0, None
+    while True:
+        part = level.select(*KEY, F.lit(depth).alias("depth"), "spaces", "cids", "next_name")
+        out = part if out is None else out.union(part)
+        used = parsed.select(*at, F.col("obj_num").alias("next"), F.col("spaces").alias("s"), F.col("cids").alias("i"), F.col("next").alias("after"), F.col("next_name").alias("after_name"))
+        step = level.where("next is not null").join(used, [*at, "next"]).where(~F.array_contains("trail", F.col("next")))
+        level = written(step.select(*KEY, F.array_append("trail", F.col("next")).alias("trail"), F.col("s").alias("spaces"), F.col("i").alias("cids"), F.col("after").alias("next"), F.col("after_name").alias("next_name")), "code-maps")
+        if level.isEmpty():
+            discard(level)
+            break
+        depth += 1
+    chain = out.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("depth", "spaces", "cids"))).alias("ms"), F.max("next_name").alias("last"))
+    flat = lambda name: F.flatten(F.transform("ms", lambda m: m[name]))
+    same = F.col("last").isin(*IDENTITY)
+    two = F.array(F.struct(F.lit(2).alias("n"), F.lit(0).cast("bigint").alias("low"), F.lit(0xFFFF).cast("bigint").alias("high")))
+    all_cids = F.array(F.struct(F.lit(2).alias("n"), F.lit(0).cast("bigint").alias("low"), F.lit(0xFFFF).cast("bigint").alias("high"), F.lit(0).cast("bigint").alias("cid")))
+    spaces, cids = F.when(same, F.concat(flat("spaces"), two)).otherwise(flat("spaces")), F.when(same, F.concat(flat("cids"), all_cids)).otherwise(flat("cids"))
+    return chain.select(*KEY, F.struct(spaces.alias("spaces"), cids.alias("cids")).alias("code_map"), F.when(~same, F.col("last")).alias("unknown_map"))
+
+
 def page_fonts(c: Corpus) -> DataFrame:
     """Pages with ``fonts``: what each font name of the page stands for, as ``text.text_runs`` reads it.
 
-    Simple fonts have codes of a byte and a default width of 500; composite ones two bytes and the width of their descendant.
+    Simple fonts have codes of a byte and a default width of 500; composite ones the codes of their map (two bytes
+    where it is identity) and the width of their descendant.  Predefined maps other than identity are in ``unknown_map``.
     """
-    def as_map(rows: DataFrame, code: str, value: str, name: str) -> DataFrame:
-        return rows.where(F.col(value).isNotNull()).dropDuplicates([*KEY, code]).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col(code).cast("int"), value))).alias(name))
+    def as_map(rows: DataFrame, code: str, value: str, name: str, kind: str = "int") -> DataFrame:
+        return rows.where(F.col(value).isNotNull()).dropDuplicates([*KEY, code]).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col(code).cast(kind), value))).alias(name))
 
     first = F.coalesce("first_char", F.lit(0))
     own = F.when(F.size("widths") > 0, F.map_from_arrays(F.sequence(first, first + F.size("widths") - 1), "widths"))
-    simple = fonts(c).select(*KEY, "encoding", "to_unicode_num", F.lit(1).alias("code_bytes"), F.lit(500.0).alias("default_width"), own.alias("widths"))
-    composite = type0_fonts(c).select(*KEY, "encoding", "to_unicode_num", F.lit(2).alias("code_bytes"), "default_width", "descendant_num")
+    simple = fonts(c).select(*KEY, "encoding", F.lit(None).cast("int").alias("encoding_num"), "to_unicode_num", F.lit(1).alias("code_bytes"), F.lit(500.0).alias("default_width"), own.alias("widths"))
+    composite = type0_fonts(c).select(*KEY, "encoding", "encoding_num", "to_unicode_num", F.lit(2).alias("code_bytes"), "default_width", "descendant_num")
     wide = as_map(cid_widths(c), "code", "width", "widths").withColumnRenamed("obj_num", "descendant_num")
     composite = composite.join(wide, ["file_id", "path", "descendant_num"], "left").select(*simple.columns)
     every = simple.union(composite)
     maps = c.streams.join(every.select("file_id", "path", F.col("to_unicode_num").alias("obj_num")), KEY, "left_semi")
-    texts = as_map(rendering_map(parse_cmaps(maps)), "src_int", "char", "texts").withColumnRenamed("obj_num", "to_unicode_num")
+    # A code is looked up with its width first, then as a number alone.
+    mapped = parse_cmaps(maps).withColumn("by_width", F.shiftleft((F.length("src_hex") / 2).cast("bigint"), 32) + F.col("src_int"))
+    keyed = mapped.withColumn("code", F.explode(F.array("by_width", "src_int")))
+    keyed = keyed.where("char is not null").groupBy(*KEY, "code").agg(F.min_by("char", "seq").alias("char"))
+    texts = as_map(keyed, "code", "char", "texts", "bigint").withColumnRenamed("obj_num", "to_unicode_num")
+    own_maps = code_maps(c).withColumnRenamed("obj_num", "encoding_num")
     # Differences stand in the font or in an encoding object that it names.
     codes = as_map(encoding_differences(c), "code", "glyph", "differences")
     apart = c.entry("Encoding").where("kind = 'Reference'").select(*KEY, F.col("ref_num").alias("encoding_num")).join(codes.withColumnRenamed("obj_num", "encoding_num"), ["file_id", "path", "encoding_num"]).select(*KEY, "differences")
     every = every.join(texts, ["file_id", "path", "to_unicode_num"], "left").join(codes.unionByName(apart).dropDuplicates(KEY), KEY, "left")
+    every = every.join(own_maps, ["file_id", "path", "encoding_num"], "left")
+    predefined = F.when((F.col("code_bytes") > 1) & F.col("encoding_num").isNull() & ~F.col("encoding").isin(*IDENTITY), F.col("encoding"))
+    every = every.withColumn("unknown_map", F.coalesce("unknown_map", predefined))
     on = page_resources(c, "Font").select("file_id", "path", F.col("obj_num").alias("page"), "name", F.col("ref_num").alias("obj_num"))
-    rows = on.join(every, KEY).select("file_id", "path", F.col("page").alias("obj_num"), F.struct("name", "encoding", "code_bytes", "default_width", "widths", "texts", "differences").alias("f"))
+    rows = on.join(every, KEY).select("file_id", "path", F.col("page").alias("obj_num"), F.struct("name", "encoding", "code_bytes", "default_width", "widths", "texts", "differences", "code_map", "unknown_map").alias("f"))
     return rows.groupBy(*KEY).agg(F.collect_list("f").alias("fonts"))
 
 

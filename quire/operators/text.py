@@ -14,7 +14,7 @@ from .corpus import Corpus
 
 KEY = ["file_id", "path", "obj_num"]
 OPS = "array<struct<op_ix:int,op:string,category:string,summary:string,operands:array<struct<type:string,value:string>>>>"
-RUNS = "array<struct<op_ix:int,x:double,y:double,font:string,size:double,render_mode:int,text:string>>"
+RUNS = "array<struct<op_ix:int,x:double,y:double,font:string,size:double,render_mode:int,text:string,note:string>>"
 PLACES = "array<struct<op_ix:int,name:string,width:double,height:double,flipped:boolean>>"
 
 
@@ -82,10 +82,16 @@ def category_counts(ops: DataFrame) -> DataFrame:
 
 def _read_font(f: dict) -> dict:
     """A font of ``formats.page_fonts`` for the text machine: its ToUnicode map counts before its encoding."""
+    from quire.functions.codes import Codes
     from quire.functions.formats import encoding, glyph_char
 
     own = {} if f["code_bytes"] > 1 else encoding(f["encoding"]) | {k: glyph_char(g) for k, g in f["differences"] or []}
-    return {"widths": dict(f["widths"] or []), "default_width": f["default_width"], "cmap": own | dict(f["texts"] or []), "code_bytes": f["code_bytes"]}
+    codes = None
+    if f["code_bytes"] > 1 and not f["unknown_map"]:
+        values = lambda rows, *names: [tuple(r[n] for n in names) for r in rows]
+        has = f["code_map"] or {"spaces": None, "cids": None}
+        codes = Codes(values(has["spaces"] or [], "n", "low", "high"), None if has["cids"] is None else values(has["cids"], "n", "low", "high", "cid"))
+    return {"widths": dict(f["widths"] or []), "default_width": f["default_width"], "cmap": own | dict(f["texts"] or []), "code_bytes": f["code_bytes"], "codes": codes, "unknown": f["unknown_map"]}
 
 
 def text_runs(pages: DataFrame, fonts: DataFrame | None = None) -> DataFrame:

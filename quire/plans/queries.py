@@ -842,3 +842,15 @@ def q87(spark, sf):
 def q88(spark, sf):
     rows = with_doc(forms.path_counts(corpus(spark, sf, "forms")))
     return rows.select("doc_id", "n_moves", "n_lines", "n_rectangles", "n_strokes", "n_fills")
+
+
+@query(
+    "q89_mixed_codes",
+    """SELECT doc_id, s AS shown, 'A' AS second, (72 + 5 * ((n + 1) // 2) + 10 * (n // 2))::DOUBLE AS x2, 'codes of 90ms-RKSJ-H are not known' AS note, (72 + 5 + 5 * ((n + 1) // 2) + 10 * (n // 2))::DOUBLE AS x3, 'AB' AS utf16
+       FROM (SELECT doc_id, s, length(s) AS n FROM (SELECT doc_id, regexp_replace(coalesce(source, ''), '[^ -~]', '', 'g') AS s FROM documents))""",
+)
+def q89(spark, sf):
+    c = corpus(spark, sf, "codes")
+    runs = with_doc(text.text_runs(text.content_bytes(c), formats.page_fonts(c)))
+    r = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("op_ix", "text", "x", "note"))).alias("r")).select("doc_id", *[F.col("r")[i].alias(f"r{i}") for i in range(4)])
+    return r.select("doc_id", F.col("r0.text").alias("shown"), F.col("r1.text").alias("second"), F.col("r1.x").alias("x2"), F.col("r2.note").alias("note"), F.col("r3.x").alias("x3"), F.col("r3.text").alias("utf16"))
