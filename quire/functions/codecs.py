@@ -155,28 +155,65 @@ def apply_palette(indexes: bytes, lookup: bytes, channels: int) -> bytes:
 
 
 def png(raw: bytes, width: int, height: int, channels: int, bits: int = 8) -> bytes:
-    """A PNG file of 8 or 16-bit grey or RGB samples."""
+    """A PNG file of 8 or 16-bit grey, RGB or RGBA samples."""
 
     def chunk(tag: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
 
     stride = width * channels * bits // 8
     rows = b"".join(b"\0" + raw[i * stride : (i + 1) * stride].ljust(stride, b"\0") for i in range(height))
-    head = struct.pack(">IIBBBBB", width, height, bits, 2 if channels == 3 else 0, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", width, height, bits, {3: 2, 4: 6}.get(channels, 0), 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows, 9)) + chunk(b"IEND", b"")
 
 
-def image_file(decoded: bytes | None, raw: bytes, filters: list[str], width: int, height: int, bits: int, channels: int, lookup: bytes | None, base_channels: int, predictor: int, columns: int) -> tuple[str, bytes | None]:
-    """(format, bytes) of an image: JPEG data as they are, samples as PNG; CCITT, JPX and JBIG2 have no decoder here."""
-    if "DCTDecode" in filters:
-        return "jpeg", raw
-    if set(filters) & {"CCITTFaxDecode", "JPXDecode", "JBIG2Decode"} or decoded is None:
-        return "unsupported", None
+class Undecodable(ValueError):
+    pass
+
+
+def image_samples(decoded: bytes | None, raw: bytes, filters: list[str], width: int, height: int, bits: int, channels: int, lookup: bytes | None, base_channels: int, predictor: int, columns: int, fax: dict | None = None) -> tuple[bytes, int, int, int, int]:
+    """(samples, width, height, channels, bits) of an image: grey or RGB, inks as RGB, palettes applied; JPX and JBIG2 have no decoder here."""
+    last = filters[-1] if filters else ""
+    if last in ("DCTDecode", "DCT"):
+        from . import jpeg
+
+        data = decode_chain(raw, filters[:-1])
+        if data is None:
+            raise Undecodable("filters before the picture")
+        wide, high, n, pixels = jpeg.decode(data)
+        if lookup is not None and n == 1:
+            return apply_palette(pixels, lookup, base_channels), wide, high, 3, 8
+        return pixels, wide, high, n, 8
+    if last in ("CCITTFaxDecode", "CCF"):
+        from . import fax as ccitt
+
+        p, data = fax or {}, decode_chain(raw, filters[:-1])
+        if data is None:
+            raise Undecodable("filters before the picture")
+        across = p.get("columns") or width or 1728
+        decoded = ccitt.decode(data, p.get("k") or 0, across, height or p.get("rows") or 0, bool(p.get("black_is_1")), bool(p.get("byte_align")))
+        height = height or len(decoded) // max(1, -(-across // 8))
+        width, bits, predictor = across, 1, 1
+    if decoded is None:
+        raise Undecodable(last or "no data")
     data = predict(decoded, predictor, columns or width, 1 if lookup is not None else channels, bits)
     if lookup is not None:
-        return "png", png(apply_palette(unpack_samples(data, width, height, bits), lookup, base_channels), width, height, 3)
+        return apply_palette(unpack_samples(data, width, height, bits), lookup, base_channels), width, height, 3, 8
     if bits < 8:
         data, bits = expand_bits(data, width * channels, height, bits), 8
     if channels == 4:
         data, channels = cmyk_to_rgb(np.frombuffer(data[: len(data) // 4 * 4], np.uint8).reshape(-1, 4)).tobytes(), 3
+    return data, width, height, channels, bits
+
+
+def image_file(decoded: bytes | None, raw: bytes, filters: list[str], width: int, height: int, bits: int, channels: int, lookup: bytes | None, base_channels: int, predictor: int, columns: int, fax: dict | None = None, mask: bool = False) -> tuple[str, bytes | None]:
+    """(format, bytes) of an image: JPEG data as they are, samples as PNG, masks in CCITT with their white pixels transparent."""
+    if "DCTDecode" in filters:
+        return "jpeg", raw
+    try:
+        data, width, height, channels, bits = image_samples(decoded, raw, filters, width, height, bits, channels, lookup, base_channels, predictor, columns, fax)
+    except Undecodable:
+        return "unsupported", None
+    if mask and filters[-1:] and filters[-1] in ("CCITTFaxDecode", "CCF"):
+        alpha = np.where(np.frombuffer(data, np.uint8) > 128, 0, 255).astype(np.uint8)
+        data, channels = np.stack((np.zeros_like(alpha),) * 3 + (alpha,), axis=-1).tobytes(), 4
     return "png", png(data, width, height, channels, bits)

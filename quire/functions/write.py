@@ -257,6 +257,31 @@ def mixed_codes(source: str) -> bytes:
     return assemble(objects, TRAILER)
 
 
+def scans(text: str) -> bytes:
+    """The bytes of ``text`` as a picture of 256 black and white pixels a row in the three CCITT schemes, and as a grey JPEG of 32 pixels a row."""
+    from . import fax, jpeg
+
+    raw = text.encode("utf-8")
+    raw = raw.ljust(max(1, -(-len(raw) // 32)) * 32, b" ")
+    rows = [raw[i : i + 32] for i in range(0, len(raw), 32)]
+    size = {"Type": "XObject", "Subtype": "Image", "Height": len(rows), "ColorSpace": "DeviceGray"}
+
+    def image(data: bytes, **entries: Any) -> Value:
+        return Value("Stream", (dictionary(**size, **entries).data, data, 0))
+
+    bits = lambda k: image(fax.encode(rows, 256, k), Width=256, BitsPerComponent=1, Filter="CCITTFaxDecode", DecodeParms=dictionary(K=k, Columns=256, BlackIs1=True))
+    objects = [
+        *page_objects("", "", "")[:2],
+        (3, dictionary(Type="Page", Parent=ref(2), MediaBox=[0, 0, 612, 792], Resources=dictionary(XObject=dictionary(A=ref(4), B=ref(5), C=ref(7), D=ref(8))))),
+        (4, bits(-1)),
+        (5, bits(0)),
+        page_objects("", "", "")[5],
+        (7, bits(4)),
+        (8, image(jpeg.encode(raw, 32, len(rows)), Width=32, BitsPerComponent=8, Filter="DCTDecode")),
+    ]
+    return assemble(objects, TRAILER)
+
+
 def nested_forms(lang: str, source: str) -> bytes:
     """A page that draws a form twice, which draws another twice, which draws itself.
 
@@ -324,11 +349,13 @@ def updated(data: bytes, num: int, value: Value, size: int) -> bytes:
 
 def layout(kind: str, text: str | None, lang: str | None, source: str | None) -> bytes:
     """A file of a text: one page as ``lay1``, ``lay2`` (packed), ``lay2p`` (packed, predictor 12), ``lay3`` (with leading)
-    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts), ``image``, ``inherit`` (attributes along the page tree) ``forms`` (nested) or ``codes`` (of mixed width)."""
+    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts), ``image``, ``inherit`` (attributes along the page tree) ``forms`` (nested), ``codes`` (of mixed width) or ``scans`` (CCITT and JPEG)."""
     if kind == "type":
         return typeset(lang or "", source or "")
     if kind == "image":
         return picture((text or "").encode("utf-8")[:64] or b"\0")
+    if kind == "scans":
+        return scans(text or "")
     if kind == "codes":
         return mixed_codes(source or "")
     if kind == "forms":

@@ -242,7 +242,7 @@ def images(c: Corpus) -> DataFrame:
     keys = ["Width", "Height", "BitsPerComponent", "ColorSpace", "ImageMask"]
     rows = c.objects.where("subtype = 'Image'").select(*KEY, "filters").join(_top(c, keys), KEY, "left")
     part = c.nodes.where("key_path rlike '^DecodeParms\\\\.(\\\\[[0-9]+\\\\]\\\\.)?[A-Za-z0-9]+$'").groupBy(*KEY).agg(
-        *[F.max(F.when(F.col("key") == k, F.coalesce("int_v", F.col("bool_v").cast("long")))).alias(k) for k in ("K", "Columns", "Rows", "BlackIs1", "Predictor", "Colors")])
+        *[F.max(F.when(F.col("key") == k, F.coalesce("int_v", F.col("bool_v").cast("long")))).alias(k) for k in ("K", "Columns", "Rows", "BlackIs1", "EncodedByteAlign", "Predictor", "Colors")])
     size = c.streams.select(*KEY, F.octet_length("stream_raw").alias("raw_size"), F.octet_length("stream_decoded").alias("decoded_size"))
     predictor = F.coalesce(F.col("Predictor"), F.lit(1))
     names = F.create_map(*[F.lit(x) for kv in PREDICTORS.items() for x in kv])
@@ -254,6 +254,7 @@ def images(c: Corpus) -> DataFrame:
         F.col("BitsPerComponent").cast("int").alias("bits_per_component"), F.col("ColorSpace").alias("color_space"), F.try_element_at("filters", F.lit(-1)).alias("filter"),
         F.coalesce(F.col("ImageMask") == "true", F.lit(False)).alias("is_image_mask"), "raw_size", "decoded_size", fax.alias("compression_short"),
         predictor.alias("predictor"), F.coalesce(names[predictor.cast("int")], F.lit("Unknown")).alias("predictor_name"), F.col("Columns").alias("columns"), F.coalesce("Colors", F.lit(1)).alias("colors"),
+        F.struct(k.alias("k"), F.col("Columns").alias("columns"), F.col("Rows").alias("rows"), F.col("BlackIs1").alias("black_is_1"), F.col("EncodedByteAlign").alias("byte_align")).alias("fax"),
     )
 
 
@@ -371,19 +372,36 @@ def color_spaces(c: Corpus) -> DataFrame:
     )
 
 
+def _image_inputs(c: Corpus) -> DataFrame:
+    """Images with all that decoding them takes, a row each."""
+    bits = F.when(F.col("is_image_mask"), 1).otherwise(F.col("bits_per_component")).alias("bits")
+    rows = images(c).select(*KEY, "width", "height", bits, "fax", "is_image_mask").join(color_spaces(c), KEY)
+    return rows.join(c.streams.select(*KEY, F.coalesce("filters", F.array().cast("array<string>")).alias("filters"), "stream_raw", "stream_decoded"), KEY)
+
+
+_IMAGE = ("filters", "stream_raw", "stream_decoded", "width", "height", "bits", "channels", "base_channels", "lookup", "fax")
+
+
 def image_files(c: Corpus) -> DataFrame:
-    """``format, data`` of each image: JPEG data as they are, samples as PNG; other codecs are ``unsupported``, without data."""
+    """``format, data`` of each image: JPEG data as they are, samples as PNG; JPX and JBIG2 are ``unsupported``, without data."""
     from quire.functions.codecs import image_file
 
-    def work(filters, raw, decoded, width, height, bits, channels, base_channels, lookup):
-        kind, data = image_file(decoded, raw, filters, width or 0, height or 0, bits or 8, channels, lookup, base_channels, 1, 0)
+    def work(filters, raw, decoded, width, height, bits, channels, base_channels, lookup, fax, mask):
+        kind, data = image_file(decoded, raw, filters, width or 0, height or 0, bits or 8, channels, lookup, base_channels, 1, 0, fax, bool(mask))
         return [{"format": kind, "data": data}]
 
-    bits = F.when(F.col("is_image_mask"), 1).otherwise(F.col("bits_per_component")).alias("bits")
-    rows = images(c).select(*KEY, "width", "height", bits).join(color_spaces(c), KEY)
-    rows = rows.join(c.streams.select(*KEY, F.coalesce("filters", F.array().cast("array<string>")).alias("filters"), "stream_raw", "stream_decoded"), KEY)
-    columns = ("filters", "stream_raw", "stream_decoded", "width", "height", "bits", "channels", "base_channels", "lookup")
-    return _mapped(rows, work, "array<struct<format:string,data:binary>>", *columns).select(*KEY, F.inline_outer("_r"), "error")
+    return _mapped(_image_inputs(c), work, "array<struct<format:string,data:binary>>", *_IMAGE, "is_image_mask").select(*KEY, F.inline_outer("_r"), "error")
+
+
+def image_pixels(c: Corpus) -> DataFrame:
+    """``width, height, channels, pixels`` of each image, JPEG and CCITT ones too: grey or RGB of 8 bits (or 16, as they are); else ``error``."""
+    from quire.functions.codecs import image_samples
+
+    def work(filters, raw, decoded, width, height, bits, channels, base_channels, lookup, fax):
+        data, width, height, n, _ = image_samples(decoded, raw, filters, width or 0, height or 0, bits or 8, channels, lookup, base_channels, 1, 0, fax)
+        return [{"width": width, "height": height, "channels": n, "pixels": data}]
+
+    return _mapped(_image_inputs(c), work, "array<struct<width:int,height:int,channels:int,pixels:binary>>", *_IMAGE).select(*KEY, F.inline_outer("_r"), "error")
 
 
 def coverage_bitmap(codes: DataFrame, code: str = "cid") -> DataFrame:
