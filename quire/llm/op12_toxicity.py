@@ -28,7 +28,6 @@ rows; other columns, ``lang`` and ``source`` among them, are never read.
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import discard, stage, table
 
 BITS = 26
-TRAIN_DOCS, SHARD_DOCS, ROUNDS = 36_000, 6_000, 3
+TRAIN_DOCS, SHARD_DOCS, ROUNDS = 36_000, 4_500, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 MAX_WEIGHTS = 1 << 18
 THRESHOLD = 0.3
@@ -149,21 +148,30 @@ class Model(NamedTuple):
         return cls(np.array([CONSTANT]), np.array([np.log(share / (1 - share)) if 0 < share < 1 else (40.0 if share >= 1 else -40.0)]), np.zeros(1))
 
 
+def _often(documents: list[np.ndarray]) -> np.ndarray:
+    """Features of more than ``L1`` documents, ascending."""
+    known, seen = np.unique(np.concatenate([np.zeros(0, np.int32), *documents]), return_counts=True)
+    return known[seen > L1]
+
+
+def _within(own: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``own`` are among the ascending ``known``."""
+    if not len(known):
+        return np.zeros(len(own), bool)
+    return known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+
+
 def learn(documents: list[np.ndarray], labels: list[int], model: Model) -> Model:
     """One pass of FTRL-proximal over documents (arrays of different features), going on from ``model``.
 
     A gradient is below 1, so L1 holds a feature of ``L1`` documents or fewer at
     zero for the whole pass; such features are left out before, unless ``model`` has them.
     """
-    x = np.concatenate([np.zeros(0, np.int32), *documents])
-    known, places, seen = np.unique(x, return_inverse=True, return_counts=True)
-    stays = (seen > L1) | np.isin(known, model.ids)
-    # Places among the features that stay; 0 is the constant.
-    ids = np.concatenate(([CONSTANT], np.union1d(known[stays], model.ids[model.ids != CONSTANT])))
-    place_of = np.where(stays, np.searchsorted(ids, known), -1)
-    places = place_of[places]
-    edges = np.concatenate(([0], np.cumsum(places >= 0)))[np.cumsum([0, *map(len, documents)])]
-    places = places[places >= 0]
+    known = np.setdiff1d(np.union1d(_often(documents), model.ids), [CONSTANT])
+    ids = np.concatenate(([CONSTANT], known))
+    own = [d[_within(d, known)] for d in documents]
+    places = np.searchsorted(ids, np.concatenate([np.zeros(0, np.int64), *own]))
+    edges = np.cumsum([0, *map(len, own)])
 
     n, z = np.zeros(len(ids)), np.zeros(len(ids))
     penalty, shrink = np.full(len(ids), L1), np.full(len(ids), L2)
@@ -191,10 +199,8 @@ def learn(documents: list[np.ndarray], labels: list[int], model: Model) -> Model
 
 def frequent(documents: list[np.ndarray]) -> list[np.ndarray]:
     """The documents without the features that ``learn`` leaves out of a shard by itself."""
-    x = np.concatenate([np.zeros(0, np.int32), *documents])
-    _, places, seen = np.unique(x, return_inverse=True, return_counts=True)
-    stays = (seen > L1)[places]
-    return [x[a:b][stays[a:b]] for a, b in itertools.pairwise(np.cumsum([0, *map(len, documents)]))]
+    known = _often(documents)
+    return [d[_within(d, known)] for d in documents]
 
 
 def _sample(labels: DataFrame, most: int) -> tuple[DataFrame, int, int]:

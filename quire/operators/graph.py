@@ -218,12 +218,18 @@ def detail_text(c: Corpus) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """``node_ix, above_ix, above_depth`` for every value and each value that holds it."""
-    parts = F.split(F.coalesce("key_path", F.lit("")), r"\.")
-    lead = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "."))
-    below = nodes.where("depth > 0").select(*KEY, "node_ix", "depth", F.explode(lead).alias("above"))
-    above = nodes.select(*KEY, F.coalesce("key_path", F.lit("")).alias("above"), F.col("node_ix").alias("above_ix"), F.col("depth").alias("above_depth"))
-    return below.join(above, [*KEY, "above"]).where("above_depth < depth").select(*KEY, "node_ix", "above_ix", "above_depth")
+    """``node_ix, above_ix, above_depth`` for every value and each value that holds it.
+
+    Values of an object are numbered depth first, so those that a value holds
+    follow it without a gap: as many as lie deeper before the next one of its
+    depth or less.  Each depth names the last value met there, which is what a
+    deeper value is within.
+    """
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    order = Window.partitionBy(*KEY).orderBy("node_ix")
+    last = F.array(*[F.struct(F.last(F.when(F.col("depth") == d, F.col("node_ix")), ignorenulls=True).over(order).alias("above_ix"), F.lit(d).alias("above_depth")) for d in range(deepest)])
+    held = nodes.where("node_ix is not null").select(*KEY, "node_ix", "depth", (last if deepest else F.array().cast("array<struct<above_ix:int,above_depth:int>>")).alias("above"))
+    return held.where("depth > 0").select(*KEY, "node_ix", F.inline(F.slice("above", F.lit(1), F.col("depth"))))
 
 
 def visible_rows(nodes: DataFrame, opened: DataFrame) -> DataFrame:

@@ -602,10 +602,10 @@ def q64(spark, sf):
 @query(
     "q65_requests_and_replies",
     """SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\b(change|replace|edit|modify|update|delete|remove|insert|add|move|rename|rotate|set)\\b') THEN 'edit' ELSE 'chat' END AS intent,
-              sha256(text || chr(10)) AS block_sha256, sha256(text) AS open_sha256 FROM conversations WHERE text IS NOT NULL AND text <> ''""",
+              sha256(text || chr(10)) AS block_sha256, sha256(text) AS open_sha256 FROM conversations""",
 )
 def q65(spark, sf):
-    rows = table(spark, sf, "conversations").where("text is not null and text <> ''")
+    rows = table(spark, sf, "conversations")
     closed, left_open = F.concat(F.lit("Here:\n```pdf\n"), "text", F.lit("\n```\nDone")), F.concat(F.lit("Here:\n```\n"), "text")
     return rows.select("conv_id", "turn", text.edit_intent(F.col("text")).alias("intent"), F.sha2(text.reply_block(closed), 256).alias("block_sha256"), F.sha2(text.reply_block(left_open), 256).alias("open_sha256"))
 
@@ -717,10 +717,14 @@ def q77(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(layout.compression_ratio(F.col("doc_id") % 97, F.col("n_chars")), 4).alias("ratio"))
 
 
-@query("q78_path_counts", "SELECT doc_id, (doc_id % 3)::BIGINT AS n_lines, 1::BIGINT AS n_moves, 1::BIGINT AS n_strokes, (doc_id % 2)::BIGINT AS n_rectangles, 0::BIGINT AS n_clips FROM documents WHERE doc_id >= 0")
+@query(
+    "q78_path_counts",
+    """SELECT doc_id, (((coalesce(doc_id, 0) % 3) + 3) % 3)::BIGINT AS n_lines, 1::BIGINT AS n_moves, 1::BIGINT AS n_strokes, (((coalesce(doc_id, 0) % 2) + 2) % 2)::BIGINT AS n_rectangles, 0::BIGINT AS n_clips FROM documents""",
+)
 def q78(spark, sf):
-    drawn = F.concat(F.lit("q 0 0 m "), F.repeat(F.lit("5 5 l "), (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 2 == 1, "1 1 2 2 re ").otherwise(""), F.lit("S (m l re S) Tj Q"))
-    rows = table(spark, sf, "documents").where("doc_id >= 0").select(F.lit("f").alias("file_id"), F.lit("p").alias("path"), F.col("doc_id").cast("int").alias("obj_num"), F.encode(drawn, "ISO-8859-1").alias("stream_decoded"))
+    i = F.coalesce("doc_id", F.lit(0))
+    drawn = F.concat(F.lit("q 0 0 m "), F.repeat(F.lit("5 5 l "), F.pmod(i, F.lit(3)).cast("int")), F.when(F.pmod(i, F.lit(2)) == 1, "1 1 2 2 re ").otherwise(""), F.lit("S (m l re S) Tj Q"))
+    rows = table(spark, sf, "documents").select(F.lit("f").alias("file_id"), F.lit("p").alias("path"), F.col("doc_id").cast("int").alias("obj_num"), F.encode(drawn, "ISO-8859-1").alias("stream_decoded"))
     return text.path_counts(text.content_ops(rows)).select(F.col("obj_num").cast("long").alias("doc_id"), "n_lines", "n_moves", "n_strokes", "n_rectangles", "n_clips")
 
 

@@ -294,3 +294,21 @@ def test_detail_text(rich):
     assert got[25].split("\n")[4] == "  /CIDSystemInfo  <<" and got[25].split("\n")[5] == "    /Registry  (Adobe)"
     n = len(W.stream(bytes([255, 0, 0, 0, 0, 16])).data[1])
     assert got[14].endswith(f">>\nstream\n[{n} bytes raw]\n[6 bytes decoded]")
+
+
+def test_ancestors_of_names_with_full_stops(spark):
+    d = W.dictionary
+    value = d(**{"A.B": d(**{"C.": [d(X=1), 2]}), "A": d(B=3)})
+    c = Corpus.from_binary(files(spark, W.assemble([(1, d(Type="Catalog")), (2, value)], {"Root": W.ref(1)})))
+    c = Corpus(c.parsed.cache())
+    nodes = c.nodes.where("obj_num = 2")
+    up = {r.node_ix: r.parent_ix for r in nodes.collect()}
+
+    def above(i):
+        return {up[i]} | above(up[i]) if up[i] is not None else set()
+
+    got = {}
+    for r in graph.ancestors(nodes).collect():
+        got.setdefault(r.node_ix, set()).add(r.above_ix)
+    assert got == {i: above(i) for i in up if above(i)}
+    assert graph.visible_rows(nodes, nodes.where("depth = 0")).count() == 3 and graph.ancestors(nodes.limit(0)).count() == 0
