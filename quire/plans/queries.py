@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import formats, forms, graph, layout, pdfx, text
+from quire.operators import formats, forms, graph, layout, pdfx, text, versions
 from quire.operators.corpus import Corpus, first_of
-from quire.session import shared_dir
+from quire.session import shared_dir, written
 from quire.sources import pdf
 
 QUERIES: dict = {}
@@ -895,3 +895,48 @@ def q91(spark, sf):
     byte = lambda h: F.transform(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("int"))
     off = F.zip_with(byte(F.col("seen")), byte(F.col("drawn")), lambda a, b: F.abs(a - b))
     return pair.select("doc_id", F.size(off).alias("n_pixels"), F.size(F.filter(off, lambda d: F.coalesce(d > 1, F.lit(True)))).alias("n_beyond_one"))
+
+
+def _edits(docs: DataFrame, values: dict, lang: str | None = None) -> DataFrame:
+    """The information dictionary anew, as an edit of the exploded files of ``docs``."""
+    rows = docs if lang is None else docs.where(F.col("lang") == lang)
+    source = F.lit(json.dumps({"_obj": "6 0", "value": values})).cast("binary")
+    return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.lit("objects/00006_0.pdfjson").alias("name"), source.alias("data"))
+
+
+@query(
+    "q92_changed_values",
+    """SELECT doc_id, 6 AS obj_num, p AS key_path, c AS change FROM documents, (VALUES ('Title', 'changed'), ('Author', 'removed'), ('Keep', 'added')) t(p, c) WHERE lang = 'de'""",
+)
+def q92(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    files = pdfx.explode_files(generated(spark, sf)).select("path", "name", "data")
+    old = versions.begin(files)
+    new = old.union(versions.commit(old, _edits(docs, {"Title": "edited", "Keep": [1, {"Deep": True}]}, "de")))
+    after = Corpus(written(Corpus.from_binary(pdfx.link(versions.as_of(new))).parsed, "edited"))
+    return with_doc(versions.diff(corpus(spark, sf).nodes.where("obj_num >= 0"), after.nodes.where("obj_num >= 0"))).select("doc_id", "obj_num", "key_path", "change")
+
+
+@query(
+    "q93_versions_read_back",
+    """SELECT doc_id, v::BIGINT AS version, CASE WHEN v = 0 THEN 'as written' WHEN v = 2 AND lang = 'fr' THEN 'second' ELSE 'first' END AS title, true AS sound
+       FROM documents, (VALUES (0), (1), (2), (3)) t(v)""",
+)
+def q93(spark, sf):
+    """Title as of each version: an edit of all files, one of some, and its undo; version 0 byte for byte."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    files = generated(spark, sf)
+    store = written(versions.begin(pdfx.explode_files(files)), "versions")
+    store = written(store.union(versions.commit(store, _edits(docs, {"Title": "first"}))), "versions")
+    store = written(store.union(versions.commit(store, _edits(docs, {"Title": "second"}, "fr"))), "versions")
+    store = store.union(versions.restore(store, 1))
+    was = files.select("path", F.sha2("content", 256).alias("was"))
+    out = None
+    for v in range(4):
+        back = pdfx.link(versions.as_of(store, v)).join(was, "path")
+        parsed = Corpus.from_binary(back)
+        title = parsed.nodes.where("obj_num = 6 and key_path = 'Title'").select("path", F.col("str_v").alias("title"))
+        sound = back.select("path", (F.col("error").isNull() & (F.lit(v != 0) | (F.sha2("content", 256) == F.col("was")))).alias("sound"))
+        part = with_doc(title.join(sound, "path")).select("doc_id", F.lit(v).cast("long").alias("version"), F.when(F.lit(v == 0), "as written").otherwise(F.col("title")).alias("title"), "sound")
+        out = part if out is None else out.union(part)
+    return out
