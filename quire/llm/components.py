@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, stage
 
-MAX_ROUNDS = 40
-
 
 def _step(both: DataFrame, label: DataFrame) -> DataFrame:
     """Smallest label among neighbours, then one jump along labels; ``old`` is kept."""
@@ -23,10 +21,11 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round hands every node the smallest label among its neighbours and then
     jumps along labels, so paths shorten by half; two rounds are one staged table.
+    Labels only fall, so rounds end; how many it takes is up to the graph.
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-edges")
     label = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "cc-label")
-    for _ in range(MAX_ROUNDS):
+    while True:
         now = _step(both, _step(both, label.select("node", "root", F.col("root").alias("old"))))
         now = stage(now.select("node", "root", (F.col("root") < F.col("old")).alias("moved")), "cc-label")
         moved = now.where("moved").limit(1).count()
@@ -35,4 +34,3 @@ def connected(edges: DataFrame) -> DataFrame:
         if not moved:
             discard(both)
             return label
-    raise RuntimeError("labels did not settle")

@@ -26,14 +26,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, stage_path, table
+from .common import discard, stage, stage_path, table
 
 LEAST = 100
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
 #: Repeated payloads up to this many digests (about 100 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_DIGESTS = 50_000
-MAX_JUMPS = 64
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
@@ -101,23 +100,23 @@ def _fields() -> list:
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
-    """Runs that a chain from the file's start reaches: pointer jumping over ``nodes(file, run, next, start)``."""
-    link = nodes.select("file", "run", "next")
-    reach = nodes.where("start").select("file", "run")
-    known = reach.count()
-    for _ in range(MAX_JUMPS):
-        if link.where("next is not null").limit(1).count() == 0:
-            break
+    """Runs that a chain from the file's start reaches: pointer jumping over ``nodes(file, run, next, start)``.
+
+    A run's next one lies behind it, so links get longer each round until none
+    is left, however long the chain.
+    """
+    link, reach = nodes.select("file", "run", "next"), nodes.where("start").select("file", "run")
+    known, old = reach.count(), []
+    while link.where("next is not null").limit(1).count():
         ahead = reach.join(link, ["file", "run"]).where("next is not null").select("file", F.col("next").alias("run"))
         reach = stage(reach.union(ahead).distinct(), "warc-reach")
         onward = link.select("file", F.col("run").alias("next"), F.col("next").alias("onward"))
         link = stage(link.join(onward, ["file", "next"], "left").select("file", "run", F.col("onward").alias("next")), "warc-jump")
-        now = reach.count()
+        discard(*old)
+        old, now = [reach, link], reach.count()
         if now == known:
             break
         known = now
-    else:
-        raise RuntimeError("chains did not end")
     return reach
 
 
