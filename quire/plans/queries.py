@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import formats, forms, graph, layout, pdfx, text, versions
+from quire.operators import formats, forms, graph, layout, pdfx, search, text, versions
 from quire.operators.corpus import Corpus, first_of
 from quire.session import shared_dir, written
 from quire.sources import pdf
@@ -940,3 +940,25 @@ def q93(spark, sf):
         part = with_doc(title.join(sound, "path")).select("doc_id", F.lit(v).cast("long").alias("version"), F.when(F.lit(v == 0), "as written").otherwise(F.col("title")).alias("title"), "sound")
         out = part if out is None else out.union(part)
     return out
+
+
+_PHRASES = ["of the", "de la", "in der", "the", "no such words here"]
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+
+
+@query(
+    "q94_phrase_search",
+    " UNION ALL ".join(
+        f"""SELECT doc_id, '{p}' AS phrase, n FROM (SELECT doc_id, len(list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f"w[i + {k}] = '{t}'" for k, t in enumerate(p.split()))})) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) WHERE n > 0"""
+        for p in _PHRASES),
+)
+def q94(spark, sf):
+    """Occurrences of phrases in the pages of files, from the index of their texts alone."""
+    index = f"{shared_dir(spark)}/quire/index-{uuid.uuid4().hex}"
+    search.write(search.page_texts(text.text_runs(text.content_bytes(corpus(spark, sf)))), index)
+    rows = search.open_index(spark, index)
+    out = None
+    for p in _PHRASES:
+        part = search.phrases(rows, p).select(F.substring_index("doc", "#", 1).alias("path"), F.lit(p).alias("phrase"))
+        out = part if out is None else out.union(part)
+    return with_doc(out).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))

@@ -7,7 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not,
+    StringContains, StringEndsWith, StringStartsWith,
+)
 
 XREF = "array<struct<section_ix:int,entry_ix:int,obj_num:int,etype:string,offset:bigint,gen:int,stm_num:int,stm_index:int>>"
 OBJECTS = (
@@ -106,42 +109,134 @@ def generate(docs: DataFrame, layout: str = "lay1") -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, path string, length long, content binary")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+class _Files(InputPartition):
+    """Files of one task with their sizes."""
+
+    def __init__(self, files: list[tuple[str, int]]):
+        super().__init__(len(files))
+        self.files = files
+
+
+FILE_SCHEMA = "path string, file_id string, length bigint, version string, xref_type string, linearized boolean, error string, n_objects int, n_xref int"
+OBJECT_SCHEMA = "path string, length bigint, version string, obj_num int, gen int, kind string, type_name string, subtype string, error string"
+#: Columns that are known before a file is opened, and those that its first bytes tell.
+UNOPENED, UNPARSED = ("path", "length"), ("version",)
+HEAD = 1024
+
+
+def _holds(f: Filter, value) -> bool | None:
+    """Whether a pushed filter holds for a value, None where that is unknown, as SQL has it."""
+    if isinstance(f, IsNull):
+        return value is None
+    if isinstance(f, IsNotNull):
+        return value is not None
+    if isinstance(f, EqualNullSafe):
+        return value == f.value
+    if isinstance(f, Not):
+        inner = _holds(f.child, value)
+        return None if inner is None else not inner
+    if value is None:
+        return None
+    if isinstance(f, In):
+        return True if value in f.value else None if None in f.value else False
+    if f.value is None:
+        return None
+    return {
+        EqualTo: value.__eq__, GreaterThan: value.__gt__, GreaterThanOrEqual: value.__ge__, LessThan: value.__lt__, LessThanOrEqual: value.__le__,
+        StringStartsWith: getattr(value, "startswith", None), StringEndsWith: getattr(value, "endswith", None), StringContains: getattr(value, "__contains__", None),
+    }[type(f)](f.value)
+
+
+def _column(f: Filter) -> str | None:
+    """The one column that a supported filter is about."""
+    if isinstance(f, Not):
+        return _column(f.child)
+    known = (EqualTo, EqualNullSafe, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, In, IsNull, IsNotNull, StringStartsWith, StringEndsWith, StringContains)
+    return f.attribute[0] if isinstance(f, known) and len(f.attribute) == 1 else None
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    """Files dealt out by bytes; pushed filters keep files from being opened, read whole, or giving rows."""
+
+    def __init__(self, path: str, table: str, columns: list[str], task_bytes: int):
+        self.path, self.table, self.columns, self.task_bytes = path, table, columns, task_bytes
+        self.pushed: dict[str, list[Filter]] = {}
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = _column(f)
+            if name in self.columns:
+                self.pushed.setdefault(name, []).append(f)
+            else:
+                yield f
+
+    def _kept(self, names, row: dict) -> bool:
+        return all(_holds(f, row[n]) is True for n in names for f in self.pushed.get(n, ()))
 
     def partitions(self):
         import glob
         import os
 
-        return [_File(p) for p in sorted(glob.glob(os.path.join(self.path, "*.pdf")) if os.path.isdir(self.path) else [self.path])]
+        paths = sorted(glob.glob(os.path.join(self.path, "*.pdf"))) if os.path.isdir(self.path) else [self.path]
+        out, held = [], 0
+        for p in paths:
+            n = os.path.getsize(p)
+            if not self._kept(UNOPENED, {"path": p, "length": n}):
+                continue
+            if not out or held + n > self.task_bytes:
+                out.append([])
+                held = 0
+            out[-1].append((p, n))
+            held += n
+        return [_Files(x) for x in out] or [_Files([])]
 
     def read(self, partition):
-        from quire.functions.structure import parse_file
-
-        with open(partition.value, "rb") as f:
-            r = parse_file(f.read())
-        yield (partition.value, *(r[k] for k in ("file_id", "length", "version", "xref_type", "linearized", "error")), len(r["objects"]), len(r["xref"]))
+        from quire.functions.structure import header, parse_file
+
+        rest = [c for c in self.columns if c not in (*UNOPENED, *UNPARSED)]
+        for path, length in partition.files:
+            with open(path, "rb") as f:
+                head = f.read(HEAD)
+                at = head.find(b"%PDF-")
+                # Where the version stands in the first bytes, a file of another one is not read further.
+                if at == 0 and not self._kept(UNPARSED, {"version": header(head)[0]}):
+                    continue
+                r = parse_file(head + f.read())
+            facts = {"path": path, **{k: r[k] for k in ("file_id", "length", "version", "xref_type", "linearized", "error")}, "n_objects": len(r["objects"]), "n_xref": len(r["xref"])}
+            rows = [facts] if self.table == "files" else [{**facts, **{k: o[k] for k in ("obj_num", "gen", "kind", "type_name", "subtype", "error")}} for o in r["objects"]]
+            for row in rows:
+                if self._kept((*UNPARSED, *rest), row):
+                    yield tuple(row[c] for c in self.columns)
 
 
 class PdfSource(DataSource):
-    """``spark.read.format("pdf").load(folder)``: one row of file facts for each PDF on a local or mounted path."""
+    """``spark.read.format("pdf").load(folder)``: PDF files on a local or mounted path.
+
+    Option ``table``: ``files``, one row of facts a file (the default), or
+    ``objects``, one row an object.  Option ``taskBytes``: bytes of files that a
+    task reads (128 MiB), so that many small files are few tasks.  Filters on
+    single columns are pushed: by path and length files are left out before any
+    is opened, by version after their first bytes, and all others keep rows
+    from leaving the reader.  ``register`` turns on Spark's pushdown into Python sources.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "pdf"
 
     def schema(self) -> str:
-        return "path string, file_id string, length bigint, version string, xref_type string, linearized boolean, error string, n_objects int, n_xref int"
+        return OBJECT_SCHEMA if self._table() == "objects" else FILE_SCHEMA
+
+    def _table(self) -> str:
+        table = self.options.get("table", "files")
+        if table not in ("files", "objects"):
+            raise ValueError(f"no table {table}: files or objects")
+        return table
 
     def reader(self, schema):
-        return _Reader(self.options.get("path"))
+        return _Reader(self.options.get("path"), self._table(), [f.name for f in schema.fields], int(self.options.get("taskBytes", 128 << 20)))
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     spark.dataSource.register(PdfSource)

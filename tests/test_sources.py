@@ -1,5 +1,8 @@
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from quire.functions.write import layout
 from quire.operators.corpus import Corpus
 from quire.sources import pdf
@@ -42,3 +45,31 @@ def test_store_names_avoid_each_other(spark):
     stored = spark.createDataFrame([("y",), ("y_1",), ("x_2.pdf",)], "filename string")
     got = {r["at"]: r.stored_as for r in pdf.store_names(new, stored, "at").collect()}
     assert got == {1: "x.pdf", 2: "x_3.pdf", 3: "x_1.pdf", 4: "y_2", 5: "x_4.pdf"}
+
+
+def test_pushed_filters(spark, tmp_path):
+    """A file that cannot be opened shows which files are."""
+    pdf.register(spark)
+    folder = _folder(tmp_path)
+    (tmp_path / "new.pdf").write_bytes(layout("lay2", "text", "en", "s").replace(b"%PDF-1.4", b"%PDF-1.7"))
+    (tmp_path / "old.pdf").write_bytes(b"%PDF-1.2\n" + b"x" * 5000)
+    read = lambda **o: spark.read.format("pdf").options(**o).load(folder)
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    for condition in (F.col("version") == "1.7", F.col("length") > 2000, F.col("path").endswith("b.pdf"), F.col("version").isin("1.2", "1.7") & F.col("error").isNull(), ~(F.col("version") == "1.4"), F.col("error").isNotNull(),
+                      (F.col("length") < 2000) & (F.col("n_objects") == 6), F.col("xref_type").isNull()):
+        got = {r.n for r in read().where(condition).select(name(F.col("path")).alias("n")).collect()}
+        assert got == {r.n for r in spark.createDataFrame(read().collect(), read().schema).where(condition).select(name(F.col("path")).alias("n")).collect()}, condition
+    # By path and length files are left out at planning, so that one task has little to do.
+    assert read(taskBytes="1").rdd.getNumPartitions() == 5 and read().rdd.getNumPartitions() == 1
+    assert read(taskBytes="1").where(F.col("path").contains("new")).rdd.getNumPartitions() == 1
+    (tmp_path / "closed.pdf").symlink_to(tmp_path / "closed.pdf.gone")
+    (tmp_path / "closed.pdf.gone").mkdir()
+    assert read().where(~F.col("path").contains("closed") & (F.col("version") == "1.7")).count() == 1
+    with pytest.raises(Exception, match="closed"):
+        read().where(F.col("version") == "1.7").count()
+    (tmp_path / "closed.pdf").unlink()
+    pages = read(table="objects").where("type_name = 'Page'")
+    assert pages.count() == 4 and {r.kind for r in pages.collect()} == {"Dictionary"}
+    assert "Filter" not in pages._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="no table"):
+        spark.read.format("pdf").option("table", "x").load(folder)
