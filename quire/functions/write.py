@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from typing import Any
 
@@ -282,6 +283,115 @@ def scans(text: str) -> bytes:
     return assemble(objects, TRAILER)
 
 
+def icc_profile(description: str, white: float) -> bytes:
+    """A small RGB profile: a curve that two channels share, four bytes of padding, a white point and a description."""
+    s15 = lambda *v: struct.pack(f">{len(v)}i", *(round(x * 65536) for x in v))
+    curve = b"curv" + bytes(4) + struct.pack(">IH", 1, 0x0233) + bytes(2)
+    name = description.encode("latin-1", "replace") + b"\0"
+    desc = b"desc" + bytes(4) + struct.pack(">I", len(name)) + name
+    blocks = [(("rTRC", "gTRC"), 0, curve), (("wtpt",), 4, b"XYZ " + bytes(4) + s15(white, 1.0, 0.5)), (("desc",), 0, desc)]
+    at, table, out = 132 + 12 * 4, b"", b""
+    for names, gap, block in blocks:
+        table += b"".join(struct.pack(">4sII", n.encode(), at + gap, len(block)) for n in names)
+        at += gap + len(block)
+        out += bytes(gap) + block
+    head = struct.pack(">I", at) + bytes(4) + b"\x02\x40\0\0mntrRGB XYZ " + bytes(12) + b"acsp" + bytes(88)
+    return head + struct.pack(">I", 4) + table + out
+
+
+def rich(text: str, lang: str, source: str) -> bytes:
+    """A page with a TrueType and a composite font, a colour profile, and images of four kinds made from ``text``."""
+    from . import fax, jpeg
+    from .formats import sfnt
+
+    raw = text.encode("utf-8")
+    part = (raw[:60] + b"   ")[: max(3, min(60, len(raw)) // 3 * 3)]
+    n = len(source)
+    differences = [65, wrap("eacute"), wrap("germandbls"), 97, wrap("Euro")]
+    content = b"q 100 0 0 -50 10 20 cm /Im1 Do Q q 30 0 0 40 0 0 cm /Im2 Do Q BT /F1 10 Tf 3 Tr (ABa) Tj ET"
+    resources = dictionary(Font=dictionary(F1=ref(5), F2=ref(12)), XObject=dictionary(Im1=ref(20), Im2=ref(21), Im3=ref(22), Im4=ref(23)), ColorSpace=dictionary(C=ref(17)))
+    image = {"Type": "XObject", "Subtype": "Image", "Height": 1}
+    triples = [part[i : i + 3] for i in range(0, len(part), 3)]
+    steps = b"".join(bytes((a - b) & 255 for a, b in zip(t, before)) for t, before in zip(triples, [bytes(3), *triples]))
+    as_is = lambda data, **e: Value("Stream", (dictionary(**image, **e).data, data, 0))
+    objects = [
+        *page_objects("", lang, source)[:2],
+        (3, dictionary(Type="Page", Parent=ref(2), MediaBox=[0, 0, 612, 792], Contents=ref(4), Resources=resources)),
+        (4, stream(content)),
+        (5, dictionary(Type="Font", Subtype="TrueType", BaseFont="Simple", FirstChar=65, LastChar=66, Widths=[600, 700], FontDescriptor=ref(10), Encoding=dictionary(Type="Encoding", Differences=differences))),
+        page_objects("", lang, source)[5],
+        (10, dictionary(Type="FontDescriptor", FontName="Simple", Flags=4 | 64 * (n % 2), Ascent=len(raw), Descent=-200, ItalicAngle=-12.5, StemV=80, FontBBox=[0, -200, 1000, 900], FontFile2=ref(13), CIDSet=ref(14))),
+        (11, stream(b"/CMapName /T def 1 beginbfrange <0001> <%04X> <0041> endbfrange" % max(1, n))),
+        (12, dictionary(Type="Font", Subtype="Type0", BaseFont="Wide", Encoding="Identity-H", DescendantFonts=[ref(15)], ToUnicode=ref(11))),
+        (13, stream(sfnt({"glyf": raw, "head": bytes(54), "maxp": bytes(6)}), Length1=len(raw))),
+        (14, stream(int("1" * (n + 1) + "0" * (-(n + 1) % 8), 2).to_bytes((n + 8) // 8, "big"))),
+        (15, dictionary(Type="Font", Subtype="CIDFontType2", BaseFont="Wide", DW=750, CIDToGIDMap=ref(16), CIDSystemInfo=dictionary(Registry=Value("LiteralString", "Adobe"), Ordering=Value("LiteralString", "Identity"), Supplement=n))),
+        (16, stream(struct.pack(f">{n + 1}H", *(2 * i for i in range(n + 1))))),
+        (17, Value("Array", [wrap("ICCBased"), ref(18)])),
+        (18, stream(icc_profile(source, 0.5 + len(lang) / 64), N=3)),
+        (20, stream(part, **image, Width=2 * len(part), BitsPerComponent=4, ColorSpace="DeviceGray")),
+        (21, stream(steps, **image, Width=len(triples), BitsPerComponent=8, ColorSpace=ref(17), DecodeParms=dictionary(Predictor=2, Colors=3, Columns=len(triples)))),
+        (22, as_is(jpeg.encode(part, len(part), 1), Width=len(part), BitsPerComponent=8, ColorSpace="DeviceGray", Filter="DCTDecode")),
+        (23, as_is(fax.encode([part], 8 * len(part)), Width=8 * len(part), BitsPerComponent=1, ImageMask=True, Filter="CCITTFaxDecode", DecodeParms=dictionary(K=-1, Columns=8 * len(part), BlackIs1=True))),
+    ]
+    return assemble(objects, TRAILER)
+
+
+def hint_stream(lengths: list[int], first: int) -> tuple[bytes, int]:
+    """Hint tables of pages of these lengths and of three shared groups, and where the second table begins.
+
+    Page ``i`` has 2 + i % 4 objects and, if ``i`` is odd, uses the shared group i % 3.
+    """
+    from .formats import PAGE_HEADER, SHARED_HEADER
+
+    rows: list[str] = []
+
+    def put(*fields: tuple[int, int]) -> None:
+        bits = "".join(f"{v:0{w}b}" if w else "" for v, w in fields)
+        rows.append(bits + "0" * (-len(bits) % 8))
+
+    n = len(lengths)
+    put(*((v, w) for (_, w), v in zip(PAGE_HEADER, (2, 0, 2, 50, 32, 0, 0, 0, 0, 1, 4, 0, 1))))
+    put(*((i % 4, 2) for i in range(n)))
+    put(*((x - 50, 32) for x in lengths))
+    put(*((i % 2, 1) for i in range(n)))
+    put(*((i % 3, 4) for i in range(n) if i % 2))
+    at = sum(map(len, rows)) // 8
+    put(*((v, w) for (_, w), v in zip(SHARED_HEADER, (first + 10, 900, 1, 3, 2, 10, 4))))
+    put((1, 4), (2, 4), (3, 4))
+    put((0, 1), (0, 1), (0, 1))
+    put((1, 2), (0, 2), (2, 2))
+    bits = "".join(rows)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big"), at
+
+
+def linearized(text: str) -> bytes:
+    """A page for each line, with the index, the parameters and the hints of a linearized file before them."""
+    lines = text.split("\n")
+    n, first = len(lines), 6
+    pages = [(first + 2 * i, page_content(line)) for i, line in enumerate(lines)]
+    hints, shared_at = hint_stream([50 + len(x) for x in lines], first)
+    size = first + 2 * n
+    objects = [(3, stream(hints, S=shared_at)), (4, dictionary(Type="Catalog", Pages=ref(5))), (5, dictionary(Type="Pages", Kids=[ref(k) for k, _ in pages], Count=n))]
+    for k, content in pages:
+        objects += [(k, dictionary(Type="Page", Parent=ref(5), MediaBox=[0, 0, 612, 792], Contents=ref(k + 1))), (k + 1, stream(content))]
+    written = {k: indirect(k, v) for k, v in objects}
+    head = lambda *v: b"1 0 obj\n<</Linearized 1 /L %010d /H [%010d %010d] /O %d /E %010d /N %d /T %010d>>\nendobj\n" % v
+    parameters_at = len(HEADER)
+    index_at = parameters_at + len(head(0, 0, 0, first, 0, n, 0))
+    body_at = index_at + len(xref_table({}, size)) + len(b"trailer\n") + len(body(dictionary(Size=size, Root=ref(4)))) + len(b" /Prev 0000000000") + len(b"\nstartxref\n0\n%%EOF\n")
+    at, offsets = body_at, {1: (parameters_at, 0)}
+    for k, _ in objects:
+        offsets[k] = (at, 0)
+        at += len(written[k])
+    trailer = body(dictionary(Size=size, Root=ref(4)))[:-2] + b" /Prev %010d>>" % at
+    first_index = xref_table(offsets, size) + b"trailer\n" + trailer + b"\nstartxref\n0\n%%EOF\n"
+    end_of_first = offsets[first + 2][0] if n > 1 else at
+    tail = b"xref\n0 1\n" + table_entry(0, 65535, b"f") + b"trailer\n" + body(dictionary(Size=1)) + b"\nstartxref\n%d\n%%%%EOF\n" % index_at
+    whole = head(at + len(tail), offsets[3][0], len(written[3]), first, end_of_first, n, at)
+    return b"".join((HEADER, whole, first_index, *(written[k] for k, _ in objects), tail))
+
+
 def nested_forms(lang: str, source: str) -> bytes:
     """A page that draws a form twice, which draws another twice, which draws itself.
 
@@ -349,11 +459,15 @@ def updated(data: bytes, num: int, value: Value, size: int) -> bytes:
 
 def layout(kind: str, text: str | None, lang: str | None, source: str | None) -> bytes:
     """A file of a text: one page as ``lay1``, ``lay2`` (packed), ``lay2p`` (packed, predictor 12), ``lay3`` (with leading)
-    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts), ``image``, ``inherit`` (attributes along the page tree) ``forms`` (nested), ``codes`` (of mixed width) or ``scans`` (CCITT and JPEG)."""
+    or ``lay4`` (its information dictionary updated twice), or ``book``, a page a line; ``type`` (two fonts), ``image``, ``inherit`` (attributes along the page tree) ``forms`` (nested), ``codes`` (of mixed width) ``scans`` (CCITT and JPEG), ``rich`` (fonts, a profile, images) or ``linear`` (a page a line, linearized)."""
     if kind == "type":
         return typeset(lang or "", source or "")
     if kind == "image":
         return picture((text or "").encode("utf-8")[:64] or b"\0")
+    if kind == "rich":
+        return rich(text or "", lang or "", source or "")
+    if kind == "linear":
+        return linearized(text or "")
     if kind == "scans":
         return scans(text or "")
     if kind == "codes":

@@ -962,3 +962,126 @@ def q94(spark, sf):
         part = search.phrases(rows, p).select(F.substring_index("doc", "#", 1).alias("path"), F.lit(p).alias("phrase"))
         out = part if out is None else out.union(part)
     return with_doc(out).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+
+
+#: Bytes of a text that the images of the ``rich`` layout are made of, as ``h`` in hexadecimal, ``m`` of them in threes.
+_PART = """part AS (SELECT doc_id, n, greatest(3, least(60, n) // 3 * 3) AS m, left(h || '202020', (2 * greatest(3, least(60, n) // 3 * 3))::INT) AS h
+              FROM (SELECT doc_id, octet_length(encode(t)) AS n, left(hex(encode(t)), 120) AS h FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))"""
+
+
+@query(
+    "q95_icc_profiles",
+    """SELECT doc_id, coalesce(source, '') AS description, '2.4' AS version, 'RGB' AS color_space, (0.5 + length(coalesce(lang, '')) / 64)::DOUBLE AS white_x, 4 AS n_tags, 4 AS n_padding,
+              'rTRC / gTRC' AS shared_curve, '255,255,255' AS preview FROM documents""",
+)
+def q95(spark, sf):
+    c = corpus(spark, sf, "rich")
+    # Bradford-adapted, the D50 white is white.
+    d50 = formats.srgb_preview(F.lit(0.9642), F.lit(1.0), F.lit(0.8249))
+    head = with_doc(formats.icc_headers(c)).select("doc_id", "description", "version", "color_space", F.col("white_point")[0].alias("white_x"), F.concat_ws(",", d50).alias("preview"))
+    tags = with_doc(formats.icc_tags(c)).groupBy("doc_id").agg(F.count("*").alias("n_tags"))
+    parts = with_doc(formats.icc_segments(c)).groupBy("doc_id").agg(F.sum(F.when(F.col("label") == "Padding", F.col("size"))).alias("n_padding"), F.max(F.when(F.col("label").contains("/"), F.col("label"))).alias("shared_curve"))
+    return head.join(tags, "doc_id").join(parts, "doc_id")
+
+
+@query(
+    "q96_font_programs",
+    """SELECT doc_id, t.tag AS tag, CASE t.k WHEN 0 THEN 60 WHEN 1 THEN 60 + (n + 3) // 4 * 4 ELSE 116 + (n + 3) // 4 * 4 END AS "offset", CASE t.k WHEN 0 THEN n WHEN 1 THEN 54 ELSE 6 END AS length, 6 AS n_completed
+       FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents), (VALUES (0, 'glyf'), (1, 'head'), (2, 'maxp')) t(k, tag)""",
+)
+def q96(spark, sf):
+    c = corpus(spark, sf, "rich")
+    full = with_doc(formats.ttf_files(c)).select("doc_id", F.conv(F.hex(F.substring("font", 5, 2)), 16, 10).cast("int").alias("n_completed"))
+    return with_doc(formats.ttf_tables(c)).select("doc_id", "tag", "offset", "length").join(full, "doc_id")
+
+
+@query(
+    "q97_font_dictionaries",
+    """SELECT doc_id, octet_length(encode(coalesce(text, '')))::DOUBLE AS ascent, CASE WHEN n % 2 = 1 THEN 'Symbolic,Italic' ELSE 'Symbolic' END AS flags, '0.0,-200.0,1000.0,900.0' AS bbox, 'Adobe-Identity-' || n AS collection,
+              750.0::DOUBLE AS default_width, n AS n_glyphs, n * (n + 1) AS sum_gids, n + 1 AS n_present, greatest(1, n) AS n_codes, 'éß€' AS shown
+       FROM (SELECT doc_id, text, length(coalesce(source, '')) AS n FROM documents)""",
+)
+def q97(spark, sf):
+    c = corpus(spark, sf, "rich")
+    d = with_doc(formats.font_descriptors(c)).select("doc_id", "ascent", F.concat_ws(",", "flags").alias("flags"), F.concat_ws(",", "bbox").alias("bbox"))
+    t = with_doc(formats.type0_fonts(c)).select("doc_id", F.concat_ws("-", "cid_registry", "cid_ordering", "cid_supplement").alias("collection"), "default_width")
+    label = lambda name: c.streams.join(graph.classify(c).where(F.col("type_label") == name), ["file_id", "path", "obj_num"], "left_semi").select("file_id", "path", "obj_num", "stream_decoded")
+    g = c.files.select("file_id", "path").join(formats.cid_map(label("CID-to-GID Map")), ["file_id", "path"], "left")
+    g = with_doc(g).groupBy("doc_id").agg(F.count("gid").alias("n_glyphs"), F.coalesce(F.sum("gid"), F.lit(0)).alias("sum_gids"))
+    s = with_doc(formats.cid_sets(label("CID Set"))).select("doc_id", F.col("present_count").alias("n_present"))
+    m = with_doc(formats.cmaps(c)).groupBy("doc_id").agg(F.count("*").alias("n_codes"))
+    r = with_doc(text.text_runs(text.content_bytes(c), formats.page_fonts(c))).select("doc_id", F.col("text").alias("shown"))
+    return d.join(t, "doc_id").join(g, "doc_id").join(s, "doc_id").join(m, "doc_id").join(r, "doc_id")
+
+
+@query(
+    "q98_image_facts",
+    f"""WITH {_PART} SELECT doc_id, o AS obj_num, CASE o WHEN 20 THEN 2 * m WHEN 21 THEN m // 3 WHEN 22 THEN m ELSE 8 * m END AS width, b AS bits, p AS predictor_name, f AS fax, CASE WHEN o = 22 THEN 'SOI,DQT,SOF0,DHT,SOS,,EOI' END AS segments,
+              CASE WHEN o = 20 THEN true WHEN o = 21 THEN false END AS flipped
+        FROM part, (VALUES (20, 4, 'None', NULL), (21, 8, 'TIFF 2', NULL), (22, 8, 'None', NULL), (23, 1, 'None', 'G4')) t(o, b, p, f)""",
+)
+def q98(spark, sf):
+    c = corpus(spark, sf, "rich")
+    rows = with_doc(formats.images(c)).select("doc_id", "obj_num", "width", F.col("bits_per_component").alias("bits"), "predictor_name", F.col("compression_short").alias("fax"))
+    segments = with_doc(formats.jpeg_segments(c)).groupBy("doc_id", "obj_num").agg(F.array_sort(F.collect_list(F.struct("offset", F.col("marker"), "name", "is_scan"))).alias("s"))
+    segments = segments.select("doc_id", "obj_num", F.array_join(F.transform("s", lambda x: F.when(x["is_scan"], "").otherwise(x["name"])), ",").alias("segments"))
+    names = with_doc(formats.page_resources(c, "XObject")).select("doc_id", "name", F.col("ref_num").alias("obj_num"))
+    placed = with_doc(text.image_placements(text.content_bytes(c))).select("doc_id", "name", "flipped").join(names, ["doc_id", "name"]).select("doc_id", "obj_num", "flipped")
+    return rows.join(segments, ["doc_id", "obj_num"], "left").join(placed, ["doc_id", "obj_num"], "left")
+
+
+@query(
+    "q99_sample_pixels",
+    f"""WITH {_PART} SELECT doc_id, o AS obj_num, (CASE o WHEN 20 THEN 2 * m WHEN 21 THEN m // 3 ELSE 8 * m END)::INT AS width, CASE o WHEN 20 THEN upper(regexp_replace(h, '(.)', '\\1\\1', 'g')) WHEN 21 THEN upper(h) END AS pixels,
+              CASE WHEN o = 23 THEN upper(h) END AS packed, CASE WHEN o = 23 THEN 6 ELSE CASE WHEN o = 21 THEN 2 ELSE 0 END END AS png_kind FROM part, (VALUES (20), (21), (23)) t(o)""",
+)
+def q99(spark, sf):
+    """Every sample of images with four bits, with differences, and in CCITT, and the kinds of their PNG files."""
+    c = corpus(spark, sf, "rich")
+    rows = with_doc(formats.image_pixels(c)).where("obj_num <> 22")
+    files = with_doc(formats.image_files(c)).select("doc_id", "obj_num", F.conv(F.hex(F.substring("data", 26, 1)), 16, 10).cast("int").alias("png_kind"))
+    fax = F.col("obj_num") == 23
+    # Ones are black on paper and dark in pixels where they are set; as drawn here ones are black and BlackIs1 keeps them ones.
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.hex("pixels"), "FF", "1"), "00", "0"), "(.{4})", "$1 ")
+    for i in range(16):
+        digits = F.replace(digits, F.lit(f"{i:04b} "), F.lit(f"{i:X}"))
+    return rows.join(files, ["doc_id", "obj_num"]).select("doc_id", "obj_num", "width", F.when(~fax, F.hex("pixels")).alias("pixels"), F.when(fax, digits).alias("packed"), "png_kind")
+
+
+@query("q100_hidden_text", "SELECT doc_id, true AS invisible, 2::BIGINT AS n_images FROM documents")
+def q100(spark, sf):
+    rows = ops(spark, sf, "rich")
+    n = with_doc(rows).groupBy("doc_id").agg(F.count_if(F.col("op") == "Do").alias("n_images"))
+    return with_doc(text.has_invisible_text(rows)).select("doc_id", "invisible").join(n, "doc_id")
+
+
+_LINED = f"""lined AS (SELECT doc_id, i, n, length(l) AS k FROM (SELECT doc_id, unnest(range(0, {LINES})) AS i, {LINES} AS n, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents))"""
+
+
+@query(
+    "q101_hinted_pages",
+    f"""WITH {_LINED} SELECT doc_id, i::INT AS page, 2 + i % 4 AS nobjects, 50 + k AS page_length, i % 2 AS nshared, CASE WHEN i % 2 = 1 THEN (i % 3)::VARCHAR ELSE '' END AS shared_ids,
+              (CASE WHEN i = 0 THEN 0 ELSE coalesce(sum(CASE WHEN i > 0 THEN 50 + k ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END)::BIGINT AS behind_first FROM lined""",
+)
+def q101(spark, sf):
+    c = corpus(spark, sf, "linear")
+    rows = formats.hint_rows(formats.hint_streams(c))
+    p = formats.linearization(c).select("file_id", "path", "hint_offset", "hint_length", "end_of_first_page")
+    pages = rows.join(p, ["file_id", "path"]).withColumn("dict_offset", F.lit(None).cast("long")).withColumn("first_page_offset", F.lit(0).cast("long"))
+    placed = layout.section_offsets(pages)
+    behind = F.when(F.col("page") == 0, F.col("section_offset")).otherwise(F.col("section_offset") - F.col("end_of_first_page"))
+    return with_doc(placed).select("doc_id", "page", "nobjects", "page_length", "nshared", F.concat_ws(",", F.col("shared_ids").cast("array<string>")).alias("shared_ids"), behind.cast("long").alias("behind_first"))
+
+
+@query(
+    "q102_linearized_files",
+    f"""SELECT doc_id, true AS linearized, {LINES} AS num_pages, 6 AS first_page_obj, 'Linearization Dictionary' AS label_1, 'Linearization Hint Stream' AS label_3, '6:2:11:first_page,16:1:12:rest,17:3:13:rest' AS shared_groups, true AS whole FROM documents""",
+)
+def q102(spark, sf):
+    c = corpus(spark, sf, "linear")
+    facts = with_doc(formats.linearization(c).join(c.files.select("file_id", "path", "length", "linearized"), ["file_id", "path"]))
+    facts = facts.select("doc_id", "linearized", "num_pages", "first_page_obj", (F.col("file_length") == F.col("length")).alias("whole"))
+    pick = lambda n: F.max(F.when(F.col("obj_num") == n, F.col("type_label"))).alias(f"label_{n}")
+    labels = with_doc(graph.classify(c)).groupBy("doc_id").agg(pick(1), pick(3))
+    groups = with_doc(formats.hint_rows(formats.hint_streams(c), "shared_groups")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("group", F.concat_ws(":", "first_obj", "nobjects", "group_length", "section").alias("g")))).alias("g"))
+    return facts.join(labels, "doc_id").join(groups.select("doc_id", F.array_join(F.transform("g", lambda x: x["g"]), ",").alias("shared_groups")), "doc_id")
