@@ -27,6 +27,31 @@ CATEGORY = {op: c for c, ops in CATEGORIES.items() for op in ops.split()}
 # What names a content stream when three of its first words are among these.
 PROBE_OPS = "BT ET Tf Tm Td TD Tj TJ q Q cm gs rg RG cs CS scn SCN re m l h S f Do w".split()
 
+# What each operator does, and the label and colour of each category.
+DESCRIPTIONS = {
+    "BT": "Begin text object", "ET": "End text object", "Tf": "Select font and size", "Tc": "Set character spacing", "Tw": "Set word spacing", "Tz": "Set horizontal scaling",
+    "TL": "Set text leading", "Tr": "Set text rendering mode", "Ts": "Set text rise", "Td": "Move text position", "TD": "Move text position and set leading",
+    "Tm": "Set text matrix and line matrix", "T*": "Move to start of next line", "Tj": "Show text string", "TJ": "Show text with individual glyph offsets",
+    "'": "Move to next line and show text", '"': "Set word/char spacing, move to next line, show text", "q": "Save graphics state", "Q": "Restore graphics state",
+    "cm": "Concatenate matrix to CTM", "gs": "Set parameters from graphics state resource", "w": "Set line width", "J": "Set line cap style", "j": "Set line join style",
+    "M": "Set miter limit", "d": "Set line dash pattern", "ri": "Set color rendering intent", "i": "Set flatness tolerance", "cs": "Set non-stroking color space",
+    "CS": "Set stroking color space", "sc": "Set non-stroking color", "SC": "Set stroking color", "scn": "Set non-stroking color (extended)", "SCN": "Set stroking color (extended)",
+    "g": "Set gray level (non-stroking)", "G": "Set gray level (stroking)", "rg": "Set RGB color (non-stroking)", "RG": "Set RGB color (stroking)", "k": "Set CMYK color (non-stroking)",
+    "K": "Set CMYK color (stroking)", "m": "Begin new subpath (move to)", "l": "Append straight line segment", "c": "Append cubic Bézier curve (full)",
+    "v": "Append cubic Bézier (first cp = current point)", "y": "Append cubic Bézier (last cp = final point)", "h": "Close current subpath", "re": "Append rectangle",
+    "S": "Stroke path", "s": "Close and stroke path", "f": "Fill path (nonzero winding rule)", "F": "Fill path (nonzero winding rule, obsolete)", "f*": "Fill path (even-odd rule)",
+    "B": "Fill and stroke (nonzero winding rule)", "B*": "Fill and stroke (even-odd rule)", "b": "Close, fill and stroke (nonzero)", "b*": "Close, fill and stroke (even-odd)",
+    "n": "End path without painting", "W": "Set clipping path (nonzero winding rule)", "W*": "Set clipping path (even-odd rule)", "Do": "Invoke named XObject", "sh": "Paint shading pattern",
+    "BMC": "Begin marked-content sequence", "BDC": "Begin marked-content sequence with property list", "EMC": "End marked-content sequence", "MP": "Define marked-content point",
+    "DP": "Define marked-content point with property list", "BI": "Begin inline image object", "ID": "Begin inline image data", "EI": "End inline image object",
+    "BX": "Begin compatibility section", "EX": "End compatibility section",
+}
+LABELS = {
+    "text_state": "Text state", "text_pos": "Text positioning", "text_show": "Text show", "gstate": "Graphics state", "color": "Color", "path": "Path", "clip": "Clipping",
+    "xobject": "XObject", "shading": "Shading", "marked": "Marked content", "inline_img": "Inline image", "compat": "Compatibility", "unknown": "Unknown",
+}
+COLORS = {c: {"inline_img": "inline"}.get(c, c.replace("_", "-")) for c in LABELS}
+
 _REGULAR = rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]"
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)(?!" + _REGULAR + rb")|[+-]?\d*\.?\d+")
 _WORD = re.compile(rb"[A-Za-z'\"*0-9]+|" + _REGULAR + rb"+")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.content import CATEGORIES, PROBE_OPS
+from quire.functions.content import CATEGORIES, COLORS, DESCRIPTIONS, LABELS, PROBE_OPS
 
 from .corpus import Corpus
 
@@ -70,6 +70,15 @@ def content_errors(pages: DataFrame) -> DataFrame:
     return _mapped(pages, operators, OPS).where("error is not null").select(*KEY, "error")
 
 
+def _named(column: Column, table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[column]
+
+
+def described(ops: DataFrame) -> DataFrame:
+    """``ops`` with ``description`` (empty for unknown operators), and the ``label`` and ``color`` of their category."""
+    return ops.select("*", F.coalesce(_named(F.col("op"), DESCRIPTIONS), F.lit("")).alias("description"), _named(F.col("category"), LABELS).alias("label"), _named(F.col("category"), COLORS).alias("color"))
+
+
 def category_table(spark) -> DataFrame:
     return spark.createDataFrame([(c, i) for i, c in enumerate(CATEGORIES)], "category string, category_ix int")
 
@@ -168,6 +177,37 @@ def hex_dump(raw: Column, limit: int = 65536) -> Column:
     return F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), line), "\n")
 
 
+def dump_lines(raw: Column, start: Column, size: Column) -> Column:
+    """Lines of a part of ``raw``: address and up to 16 bytes, in upper-case hexadecimal."""
+
+    def line(i: Column) -> Column:
+        part = F.substring(raw, (start + i * 16 + 1).cast("int"), F.least(F.lit(16), size - i * 16).cast("int"))
+        address = F.hex(start + i * 16)
+        return F.concat(F.lpad(address, F.greatest(F.lit(4), F.length(address)), F.lit("0")), F.lit(": "), F.trim(F.regexp_replace(F.hex(part), "(..)", "$1 ")))
+
+    lines = F.ceil(size / 16).cast("int")
+    return F.transform(F.when(lines > 0, F.sequence(F.lit(0), lines - 1)).otherwise(F.array().cast("array<int>")), line)
+
+
+def annotated_dump(sections: DataFrame, streams: DataFrame, raw: str = "stream_decoded", limit: int = 65536) -> DataFrame:
+    """``dump``: the bytes of each stream by its sections ``KEY, label, offset, size``, at most ``limit`` of them shown.
+
+    Sections come in order of their offsets; what the limit cuts is told with its size.  Each
+    section is a row until its lines are text, so only the shown bytes of a stream meet.
+    """
+    before = Window.partitionBy(*KEY).orderBy("offset", "label").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sections.withColumn("left", F.greatest(F.lit(0), limit - F.coalesce(F.sum("size").over(before), F.lit(0)))).withColumn("shown", F.least("size", "left"))
+    word = lambda v: F.concat(F.lit("0x"), F.lpad(F.hex(v), F.greatest(F.lit(4), F.length(F.hex(v))), F.lit("0")))
+    head = F.concat(F.lit("=== "), "label", F.lit(" ===\n    "), word(F.col("offset")), F.lit(" – "), word(F.col("offset") + F.col("size") - 1), F.lit("  ("), F.col("size").cast("string"), F.lit(" bytes)"))
+    rest = F.when(F.col("left") == 0, F.concat(F.lit("     … "), F.col("size").cast("string"), F.lit(" bytes (64K global limit reached) …"))).when(
+        F.col("shown") < F.col("size"), F.concat(F.lit("     … "), (F.col("size") - F.col("shown")).cast("string"), F.lit(" more bytes …")))
+    part = rows.join(streams.select(*KEY, F.col(raw).alias("_raw")), KEY)
+    lines = F.when(F.col("left") > 0, F.array_join(dump_lines(F.col("_raw"), F.col("offset"), F.col("shown")), "\n"))
+    part = part.select(*KEY, "offset", "label", F.concat(F.concat_ws("\n", head, lines, rest), F.lit("\n")).alias("text"))
+    whole = part.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("offset", "label", "text"))).alias("s"))
+    return whole.select(*KEY, F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("dump"))
+
+
 def stream_faults(text: Column) -> Column:
     """What is wrong with an edited content stream, as an array of words."""
     bare = F.regexp_replace(text, r"\((?:\\.|[^\\)])*\)", "")

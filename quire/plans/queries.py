@@ -1085,3 +1085,28 @@ def q102(spark, sf):
     labels = with_doc(graph.classify(c)).groupBy("doc_id").agg(pick(1), pick(3))
     groups = with_doc(formats.hint_rows(formats.hint_streams(c), "shared_groups")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("group", F.concat_ws(":", "first_obj", "nobjects", "group_length", "section").alias("g")))).alias("g"))
     return facts.join(labels, "doc_id").join(groups.select("doc_id", F.array_join(F.transform("g", lambda x: x["g"]), ",").alias("shared_groups")), "doc_id")
+
+
+@query(
+    "q103_annotated_dumps",
+    """SELECT doc_id, 'Header' AS first_label, length(coalesce(source, '')) + 1 + 12 AS n_desc,
+              '=== Padding ===' || chr(10) || '    0x00C4 – 0x00C7  (4 bytes)' || chr(10) || '00C4: 00 00 00 00' AS padding, 6 AS n_sections FROM documents""",
+)
+def q103(spark, sf):
+    c = corpus(spark, sf, "rich")
+    streams = c.streams.join(formats.icc_segments(c).select("file_id", "path", "obj_num").distinct(), ["file_id", "path", "obj_num"], "left_semi")
+    rows = with_doc(text.annotated_dump(formats.icc_segments(c), streams))
+    pick = lambda pattern: F.regexp_extract("dump", pattern, 1)
+    return rows.select(
+        "doc_id", pick(r"^=== (\w+) ===").alias("first_label"), pick(r"(?s)=== desc ===\n[^\n]*\((\d+) bytes").cast("int").alias("n_desc"),
+        pick(r"(=== Padding ===\n[^\n]*\n[^\n]*)").alias("padding"), F.regexp_count("dump", F.lit("=== [^=]+ ===")).alias("n_sections"))
+
+
+@query(
+    "q104_described_operators",
+    f"""SELECT doc_id, op, CASE op WHEN 'BT' THEN 'Begin text object' WHEN 'ET' THEN 'End text object' WHEN 'Tf' THEN 'Select font and size' WHEN 'Td' THEN 'Move text position' WHEN 'Tj' THEN 'Show text string' ELSE 'Move to start of next line' END AS description,
+              CASE WHEN op IN ('Td', 'T*') THEN 'Text positioning' WHEN op = 'Tj' THEN 'Text show' ELSE 'Text state' END AS label, CASE WHEN op IN ('Td', 'T*') THEN 'text-pos' WHEN op = 'Tj' THEN 'text-show' ELSE 'text-state' END AS color,
+              CASE WHEN op IN ('Tj', 'T*') THEN {LINES} ELSE 1 END AS n FROM documents, (VALUES ('BT'), ('ET'), ('Tf'), ('Td'), ('Tj'), ('T*')) t(op)""",
+)
+def q104(spark, sf):
+    return with_doc(text.described(ops(spark, sf))).groupBy("doc_id", "op", "description", "label", "color").agg(F.count("*").alias("n"))

@@ -312,3 +312,20 @@ def test_ancestors_of_names_with_full_stops(spark):
         got.setdefault(r.node_ix, set()).add(r.above_ix)
     assert got == {i: above(i) for i in up if above(i)}
     assert graph.visible_rows(nodes, nodes.where("depth = 0")).count() == 3 and graph.ancestors(nodes.limit(0)).count() == 0
+
+
+def test_annotated_dump(spark):
+    raw = bytes(range(40))
+    streams = spark.createDataFrame([("f", "p", 1, bytearray(raw))], "file_id string, path string, obj_num int, stream_decoded binary")
+    sections = spark.createDataFrame([("f", "p", 1, "B", 20, 20), ("f", "p", 1, "A", 0, 20)], "file_id string, path string, obj_num int, label string, offset long, size long")
+    got = text.annotated_dump(sections, streams).first().dump
+    row = lambda a, b: " ".join(f"{x:02X}" for x in raw[a:b])
+    assert got == f"=== A ===\n    0x0000 – 0x0013  (20 bytes)\n0000: {row(0, 16)}\n0010: {row(16, 20)}\n\n=== B ===\n    0x0014 – 0x0027  (20 bytes)\n0014: {row(20, 36)}\n0024: {row(36, 40)}\n"
+    cut = text.annotated_dump(sections, streams, limit=10).first().dump
+    assert cut == f"=== A ===\n    0x0000 – 0x0013  (20 bytes)\n0000: {row(0, 10)}\n     … 10 more bytes …\n\n=== B ===\n    0x0014 – 0x0027  (20 bytes)\n     … 20 bytes (64K global limit reached) …\n"
+
+
+def test_every_operator_is_described():
+    from quire.functions.content import CATEGORIES, CATEGORY, COLORS, DESCRIPTIONS, LABELS
+
+    assert set(CATEGORY) == set(DESCRIPTIONS) and set(CATEGORIES) == set(LABELS) == set(COLORS) and COLORS["inline_img"] == "inline"
