@@ -108,13 +108,17 @@ def xref_stream(num: int, rows: list[tuple[int, int, int]], trailer: dict[str, V
 
 
 def object_stream(members: list[tuple[int, Value]]) -> Value:
-    parts = [body(v) for _, v in members]
+    return packed_stream([n for n, _ in members], [body(v) for _, v in members])
+
+
+def packed_stream(numbers: list[int], parts: list[bytes]) -> Value:
+    """An object stream of values that are bytes already."""
     at, head = 0, []
-    for (num, _), p in zip(members, parts):
+    for num, p in zip(numbers, parts):
         head.append(b"%d %d" % (num, at))
         at += len(p) + 1
     top = b" ".join(head) + b"\n"
-    return stream(top + b"\n".join(parts), Type="ObjStm", N=len(members), First=len(top))
+    return stream(top + b"\n".join(parts), Type="ObjStm", N=len(numbers), First=len(top))
 
 
 def page_content(text: str, leading: int = 0) -> bytes:

@@ -52,7 +52,9 @@ def content_bytes(c: Corpus) -> DataFrame:
     through = direct.join(items, KEY).select("file_id", "path", "page", F.col("part").alias("obj_num"), F.array_append("at", F.col("ord")).alias("at"))
     parts = direct.unionByName(through).join(c.streams.select(*KEY, "stream_decoded"), KEY)
     whole = parts.groupBy("file_id", "path", "page").agg(F.array_sort(F.collect_list(F.struct("at", "stream_decoded"))).alias("p"))
-    joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.when(F.octet_length(a) == 0, x["stream_decoded"]).otherwise(F.concat(a, F.lit(b"\n"), x["stream_decoded"])))
+    # Latin-1 has a character for each byte, so a join of texts is one of bytes.
+    texts = F.transform("p", lambda x: F.decode(x["stream_decoded"], "ISO-8859-1"))
+    joined = F.when(~F.exists("p", lambda x: x["stream_decoded"].isNull()), F.encode(F.array_join(texts, "\n"), "ISO-8859-1"))
     return whole.select("file_id", "path", F.col("page").alias("obj_num"), joined.alias("stream_decoded"))
 
 

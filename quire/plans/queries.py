@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import formats, forms, graph, layout, pdfx, search, text, versions
+from quire.operators import formats, forms, graph, layout, pdfx, relink, search, text, versions
 from quire.operators.corpus import Corpus, first_of
 from quire.session import shared_dir, written
 from quire.sources import pdf
@@ -1110,3 +1110,23 @@ def q103(spark, sf):
 )
 def q104(spark, sf):
     return with_doc(text.described(ops(spark, sf))).groupBy("doc_id", "op", "description", "label", "color").agg(F.count("*").alias("n"))
+
+
+@query("q105_relink_tables", "SELECT doc_id, true AS as_linked_whole, lang = 'de' AS edited FROM documents")
+def q105(spark, sf):
+    """Files linked from rows of objects against files linked each in one piece: unchanged ones, and edited ones with a new table."""
+    manifest, files = _edited(spark, sf, "lay1", "lang = 'de'")
+    manifest, files = written(manifest, "manifest"), written(files, "exploded")
+    new = relink.link(manifest, files).select("path", F.md5("content").alias("new"))
+    old = pdfx.link(files).select("path", F.md5("content").alias("old"))
+    langs = table(spark, sf, "documents").select("doc_id", "lang")
+    return with_doc(new.join(old, "path")).join(langs, "doc_id").select("doc_id", (F.col("new") == F.col("old")).alias("as_linked_whole"), (F.col("lang") == "de").alias("edited"))
+
+
+@query("q106_relink_streams", "SELECT doc_id, CASE WHEN lang = 'de' THEN 'edited' ELSE lang END AS title, CASE WHEN lang = 'de' THEN 'someone' ELSE source END AS author, 2 AS n_compressed, '' AS repairs FROM documents")
+def q106(spark, sf):
+    """Files with object streams and an index stream, linked from rows and read again."""
+    manifest, files = _edited(spark, sf, "lay2", "lang = 'de'")
+    c = Corpus(written(Corpus.from_binary(relink.link(written(manifest, "manifest"), written(files, "exploded"))).parsed, "relinked"))
+    facts = with_doc(c.parsed).select("doc_id", F.array_join("repairs.what", ",").alias("repairs"))
+    return _info(c).join(with_doc(graph.entry_counts(c)).select("doc_id", "n_compressed"), "doc_id").join(facts, "doc_id")
