@@ -38,6 +38,25 @@ def _table(rows: DataFrame, work, schema: str, column: str = "stream_decoded") -
     return _mapped(rows, work, schema, column).select(*KEY, F.inline("_r"))
 
 
+def errors(c: Corpus) -> DataFrame:
+    """``KEY, table, error``: streams that a format table has no rows for, with the reason."""
+    from quire.functions.formats import cmap, icc, jpeg, ttf_tables
+
+    def failed(table: str, rows: DataFrame, work, column: str = "stream_decoded") -> DataFrame:
+        # The reader's own result is not wanted, only whether it has one; streams that cannot be decoded are told too.
+        def tried(raw):
+            work(raw)
+            return [{"x": 1}]
+
+        unread = rows.where(F.col(column).isNull()).select(*KEY, F.lit("cannot be decoded").alias("error"))
+        wrong = _mapped(rows, tried, "array<struct<x:int>>", column).where("error is not null").select(*KEY, "error")
+        return unread.union(wrong).select(*KEY, F.lit(table).alias("table"), "error")
+
+    pictures = c.streams.where(F.array_contains("filters", "DCTDecode"))
+    out = failed("cmaps", _labelled(c, "ToUnicode CMap"), cmap).union(failed("icc", _labelled(c, "ICC Profile"), icc)).union(failed("ttf", _labelled(c, "Font File (TrueType)"), ttf_tables))
+    return out.union(failed("jpeg", pictures, jpeg, "stream_raw")).union(image_pixels(c).where("error is not null").select(*KEY, F.lit("images"), "error"))
+
+
 def cmaps(c: Corpus) -> DataFrame:
     """All mappings of ToUnicode maps in code order."""
     from quire.functions.formats import cmap

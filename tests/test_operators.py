@@ -329,3 +329,8 @@ def test_every_operator_is_described():
     from quire.functions.content import CATEGORIES, CATEGORY, COLORS, DESCRIPTIONS, LABELS
 
     assert set(CATEGORY) == set(DESCRIPTIONS) and set(CATEGORIES) == set(LABELS) == set(COLORS) and COLORS["inline_img"] == "inline"
+
+
+def test_errors_of_formats(rich):
+    # The font file of the fixture holds a word, not a font.
+    assert rows(formats.errors(rich), "obj_num", "table", "error") == {(16, "ttf", "ValueError: not an sfnt font")}
