@@ -12,7 +12,9 @@ Not every suffix of the corpus can be sorted, so only those that may repeat are:
 2. *Classes.*  Contexts travel as two hashes and a place, packed, dealt by the
    anchor's hash.  Equal contexts form a class: all but those of its smallest
    doc_id are repeats as they stand.  In a batch only the smallest travels on,
-   so a passage that many documents hold costs one row a batch.
+   so a passage that many documents hold costs one row a batch.  Of a context
+   that one text repeats the first travels, whatever is found of it holds for
+   the others too, so a line that a text repeats is one context everywhere.
 3. *Suffix arrays.*  Only anchors with several classes (where copies begin, end
    or were edited) need their bytes.  Their contexts are fetched and meet again
    by anchor; the suffixes of at least 50 bytes are sorted, with common-prefix
@@ -148,7 +150,7 @@ def _unfive(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-COVER, ANCHOR, ASK = 0, 1, 2
+COVER, ANCHOR, ASK, ECHO = 0, 1, 2, 3
 PACKED = "bucket int, kind byte, hot boolean, fp binary, cls binary, doc binary, ver binary, first binary, last binary"
 _ARROW = pa.schema(
     [("bucket", pa.int32()), ("kind", pa.int8()), ("hot", pa.bool_()), *((n, pa.binary()) for n in ("fp", "cls", "doc", "ver", "first", "last"))]
@@ -250,6 +252,16 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
             yield ids[begin:], raws
 
 
+def _repeated_within(text: np.ndarray, first: np.ndarray, fp: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts a text has had before, and the number of the first of each."""
+    by = np.lexsort((first, text, cls, fp))
+    new = np.r_[True, (text[by][1:] != text[by][:-1]) | (cls[by][1:] != cls[by][:-1]) | (fp[by][1:] != fp[by][:-1])]
+    again, original = np.zeros(len(by), bool), np.zeros(len(by), np.int64)
+    again[by] = ~new
+    original[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return again, original
+
+
 def _find_anchors(buckets: int, many_in_batch: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raws in _portions(batches):
@@ -258,13 +270,19 @@ def _find_anchors(buckets: int, many_in_batch: int, block: int):
                 continue
             version = np.fromiter(map(_version, raws), np.uint32, len(raws))
             doc, ver, last = ids[text], version[text], first + span
+            rows = []
+            # A context that a text repeats is asked about once; the others have the ranges that it has.
+            again, original = _repeated_within(text, first, fp, cls)
+            if again.any():
+                e = original[again]
+                rows += _deal(_some_bucket(doc[again], buckets), ECHO, False, first[again].astype(np.uint64), None, doc[again], ver[again], first[e], last[e])
+                first, last, fp, cls, doc, ver = (x[~again] for x in (first, last, fp, cls, doc, ver))
             # A class keeps its smallest doc_id; the others are repeats.
             by = np.lexsort((doc, cls, fp))
             edge = np.r_[True, (cls[by][1:] != cls[by][:-1]) | (fp[by][1:] != fp[by][:-1])]
             least = doc[by][np.flatnonzero(edge)][np.cumsum(edge) - 1]
             later = np.zeros(len(doc), bool)
             later[by] = doc[by] > least
-            rows = []
             if later.any():
                 d, v, a, z = _merged(doc[later], ver[later], first[later], last[later])
                 rows += _deal(_some_bucket(d, buckets), COVER, False, None, None, d, v, a, z)
@@ -288,9 +306,9 @@ def _find_anchors(buckets: int, many_in_batch: int, block: int):
 def _passed(t: pa.Table) -> list[pa.Table]:
     """Rows of other kinds than anchors, unpacked."""
     out = []
-    for kind, hot in ((COVER, False), (ASK, True)):
+    for kind, hot in ((COVER, False), (ECHO, False), (ASK, True)):
         fp, _, doc, ver, first, last = _unpack(t, kind)
-        out.append(_flat(kind, hot, fp if kind == ASK else None, doc, ver, first, last))
+        out.append(_flat(kind, hot, None if kind == COVER else fp, doc, ver, first, last))
     return out
 
 
@@ -330,6 +348,20 @@ def _resolve(many: int):
 # ---------------------------------------------------------------- side tables per document
 
 
+def _echoed(ranges: tuple[np.ndarray, ...], doc: np.ndarray, ver: np.ndarray, first: np.ndarray, last: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What ``ranges`` (merged) hold of the strings ``first`` to ``last``, moved to where the text has them again, from ``other`` on."""
+    d, v, a, z = ranges
+    _, number = np.unique(np.stack((np.r_[d, doc], np.r_[v, ver].astype(np.int64)), axis=1), axis=0, return_inverse=True)
+    lift = number.ravel() * np.int64(1 << 33)
+    of, to = lift[: len(d)], lift[len(d) :]
+    low, high = np.searchsorted(z + of, first + to, "left"), np.searchsorted(a + of, last + to, "right")
+    n = np.maximum(high - low, 0)
+    e = np.repeat(np.arange(len(doc)), n)
+    r = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+    shift = (other - first)[e]
+    return doc[e], ver[e], np.maximum(a[r], first[e]) + shift, np.minimum(z[r], last[e]) + shift
+
+
 def _per_doc(kind: int):
     """One row a doc_id: its ranges or its questions, as an array of fixed records."""
 
@@ -337,7 +369,12 @@ def _per_doc(kind: int):
         kinds = (np.int64, np.uint32, np.int64, np.int64)
         doc, ver, first, last = (t.column(n).to_numpy().astype(k) for n, k in zip(("doc", "ver", "first", "last"), kinds))
         if kind == COVER:
-            doc, ver, first, last = _merged(doc, ver, first, last)
+            echo = t.column("kind").to_numpy() == ECHO
+            ranges = _merged(doc[~echo], ver[~echo], first[~echo], last[~echo])
+            if echo.any():
+                more = _echoed(ranges, doc[echo], ver[echo], first[echo], last[echo], t.column("fp").to_numpy()[echo])
+                ranges = _merged(*(np.concatenate(x) for x in zip(ranges, more)))
+            doc, ver, first, last = ranges
             rec = np.rec.fromarrays([ver, first.astype(np.uint32), last.astype(np.uint32)], dtype=_RANGE)
         else:
             hot, fp = t.column("hot").to_numpy().astype(np.uint8), t.column("fp").to_numpy().view(np.uint64)
@@ -579,7 +616,7 @@ def repeated_ranges(docs: DataFrame, many_in_batch: int = MANY_IN_BATCH, many: i
     buckets = max(2 * slices(docs.sparkSession), size // BUCKET_TEXT)
 
     def by_doc(rows: DataFrame, kind: int) -> DataFrame:
-        own = rows.where(F.col("kind") == kind).drop("kind").withColumn("_b", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
+        own = rows.where(F.col("kind").isin(kind, ECHO) if kind == COVER else F.col("kind") == kind).withColumn("_b", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
         return own.groupBy("_b").applyInArrow(_per_doc(kind), "doc_id long, data binary")
 
     packed = docs.mapInArrow(_find_anchors(buckets, many_in_batch, block), PACKED)

@@ -78,6 +78,28 @@ def test_texts_of_one_doc_id_stay_apart(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in rows) == sorted([(1, len(line), 0), (2, len(shared), len(line)), (2, len(other), 0)])
 
 
+def test_a_line_that_a_text_repeats(spark):
+    """Repeated contexts are asked about once; what is found holds wherever the text has them."""
+    line = "a line of more than fifty bytes, such as headers and footers have it\n"
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    other = [f"{word()} {line}{word()} " for _ in range(12)]
+    texts = ["".join(other), line * 40, line * 25 + "end " + line[:60] * 9, "x" + line[5:] * 30, "z " * 90 + (line[:55] + "!") * 20, "".join(f"{line}{word()}" for _ in range(30)), (line + "tail") * 20 + other[3] * 4]
+    for order in (texts, texts[::-1]):
+        want = brute_repeats(list(enumerate(order)))
+        frame = docs(spark, order).repartition(3)
+        assert sorted(tuple(r) for r in R.remove_repeats(frame).collect()) == want
+        assert sorted(tuple(r) for r in R.remove_repeats(frame, many=3, many_in_batch=4, broadcast_bytes=0, block=700).collect()) == want
+
+
+def test_a_line_repeated_very_often(spark):
+    line = "a line of more than fifty bytes, such as headers and footers have it\n"
+    n = 100_000
+    rows = sorted(tuple(r) for r in R.remove_repeats(docs(spark, ["other words " + line + "and others", line * n + "end"]).repartition(2)).collect())
+    # The first text holds the line between other words; of the second nothing but what spans two lines is new.
+    assert rows[0][2] == 0 and rows[1][1] == len(line) * n + 3 and rows[1][2] == len(line) * n and rows[1][3] == 1
+
+
 def test_maximal_repeats_give_all_occurrences():
     texts = [b"xxABCDEyy", b"zzABCDEqq", b"ABCDE", b"wwBCDEyy"]
     number, offset, common, left = R.suffix_array(texts, 3)
