@@ -336,8 +336,8 @@ def page_fonts(c: Corpus) -> DataFrame:
     Simple fonts have codes of a byte and a default width of 500; composite ones the codes of their map (two bytes
     where it is identity) and the width of their descendant.  Predefined maps other than identity are in ``unknown_map``.
     """
-    def as_map(rows: DataFrame, code: str, value: str, name: str, kind: str = "int") -> DataFrame:
-        return rows.where(F.col(value).isNotNull()).dropDuplicates([*KEY, code]).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col(code).cast(kind), value))).alias(name))
+    def as_map(rows: DataFrame, code: str, value: str, name: str) -> DataFrame:
+        return rows.where(F.col(value).isNotNull()).dropDuplicates([*KEY, code]).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col(code).cast("int"), value))).alias(name))
 
     first = F.coalesce("first_char", F.lit(0))
     own = F.when(F.size("widths") > 0, F.map_from_arrays(F.sequence(first, first + F.size("widths") - 1), "widths"))
@@ -348,10 +348,11 @@ def page_fonts(c: Corpus) -> DataFrame:
     every = simple.union(composite)
     maps = c.streams.join(every.select("file_id", "path", F.col("to_unicode_num").alias("obj_num")), KEY, "left_semi")
     # A code is looked up with its width first, then as a number alone.
-    mapped = parse_cmaps(maps).withColumn("by_width", F.shiftleft((F.length("src_hex") / 2).cast("bigint"), 32) + F.col("src_int"))
-    keyed = mapped.withColumn("code", F.explode(F.array("by_width", "src_int")))
-    keyed = keyed.where("char is not null").groupBy(*KEY, "code").agg(F.min_by("char", "seq").alias("char"))
-    texts = as_map(keyed, "code", "char", "texts", "bigint").withColumnRenamed("obj_num", "to_unicode_num")
+    mapped = parse_cmaps(maps).where("char is not null").withColumn("by_width", F.shiftleft((F.length("src_hex") / 2).cast("bigint"), 32) + F.col("src_int"))
+    keyed = mapped.withColumn("k", F.explode(F.array(F.struct(F.lit(True).alias("wide"), F.col("by_width").alias("code")), F.struct(F.lit(False).alias("wide"), F.col("src_int").alias("code")))))
+    keyed = keyed.groupBy(*KEY, "k").agg(F.min_by("char", "seq").alias("char"))
+    pairs = lambda wide: F.map_from_entries(F.collect_list(F.when(F.col("k.wide") == wide, F.struct(F.col("k.code"), F.col("char")))))
+    texts = keyed.groupBy(*KEY).agg(pairs(False).alias("texts"), pairs(True).alias("wide_texts")).withColumnRenamed("obj_num", "to_unicode_num")
     own_maps = code_maps(c).withColumnRenamed("obj_num", "encoding_num")
     # Differences stand in the font or in an encoding object that it names.
     codes = as_map(encoding_differences(c), "code", "glyph", "differences")
@@ -361,7 +362,7 @@ def page_fonts(c: Corpus) -> DataFrame:
     predefined = F.when((F.col("code_bytes") > 1) & F.col("encoding_num").isNull() & ~F.col("encoding").isin(*IDENTITY), F.col("encoding"))
     every = every.withColumn("unknown_map", F.coalesce("unknown_map", predefined))
     on = page_resources(c, "Font").select("file_id", "path", F.col("obj_num").alias("page"), "name", F.col("ref_num").alias("obj_num"))
-    rows = on.join(every, KEY).select("file_id", "path", F.col("page").alias("obj_num"), F.struct("name", "encoding", "code_bytes", "default_width", "widths", "texts", "differences", "code_map", "unknown_map").alias("f"))
+    rows = on.join(every, KEY).select("file_id", "path", F.col("page").alias("obj_num"), F.struct("name", "encoding", "code_bytes", "default_width", "widths", "texts", "wide_texts", "differences", "code_map", "unknown_map").alias("f"))
     return rows.groupBy(*KEY).agg(F.collect_list("f").alias("fonts"))
 
 

@@ -102,7 +102,7 @@ def _read_font(f: dict) -> dict:
         values = lambda rows, *names: [tuple(r[n] for n in names) for r in rows]
         has = f["code_map"] or {"spaces": None, "cids": None}
         codes = Codes(values(has["spaces"] or [], "n", "low", "high"), None if has["cids"] is None else values(has["cids"], "n", "low", "high", "cid"))
-    return {"widths": dict(f["widths"] or []), "default_width": f["default_width"], "cmap": own | dict(f["texts"] or []), "code_bytes": f["code_bytes"], "codes": codes, "unknown": f["unknown_map"]}
+    return {"widths": dict(f["widths"] or []), "default_width": f["default_width"], "cmap": own | dict(f["texts"] or []) | dict(f["wide_texts"] or []), "code_bytes": f["code_bytes"], "codes": codes, "unknown": f["unknown_map"]}
 
 
 def text_runs(pages: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
