@@ -263,26 +263,27 @@ def mixed_codes(source: str) -> bytes:
 
 
 def scans(text: str) -> bytes:
-    """The bytes of ``text`` as a picture of 256 black and white pixels a row in the three CCITT schemes, and as a grey JPEG of 32 pixels a row."""
+    """The bytes of ``text`` as black and white pixels, 256 a row and a third of the rows in each CCITT scheme, and as a grey JPEG of 32 pixels a row."""
     from . import fax, jpeg
 
     raw = text.encode("utf-8")
-    raw = raw.ljust(max(1, -(-len(raw) // 32)) * 32, b" ")
+    raw = raw.ljust(max(1, -(-len(raw) // 96)) * 96, b" ")
     rows = [raw[i : i + 32] for i in range(0, len(raw), 32)]
-    size = {"Type": "XObject", "Subtype": "Image", "Height": len(rows), "ColorSpace": "DeviceGray"}
+    third = len(rows) // 3
+    size = {"Type": "XObject", "Subtype": "Image", "ColorSpace": "DeviceGray"}
 
     def image(data: bytes, **entries: Any) -> Value:
         return Value("Stream", (dictionary(**size, **entries).data, data, 0))
 
-    bits = lambda k: image(fax.encode(rows, 256, k), Width=256, BitsPerComponent=1, Filter="CCITTFaxDecode", DecodeParms=dictionary(K=k, Columns=256, BlackIs1=True))
+    bits = lambda i, k: image(fax.encode(rows[i * third : (i + 1) * third], 256, k), Width=256, Height=third, BitsPerComponent=1, Filter="CCITTFaxDecode", DecodeParms=dictionary(K=k, Columns=256, BlackIs1=True))
     objects = [
         *page_objects("", "", "")[:2],
         (3, dictionary(Type="Page", Parent=ref(2), MediaBox=[0, 0, 612, 792], Resources=dictionary(XObject=dictionary(A=ref(4), B=ref(5), C=ref(7), D=ref(8))))),
-        (4, bits(-1)),
-        (5, bits(0)),
+        (4, bits(0, -1)),
+        (5, bits(1, 0)),
         page_objects("", "", "")[5],
-        (7, bits(4)),
-        (8, image(jpeg.encode(raw, 32, len(rows)), Width=32, BitsPerComponent=8, Filter="DCTDecode")),
+        (7, bits(2, 4)),
+        (8, image(jpeg.encode(raw, 32, len(rows)), Width=32, Height=len(rows), BitsPerComponent=8, Filter="DCTDecode")),
     ]
     return assemble(objects, TRAILER)
 

@@ -860,26 +860,28 @@ def q89(spark, sf):
     return r.select("doc_id", F.col("r0.text").alias("shown"), F.col("r1.text").alias("second"), F.col("r1.x").alias("x2"), F.col("r2.note").alias("note"), F.col("r3.x").alias("x3"), F.col("r3.text").alias("utf16"))
 
 
-_PADDED = "rpad_ AS (SELECT doc_id, t || repeat(' ', (greatest(1, (octet_length(encode(t)) + 31) // 32) * 32 - octet_length(encode(t)))::INT) AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
+_PADDED = "rpad_ AS (SELECT doc_id, t || repeat(' ', (greatest(1, (octet_length(encode(t)) + 95) // 96) * 96 - octet_length(encode(t)))::INT) AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
 
 
 @query(
     "q90_fax_pixels",
-    f"WITH {_PADDED} SELECT doc_id, o AS obj_num, (octet_length(encode(p)) // 32)::INT AS height, true AS as_drawn FROM rpad_, (VALUES (4), (5), (7)) t(o)",
+    f"WITH {_PADDED} SELECT doc_id, o AS obj_num, (octet_length(encode(p)) // 96)::INT AS height, true AS as_drawn FROM rpad_, (VALUES (4), (5), (7)) t(o)",
 )
 def q90(spark, sf):
     """Pixels of three CCITT schemes, packed again, against the bytes that were drawn."""
     got = with_doc(formats.image_pixels(corpus(spark, sf, "scans"))).where("obj_num <> 8").select("doc_id", "obj_num", "width", "height", "pixels")
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    whole = F.rpad(F.hex(raw), F.greatest(F.lit(1), F.ceil(F.octet_length(raw) / 32)).cast("int") * 64, "20")
-    drawn = table(spark, sf, "documents").select("doc_id", F.md5(whole).alias("drawn"))
+    whole = F.rpad(F.hex(raw), F.greatest(F.lit(1), F.ceil(F.octet_length(raw) / 96)).cast("int") * 192, "20")
+    third = (F.length("whole") / 3).cast("int")
+    part = lambda o, k: F.struct(F.lit(o).alias("obj_num"), F.md5(F.substring(F.col("whole"), third * k + 1, third)).alias("drawn"))
+    drawn = table(spark, sf, "documents").select("doc_id", whole.alias("whole")).select("doc_id", F.inline(F.array(part(4, 0), part(5, 1), part(7, 2))))
     # Eight pixels, each 00 or FF in hexadecimal, are a byte again.
     bits = F.regexp_replace(F.regexp_replace(F.hex("pixels"), "FF", "1"), "00", "0")
     rows = F.upper(F.regexp_replace(bits, "(.{4})", "$1 "))
     digits = rows
     for i in range(16):
         digits = F.replace(digits, F.lit(f"{i:04b} "), F.lit(f"{i:X}"))
-    return got.join(drawn, "doc_id").select("doc_id", "obj_num", "height", (F.md5(digits) == F.col("drawn")).alias("as_drawn"))
+    return got.join(drawn, ["doc_id", "obj_num"]).select("doc_id", "obj_num", "height", (F.md5(digits) == F.col("drawn")).alias("as_drawn"))
 
 
 @query(
@@ -890,7 +892,7 @@ def q91(spark, sf):
     """Grey pixels of JPEG pictures against the bytes that were drawn."""
     got = with_doc(formats.image_pixels(corpus(spark, sf, "scans"))).where("obj_num = 8").select("doc_id", F.hex("pixels").alias("seen"))
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    whole = F.rpad(F.hex(raw), F.greatest(F.lit(1), F.ceil(F.octet_length(raw) / 32)).cast("int") * 64, "20")
+    whole = F.rpad(F.hex(raw), F.greatest(F.lit(1), F.ceil(F.octet_length(raw) / 96)).cast("int") * 192, "20")
     pair = got.join(table(spark, sf, "documents").select("doc_id", whole.alias("drawn")), "doc_id")
     byte = lambda h: F.transform(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("int"))
     off = F.zip_with(byte(F.col("seen")), byte(F.col("drawn")), lambda a, b: F.abs(a - b))
