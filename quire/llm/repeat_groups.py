@@ -7,8 +7,9 @@ nor to the right without losing an occurrence, with each place it occurs at.
 1. *Beginnings.*  A maximal repeat begins where the byte before it differs between
    its occurrences.  Strings of ``LENGTH`` bytes inside a context that is the same
    wherever its anchor occurs cannot begin one, so only the first string of such
-   contexts, and the strings of anchors with several contexts, are suffixes to sort.
-2. *Ladder.*  Each suffix gets hashes of its first 50, 100, 200, ... bytes.  Suffixes
+   contexts, and the strings of anchors with several contexts, may begin one; of
+   these an aggregation keeps the strings that follow different bytes.
+2. *Ladder.*  Each suffix that is left gets hashes of its first 50, 100, 200, ... bytes.  Suffixes
    with one hash are a node of that level; nodes that neither branch before the next
    level nor follow different bytes are left out by an aggregation.
 3. *Scan.*  Suffixes of a node that agree up to the next level are one leaf, with
@@ -52,8 +53,8 @@ _LEAF = "level int, node long, leaf long, ends boolean, n long, low int, high in
 _FOUND = "level int, node long, leaf long, at long, length long, begin long, end long"
 
 
-def ladder(raw: bytes, length: int = LENGTH) -> list[np.ndarray]:
-    """Hashes of the first ``length``, 2 * ``length``, ... bytes of every suffix that has so many."""
+def ladder(raw: bytes, most: int = 64, length: int = LENGTH) -> list[np.ndarray]:
+    """Hashes of the first ``length``, 2 * ``length``, ... bytes of every suffix that has so many; at most ``most`` of them."""
     data = np.frombuffer(raw, np.uint8)
     if len(data) < length:
         return []
@@ -66,7 +67,7 @@ def ladder(raw: bytes, length: int = LENGTH) -> list[np.ndarray]:
         rest = length - width
         out = [mix(h[: len(h) - rest] * _TURN[1] + h[rest:])]
         size = length
-        while 2 * size <= len(data):
+        while 2 * size <= len(data) and len(out) < most:
             out.append(mix(out[-1][: len(out[-1]) - size] * _TURN[0] + out[-1][size:]))
             size *= 2
     return [x.view(np.int64) for x in out]
@@ -96,26 +97,30 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raws, begin, size = [], i + 1, 0
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Beginnings that a document was asked for, with their ladders."""
-    for b in batches:
-        for doc, version, t, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-            raw = _raw(t)
-            steps = ladder(raw)
-            places = np.unique(np.concatenate([np.arange(q["first"], q["first"] + q["strings"]) for q in asked.as_py()]))
-            for at in range(0, len(places), 10_000):
-                p = places[at : at + 10_000]
-                high = [int(np.searchsorted(p, len(s))) for s in steps]
-                rungs = np.zeros((len(p), len(steps)), np.int64)
-                for i, (s, n) in enumerate(zip(steps, high)):
-                    rungs[:n, i] = s[p[:n]]
-                fits = sum((np.arange(len(p)) < n).astype(np.int32) for n in high)
-                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(fits)].astype(np.int32), rungs[np.arange(len(steps)) < fits[:, None]])
-                before = np.array([raw[x - 1] if x else START for x in p.tolist()], np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p), doc)), pa.array(np.full(len(p), version)), pa.array(p), pa.array(before), lists],
-                    names=["doc_id", "version", "first", "before", "ladder"],
-                )
+def _suffixes(most: int):
+    """Suffixes that a document was asked for, with their ladders or the first steps of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, version, t, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                raw = _raw(t)
+                steps = ladder(raw, most)
+                places = np.unique(np.concatenate([np.arange(q["first"], q["first"] + q["strings"]) for q in asked.as_py()]))
+                for at in range(0, len(places), 10_000):
+                    p = places[at : at + 10_000]
+                    high = [int(np.searchsorted(p, len(s))) for s in steps]
+                    rungs = np.zeros((len(p), len(steps)), np.int64)
+                    for i, (s, n) in enumerate(zip(steps, high)):
+                        rungs[:n, i] = s[p[:n]]
+                    fits = sum((np.arange(len(p)) < n).astype(np.int32) for n in high)
+                    lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(fits)].astype(np.int32), rungs[np.arange(len(steps)) < fits[:, None]])
+                    before = np.array([raw[x - 1] if x else START for x in p.tolist()], np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(p), doc)), pa.array(np.full(len(p), version)), pa.array(p), pa.array(before), lists],
+                        names=["doc_id", "version", "first", "before", "ladder"],
+                    )
+
+    return run
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,22 +250,27 @@ def repeat_groups(docs: DataFrame, many: int = MANY) -> DataFrame:
     found = stage(texts.mapInArrow(_contexts, _CONTEXT), "groups-contexts")
     texts = texts.dropDuplicates(["doc_id", "version"])
 
-    shared = found.groupBy("anchor").agg(
+    # Tables of names are written, so that the planner knows their size and broadcasts small ones only.
+    shared = stage(found.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("before").alias("low"), F.max("before").alias("high"), (F.min("context") < F.max("context")).alias("several")
-    ).where(_diverse("n", "low", "high") | ((F.col("n") > 1) & F.col("several"))).select("anchor", "several")
+    ).where(_diverse("n", "low", "high") | ((F.col("n") > 1) & F.col("several"))).select("anchor", "several"), "groups-anchors")
     asked = found.join(shared, "anchor").select("doc_id", "version", F.struct("first", F.when(F.col("several"), F.col("strings")).otherwise(1).alias("strings")).alias("q"))
-    suffixes = stage(_beside(texts, asked, _suffixes, _SUFFIX), "groups-suffixes")
-    discard(found)
+    starts = stage(_beside(texts, asked, _suffixes(1), _SUFFIX).withColumn("head", F.col("ladder")[0]).drop("ladder"), "groups-starts")
+    discard(found, shared)
+    heads = starts.groupBy("head").agg(F.count("*").alias("n"), F.min("before").alias("low"), F.max("before").alias("high")).where(_diverse("n", "low", "high"))
+    heads = stage(heads.select("head"), "groups-heads")
+    asked = starts.join(heads, "head", "left_semi").select("doc_id", "version", F.struct("first", F.lit(1).alias("strings")).alias("q"))
+    suffixes = stage(_beside(texts, asked, _suffixes(64), _SUFFIX), "groups-suffixes")
+    discard(starts, heads)
 
     rungs = suffixes.select("doc_id", "version", "first", "before", "ladder", F.posexplode("ladder").alias("level", "node"))
     after = F.expr("try_element_at(ladder, level + 2)")
     rungs = rungs.select("doc_id", "version", "first", "before", "level", "node", F.coalesce(after, F.xxhash64("doc_id", "version", "first")).alias("leaf"), after.isNull().alias("ends"))
     key = ["level", "node"]
-    nodes = rungs.groupBy(*key).agg(
-        F.count("*").alias("all"), F.min("before").alias("low"), F.max("before").alias("high"), F.min("leaf").alias("a"), F.max("leaf").alias("z")
-    ).where(_diverse("all", "low", "high") & (F.col("a") < F.col("z"))).select(*key)
+    nodes = rungs.groupBy(*key).agg(F.count("*").alias("n"), F.min("before").alias("low"), F.max("before").alias("high"), F.min("leaf").alias("a"), F.max("leaf").alias("z"))
+    nodes = stage(nodes.where(_diverse("n", "low", "high") & (F.col("a") < F.col("z"))).select(*key), "groups-nodes")
     rungs = stage(rungs.join(nodes, key), "groups-rungs")
-    discard(suffixes)
+    discard(suffixes, nodes)
 
     leaves = rungs.groupBy(*key, "leaf", "ends").agg(
         F.count("*").alias("n"), F.min("before").alias("low"), F.max("before").alias("high"), F.min(F.struct("doc_id", "version", "first")).alias("one")
