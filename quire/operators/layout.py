@@ -137,7 +137,7 @@ def coverage(part: Column, whole: Column, digits: int = 2) -> Column:
 
 def grid_width(n: Column) -> Column:
     """Power of two of at least the square root of ``n``, from 16 to 256."""
-    return F.greatest(F.lit(16), F.least(F.lit(256), F.pow(F.lit(2), F.ceil(F.log2(F.sqrt(n)))))).cast("int")
+    return F.when(n <= 256, 16).when(n <= 1024, 32).when(n <= 4096, 64).when(n <= 16384, 128).otherwise(256)
 
 
 def page_of(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:

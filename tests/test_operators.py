@@ -334,3 +334,17 @@ def test_every_operator_is_described():
 def test_errors_of_formats(rich):
     # The font file of the fixture holds a word, not a font.
     assert rows(formats.errors(rich), "obj_num", "table", "error") == {(16, "ttf", "ValueError: not an sfnt font")}
+
+
+def test_grid_width_of_any_count(spark):
+    """The same steps in the query's SQL and in the operator, beyond 64 as well."""
+    import duckdb
+
+    from quire.plans.queries import SQL
+
+    want = {256: 16, 257: 32, 1024: 32, 1025: 64, 4096: 64, 4097: 128, 16384: 128, 16385: 256, 70000: 256}
+    rows = spark.createDataFrame([(n,) for n in want], "n long").select("n", layout.grid_width(F.col("n")).alias("w"))
+    assert {r.n: r.w for r in rows.collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE embeddings AS SELECT c AS label FROM (VALUES {', '.join(f'({n})' for n in want)}) t(c), LATERAL (SELECT unnest(range(0, c)))")
+    assert {n: w for _, n, w in con.execute(SQL["q52_glyph_grid"]).fetchall()} == want
