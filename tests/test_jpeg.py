@@ -23,6 +23,19 @@ def test_grey_within_one(size, restart):
     assert (w, h, n) == (*size, 1) and np.abs(np.frombuffer(out, np.uint8).astype(int) - p.ravel()).max() <= 1
 
 
+BLOCK = "67207468652074686520746865207468652074686520746865207468652074686520746865207468652074686520746865207468652074686520746865207468"
+
+
+def test_rounding_errors_that_add_up():
+    """A block whose coefficients, each rounded to the nearest, give a sample that is off by two."""
+    raw = bytes.fromhex(BLOCK)
+    c, x = J.cosines(), np.frombuffer(raw, np.uint8).reshape(8, 8).astype(int)
+    nearest = np.rint(c.T @ np.rint(c @ (x - 128.0) @ c.T) @ c + 128)
+    assert np.abs(nearest - x).max() == 2
+    out = np.frombuffer(J.decode(J.encode(raw, 8, 8))[3], np.uint8).reshape(8, 8).astype(int)
+    assert np.abs(out - x).max() <= 1
+
+
 def test_colours():
     p = picture(50, 30, 3)
     w, h, n, out = J.decode(J.encode(p.tobytes(), 50, 30, 3))
