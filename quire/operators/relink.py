@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from quire.session import written
 
+from quire.sources.pdf import slices
+
 from . import pdfx
 
 #: Bytes of a source file whose objects are summed in one group, and entries in a piece of an index.
@@ -30,7 +32,7 @@ def _per_row(rows: DataFrame, columns: list[str], work, out: str) -> DataFrame:
     at = [names.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = pa.array([work(*v) for v in zip(*(b.column(i).to_pylist() for i in at))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*names, out])
 

@@ -73,3 +73,37 @@ def test_pushed_filters(spark, tmp_path):
     assert "Filter" not in pages._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(Exception, match="no table"):
         spark.read.format("pdf").option("table", "x").load(folder)
+
+
+def test_texts_of_one_file_are_many_tasks(spark, tmp_path):
+    """A single row group is dealt out by bytes, and every row is kept."""
+    n, most = 3000, pdf.TASK_BYTES
+    docs = spark.range(n).coalesce(1).selectExpr("id as doc_id", "repeat('x', 20000) as text", "'en' as lang", "'web' as source")
+    docs.write.parquet(str(tmp_path / "docs"))
+    parts = pdf.spread(spark.read.parquet(str(tmp_path / "docs")), "text")
+    sizes = [len(x) for x in parts.select("doc_id").rdd.glom().collect()]
+    assert sum(sizes) == n and max(sizes) * 24096 <= 1.2 * most
+
+
+def test_results_leave_a_task_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(2 * pdf.BATCH + 3))})
+    parts = list(pdf.slices([batch]))
+    assert [p.num_rows for p in parts] == [pdf.BATCH, pdf.BATCH, 3] and [v for p in parts for v in p.column(0).to_pylist()] == list(range(2 * pdf.BATCH + 3))
+
+
+def test_object_facts_read_no_stream_bytes(spark, tmp_path):
+    from quire.functions.write import layout
+    from quire.operators.corpus import Corpus
+
+    files = spark.createDataFrame([("1.pdf", bytearray(layout("lay1", "a text", "en", "web")))], "path string, content binary")
+    c = Corpus.from_binary(files).save(str(tmp_path / "c"))
+    read = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    try:
+        plan = c.objects.where("type_name = 'Page'")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", read)
+    assert "ReadSchema" in plan and "stream_raw" not in plan and "stream_decoded" not in plan
+    assert c.objects.count() == 6 and "stream_decoded" in c.streams.columns
