@@ -107,3 +107,19 @@ def test_object_facts_read_no_stream_bytes(spark, tmp_path):
         spark.conf.set("spark.sql.maxMetadataStringLength", read)
     assert "ReadSchema" in plan and "stream_raw" not in plan and "stream_decoded" not in plan
     assert c.objects.count() == 6 and "stream_decoded" in c.streams.columns
+
+
+def test_work_on_bytes_is_spread_by_file_sizes(spark, tmp_path, monkeypatch):
+    """Streams behind a join are as many tasks as the files' bytes ask for, and only chosen images are decoded."""
+    from quire.operators import formats, text
+
+    monkeypatch.setattr(pdf, "TASK_BYTES", 1 << 14)
+    files = pdf.generate(spark.range(20).selectExpr("id as doc_id", "repeat('some text ', 50) as text", "'en' as lang", "'web' as source"), "scans")
+    c = Corpus.from_binary(files).save(str(tmp_path / "c"))
+    assert c.tasks >= 5
+    rows = formats.image_pixels(c, F.col("obj_num") != 8)
+    assert rows.rdd.getNumPartitions() == c.tasks
+    assert {r.obj_num for r in rows.select("obj_num").collect()} == {4, 5, 7} and formats.image_pixels(c).count() == 80
+    pages = pdf.generate(spark.range(40).selectExpr("id as doc_id", "repeat('some text ', 50) as text", "'en' as lang", "'web' as source"))
+    c = Corpus.from_binary(pages).save(str(tmp_path / "pages"))
+    assert text.content_bytes(c).rdd.getNumPartitions() == c.tasks >= 5
