@@ -42,3 +42,20 @@ def test_versions_as_rows(spark):
     assert {(r.path, r.name, bytes(r.data)) for r in V.as_of(back).collect()} == seen(0)
     assert rows(V.history(back).where("path = 'p'"), "version", "n_files", "n_deleted") == {(0, 2, 0), (1, 2, 0), (2, 1, 1), (3, 3, 1)}
     assert V.restore(back, 3).where("path = 'p'").count() == 0 and V.commit(back, edits(spark, [])).count() == 0
+
+
+def test_a_version_is_written_once(spark, monkeypatch):
+    """The store of the query gets each version's own rows, not those before it again."""
+    from quire.plans import queries as Q
+
+    sizes, real = [], Q.written
+
+    def counted(df, label):
+        out = real(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(Q, "written", counted)
+    Q.q93(spark, "/root/testdata/sf0.001")
+    n = Q.table(spark, "/root/testdata/sf0.001", "documents").count()
+    assert sizes[0] >= 6 * n and sizes[1] == n and all(x < n for x in sizes[2:])
