@@ -19,3 +19,22 @@ def test_no_join_is_broadcast_by_the_size_of_files(spark, name):
     assert "Join" in plan and "BroadcastHashJoin" not in plan
     joins_as_given(spark)
     assert spark.conf.get(STATIC) != "-1" and (before[0] == "-1" or (spark.conf.get(STATIC), spark.conf.get(MEASURED, None)) == before)
+
+
+@pytest.mark.parametrize("name", ["q35_change_detection", "q71_change_status", "q37_repack", "q106_relink_streams"])
+def test_files_are_made_and_parsed_once(spark, name):
+    """What a result reads are tables of steps done: no file is generated, exploded or parsed again by it."""
+    plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    joins_as_given(spark)
+    assert "MapInArrow" not in plan
+
+
+def test_manifest_of_exploded_files_is_that_of_the_files(spark):
+    from quire.functions import write as W
+    from quire.operators import pdfx
+
+    rows = [(f"{i}.pdf", W.layout(k, "some (text)\nin lines", "en", "s")) for i, k in enumerate(("lay1", "lay2", "lay2p", "book", "rich"))] + [("9.pdf", b"broken")]
+    files = spark.createDataFrame([(p, bytearray(b)) for p, b in rows], "path string, content binary")
+    one, two = pdfx.manifest(files), pdfx.manifest_of(pdfx.explode_files(files))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.select(*one.columns).collect()))
+    assert two.where("error is not null").count() == 1 and two.count() > 30
