@@ -38,3 +38,18 @@ def test_manifest_of_exploded_files_is_that_of_the_files(spark):
     one, two = pdfx.manifest(files), pdfx.manifest_of(pdfx.explode_files(files))
     assert sorted(map(str, one.collect())) == sorted(map(str, two.select(*one.columns).collect()))
     assert two.where("error is not null").count() == 1 and two.count() > 30
+
+
+def test_an_archive_is_made_and_read_in_one_worker_of_a_task(spark):
+    """Each step of ``mapInArrow`` would hold a Python worker of its own: one for the files' digests, one for their archives."""
+    from quire.plans.queries import table
+    from quire.operators import pdfx
+    from quire.sources import pdf
+
+    plan = catalog.queries()["q48_archive_round_trip"](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    joins_as_given(spark)
+    assert plan.count("MapInArrow") == 2
+    docs = table(spark, DATA, "documents").limit(20)
+    apart = pdfx.import_zip(pdfx.export_zip(pdf.generate(docs, "lay2p")))
+    one = pdf.generate(docs, "lay2p", then=pdfx.zipped_and_back())
+    assert one.schema == apart.schema and sorted(map(str, one.collect())) == sorted(map(str, apart.collect())) and one.count() > 200
