@@ -47,9 +47,9 @@ def form_matrices(c: Corpus) -> DataFrame:
 
 def draw_calls(contents: DataFrame) -> DataFrame:
     """``KEY, op_ix, name, matrix`` of each ``Do`` in ``contents``, with the matrix in force."""
-    from quire.functions.content import draw_calls, operators
+    from quire.functions.content import draw_calls, operations
 
-    return text._mapped(contents, lambda raw: draw_calls(operators(raw)), CALLS).select(*KEY, F.inline("_r"))
+    return text._mapped(contents, lambda raw: draw_calls(operations(raw)), CALLS).select(*KEY, F.inline("_r"))
 
 
 def placements(c: Corpus, calls: DataFrame | None = None, count_only: bool = False) -> DataFrame:

@@ -53,3 +53,41 @@ def test_an_archive_is_made_and_read_in_one_worker_of_a_task(spark):
     apart = pdfx.import_zip(pdfx.export_zip(pdf.generate(docs, "lay2p")))
     one = pdf.generate(docs, "lay2p", then=pdfx.zipped_and_back())
     assert one.schema == apart.schema and sorted(map(str, one.collect())) == sorted(map(str, apart.collect())) and one.count() > 200
+
+
+def test_objects_of_a_corpus_by_path_are_joined_where_they_are(spark):
+    """Tables of a corpus lie by path: joins and groups by objects of a path have no shuffle, and the same rows as those of a corpus that has."""
+    from quire.operators import formats, graph, text
+    from quire.operators.corpus import Corpus
+    from quire.plans.queries import table
+    from quire.session import joins_by_measure
+    from quire.sources import pdf
+
+    joins_by_measure(spark)
+    docs = table(spark, DATA, "documents").limit(40)
+    plain = Corpus.from_binary(pdf.generate(docs, "rich"))
+    by_path = Corpus(pdf.generate(docs, "rich", then=pdf.parsing(), tasks=5)).by_path("test", 5)
+    for ask in (graph.reference_counts, lambda c: graph.resolve(c.nodes, c.objects), formats._image_inputs, text.content_bytes):
+        one, two = ask(plain), ask(by_path)
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    for ask in (graph.reference_counts, lambda c: graph.resolve(c.nodes, c.objects), lambda c: formats._top(c, ["Type"]).join(c.streams, formats.KEY)):
+        plan = ask(by_path)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+    joins_as_given(spark)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_digests_tell_pixels_that_are_not_as_drawn():
+    import hashlib
+
+    import pyarrow as pa
+
+    from quire.plans.queries import _as_drawn, _beyond_one
+
+    drawn = bytes([0x0F, 0xFF, 0x01])
+    of = lambda byte: hashlib.md5(bytes(255 * (byte >> (7 - i) & 1) for i in range(8))).hexdigest()
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 5), pa.array([4, 5, 7, 7, 4], pa.int32()), pa.array([1] * 5, pa.int32()), pa.array([of(0x0F), of(0xFF), of(1), of(3), None]), pa.array([drawn] * 5)], names=["doc_id", "obj_num", "height", "seen", "drawn"])
+    assert next(_as_drawn([batch])).column("as_drawn").to_pylist() == [True, True, True, False, None]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([b"\x00\xff\x07", b"\x05", None, b""], pa.binary()), pa.array([b"\x01\xfd\x07", b"\x05\x05", b"a", b""], pa.binary())], names=["doc_id", "seen", "drawn"])
+    assert next(_beyond_one([batch])).to_pydict() == {"doc_id": [1, 2, 3, 4], "n_pixels": [3, 2, None, 0], "n_beyond_one": [1, 1, None, 0]}
