@@ -72,3 +72,10 @@ def test_unreadable():
     for bad in (b"", b"\xff\xd8\xff\xd9", good[: len(good) // 2], good.replace(b"\xff\xc0", b"\xff\xc2"), good[:300]):
         with pytest.raises(J.Unreadable):
             J.decode(bad)
+
+
+def test_a_number_of_more_bits_than_there_are():
+    """A table of codes may name up to 255 bits for a number; none has more than 16."""
+    good = J.encode(picture(8, 8, 1).tobytes(), 8, 8)
+    with pytest.raises(J.Unreadable):
+        J.decode(good.replace(bytes(range(12)), bytes(range(100, 112))))
