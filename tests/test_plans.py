@@ -74,7 +74,7 @@ def test_objects_of_a_corpus_by_path_are_joined_where_they_are(spark):
         plan = ask(by_path)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Bucketed: true" in plan
     joins_as_given(spark)
-    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == spark.conf.get("spark.sql.unionOutputPartitioning") == "true"
 
 
 def test_digests_tell_pixels_that_are_not_as_drawn():

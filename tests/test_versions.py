@@ -59,3 +59,29 @@ def test_a_version_is_written_once(spark, monkeypatch):
     Q.q93(spark, "/root/testdata/sf0.001")
     n = Q.table(spark, "/root/testdata/sf0.001", "documents").count()
     assert sizes[0] >= 6 * n and sizes[1] == n and all(x < n for x in sizes[2:])
+
+
+def test_a_version_is_dealt_out_once(spark):
+    """A version by path is linked where its rows met: one shuffle, not one for its rows and another for its files."""
+    from quire.operators import pdfx
+    from quire.session import joins_as_given, joins_by_measure
+
+    joins_by_measure(spark)
+    store = spark.createDataFrame([(f"{i}.pdf", 0, n, bytes([i]), False) for i in range(20) for n in ("x", "y")], V.STORE)
+    plan = pdfx.link(V.as_of(store, 0, 3))._jdf.queryExecution().executedPlan().toString()
+    joins_as_given(spark)
+    assert plan.count("Exchange") == 1 and V.as_of(store, 0, 3).count() == 40
+
+
+def test_unions_of_tables_by_path_keep_their_groups_whole(spark):
+    """Rows of one path lie in several tables by path; a group of their union has them all."""
+    from quire.session import joins_as_given, joins_by_measure, written_by_path
+
+    joins_by_measure(spark)
+    tables = [written_by_path(spark.range(60).selectExpr("concat(id, '.pdf') path", f"{k} k", "id v").repartition(6, "path"), "test", 6) for k in range(3)]
+    every = tables[0].union(tables[1]).union(tables[2])
+    sums = every.groupBy("path").agg({"k": "sum"}).withColumnRenamed("sum(k)", "s")
+    last = every.groupBy("path", "v").agg({"k": "max"}).withColumnRenamed("max(k)", "m")
+    got = every.where("k < 2").join(sums, "path").join(last, ["path", "v"]).groupBy("path").agg({"s": "sum", "m": "sum"}).collect()
+    joins_as_given(spark)
+    assert len(got) == 60 and all(sorted((r[1], r[2])) == [4, 6] for r in got)
